@@ -211,28 +211,26 @@ def rounded_summary(summary: DataFrame) -> DataFrame:
 
 
 def conversation_tokens(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """All words of all turns as one flat run, and the start offset of each turn."""
+    """The words of all turns of a role as one flat run, and the start offset of each turn."""
     turns = table(spark, sf_dir, "conversations").select(
-        F.lit("conversations").alias("container"),
-        "conv_id",
-        "turn",
-        F.split("text", " ").alias("tokens"),
+        "role", "conv_id", "turn", F.split("text", " ").alias("tokens")
     )
     placed = ids.running_totals(
         turns,
-        ["conv_id", "turn"],
+        ["role", "conv_id", "turn"],
         {"row_no": ids.one_row(), "start": F.size("tokens").cast("long")},
     )
-    values = placed.select(
-        "container", "start", F.posexplode("tokens").alias("place", "value")
-    ).select("container", (F.col("start") + F.col("place")).alias("pos"), "value")
-    return placed.select("container", "row_no", "start", "conv_id", "turn"), values
+    values = placed.select("role", "start", F.posexplode("tokens").alias("place", "value"))
+    return (
+        placed.select("role", "row_no", "start", "conv_id", "turn"),
+        values.select("role", (F.col("start") + F.col("place")).alias("pos"), "value"),
+    )
 
 
 def ragged_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Back to one array per turn; a turn's text held all its words before."""
     offsets, values = conversation_tokens(spark, sf_dir)
-    return ragged.slice_table(offsets, values, "container", "tokens").select(
+    return ragged.slice_table(offsets, values, "role", "tokens").select(
         "conv_id", "turn", F.size("tokens").alias("n_tokens"),
         F.array_join("tokens", "|").alias("tokens"),
     )
@@ -244,14 +242,14 @@ def ragged_slice_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "embeddings").withColumn("block", F.floor(F.col("vec_id") / 8)),
         ["label", "vec_id"],
         {"pos": ids.one_row()},
-    ).withColumn("container", F.lit("embeddings"))
+    )
     offsets = ids.running_totals(
-        placed.groupBy("container", "label", "block").agg(F.min("pos").alias("start")),
+        placed.groupBy("label", "block").agg(F.min("pos").alias("start")),
         ["label", "block"],
         {"row_no": ids.one_row()},
     )
-    values = placed.select("container", "pos", F.col("embedding").alias("value"))
-    return ragged.slice_rows(offsets, values, "container").select(
+    values = placed.select("label", "pos", F.col("embedding").alias("value"))
+    return ragged.slice_rows(offsets, values, "label").select(
         "label",
         "block",
         (F.col("pos") - F.col("start")).alias("place"),

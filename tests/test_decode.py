@@ -1,0 +1,107 @@
+import json
+
+import pytest
+from conftest import values
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tunetally.operators import decode
+from tunetally.schemas import SONG_SCHEMA
+
+SCHEMA = T.StructType(
+    [
+        T.StructField("title", T.StringType()),
+        T.StructField("tempo", T.DoubleType()),
+        T.StructField("year", T.IntegerType()),
+    ]
+)
+CASES = [
+    ("good", '{"title": "A", "tempo": 1.5, "year": 2001}'),
+    ("fraction", '{"title": "B", "tempo": 2, "year": 12.7}'),
+    ("below zero", '{"title": "B", "tempo": 2, "year": -12.7}'),
+    ("nan tempo", '{"title": "C", "tempo": NaN, "year": 3}'),
+    ("nan year", '{"title": "D", "tempo": 1.0, "year": NaN}'),
+    ("text year", '{"title": "E", "tempo": 1.0, "year": "x"}'),
+    ("no tempo", '{"title": "F", "year": 1}'),
+    ("no title", '{"tempo": 1.0, "year": 1}'),
+    ("broken", '"title": "G", "tempo": 1.0}'),
+    ("null", None),
+]
+
+
+@pytest.fixture
+def payloads(spark):
+    return spark.createDataFrame(CASES, "name string, payload string")
+
+
+def test_a_bad_field_drops_the_record(payloads):
+    got = decode.decode_drop_bad(payloads, "payload", SCHEMA)
+    assert got.columns == ["name", "title", "tempo", "year"]
+    plain = got.withColumn("tempo", F.col("tempo").cast("string"))
+    assert values(plain) == [
+        ("below zero", "B", "2.0", -12),
+        ("fraction", "B", "2.0", 12),
+        ("good", "A", "1.5", 2001),
+        ("nan tempo", "C", "NaN", 3),
+        ("no title", None, "1.0", 1),
+    ]
+
+
+def test_a_bad_field_is_null(payloads):
+    got = decode.decode_null_bad(payloads, "payload", SCHEMA)
+    rows = {r["name"]: tuple(r)[1:] for r in got.collect()}
+    assert len(rows) == len(CASES)
+    assert rows["good"] == ("A", 1.5, 2001)
+    assert rows["nan year"] == ("D", 1.0, None)
+    assert rows["text year"] == ("E", 1.0, None)
+    assert rows["no tempo"] == ("F", None, 1)
+    assert rows["broken"] == rows["null"] == (None, None, None)
+
+
+def test_array_fields(spark):
+    schema = T.StructType([T.StructField("freq", T.ArrayType(T.DoubleType()))])
+    table = spark.createDataFrame(
+        [('{"freq": [1, 2.5]}',), ('{"freq": ["x", 1]}',), ('{"freq": 3}',), ('{"freq": []}',)],
+        "payload string",
+    )
+    got = [r["freq"] for r in decode.decode_null_bad(table, "payload", schema).collect()]
+    assert got == [[1.0, 2.5], None, None, []]
+
+
+def test_containers(spark):
+    table = spark.createDataFrame(
+        [("f1", [(1, "a"), (2, "b")]), ("f2", [(3, "c")]), ("f3", [])],
+        "file string, records array<struct<n:int,t:string>>",
+    )
+    rows = decode.explode_records(table)
+    assert values(rows) == [("f1", 0, 1, "a"), ("f1", 1, 2, "b"), ("f2", 0, 3, "c")]
+    assert values(decode.first_record(table)) == [("f1", 1, "a"), ("f2", 3, "c")]
+    assert values(decode.records_per_container(rows, "file")) == [("f1", 2), ("f2", 1)]
+
+
+def test_bytes_become_text(spark):
+    table = spark.createDataFrame([(bytearray(b"\xc3\xa9"),)], "title binary")
+    assert values(decode.decode_text(table, "title")) == [("é",)]
+
+
+def test_song_projection_has_all_typed_columns(spark):
+    table = spark.createDataFrame(
+        [(bytearray(b"T"), 12.7, float("nan"), -3.9)],
+        "title binary, year double, key double, mode double",
+    )
+    got = decode.song_projection(table)
+    assert got.schema == SONG_SCHEMA
+    row = got.first()
+    assert (row["title"], row["year"], row["key"], row["mode"]) == ("T", 12, None, -3)
+    assert row["tempo"] is None
+
+
+def test_raw_fields_are_sorted_and_named(spark):
+    table = spark.createDataFrame(
+        [(1, "f", "x")], "year int, source_file string, other string"
+    ).withColumn("artist_id", F.lit("a"))
+    got = decode.raw_song_fields(table)
+    assert got.columns == ["get_artist_id", "get_year", "source_file"]
+    assert json.loads(got.toJSON().first()) == {
+        "get_artist_id": "a", "get_year": 1, "source_file": "f"
+    }

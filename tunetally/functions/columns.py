@@ -41,8 +41,10 @@ def typed(value: Column, kind: T.DataType) -> Column:
         return value
     if isinstance(kind, T.BinaryType):
         return F.encode(value, "UTF-8")
+    # The JSON reader gives the tokens NaN and Infinity as text in quotes.
+    number = F.btrim(value, F.lit('"'))
     if isinstance(kind, (T.IntegerType, T.LongType, T.ShortType, T.ByteType)):
-        return F.coalesce(value.try_cast(kind), value.try_cast("double").try_cast(kind))
+        return F.coalesce(number.try_cast(kind), number.try_cast("double").try_cast(kind))
     if isinstance(kind, T.ArrayType):
         parts = F.from_json(value, T.ArrayType(T.StringType()))
         whole = F.transform(parts, lambda part: typed(part, kind.elementType))
@@ -50,7 +52,7 @@ def typed(value: Column, kind: T.DataType) -> Column:
             parts, lambda part: part.isNotNull() & typed(part, kind.elementType).isNull()
         )
         return F.when(~broken, whole)
-    return value.try_cast(kind)
+    return number.try_cast(kind)
 
 
 def number(value: Column, kind: str) -> Column:

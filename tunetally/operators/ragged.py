@@ -34,8 +34,8 @@ def slice_arrays(df: DataFrame, flat: str, offsets: str, name: str = "slice") ->
 def slice_rows(offsets: DataFrame, values: DataFrame, container: str) -> DataFrame:
     """Slice runs that are tables, leaving one row per value.
 
-    `offsets(container, row_no, start, …)` counts `row_no` from 0 in each container;
-    `values` is `(container, pos, value)`. The result has the columns of `offsets` with
+    In `offsets(container, row_no, start, …)` the rows of a container are numbered without
+    gaps; `start` and the `pos` of `values(container, pos, value)` count alike. The result has the columns of `offsets` with
     `pos` and `value`. Every join is on the container and a row number or a bucket of
     positions, so one container of any length spreads over all tasks.
     """
