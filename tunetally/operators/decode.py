@@ -12,30 +12,34 @@ from tunetally.schemas import RAW_SONG_FIELDS, SONG_COLUMNS
 _BROKEN = "_broken"
 
 
-def _parse(payload: Column, schema: T.StructType) -> Column:
-    """The fields of a JSON record as text, and `_broken` where it is not a record."""
+def _parsed(df: DataFrame, payload: str, schema: T.StructType) -> DataFrame:
+    """The fields of a JSON record as columns of text, and `_broken` if it is no record.
+
+    The record is parsed in a generator, which filters on its fields do not pass: a
+    filter on a plain column would parse the payload again for every field it names.
+    """
     fields = [T.StructField(f.name, T.StringType()) for f in schema]
-    return F.from_json(
+    record = F.from_json(
         payload,
         T.StructType([*fields, T.StructField(_BROKEN, T.StringType())]),
         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BROKEN},
     )
+    return df.select("*", F.inline(F.array(record)))
+
+
+def _decoded(
+    parsed: DataFrame, kept: list[str], schema: T.StructType, usable: Column | None = None
+) -> DataFrame:
+    values = {f.name: typed(F.col(f.name), f.dataType) for f in schema}
+    if usable is not None:
+        values = {name: F.when(usable, value) for name, value in values.items()}
+    return parsed.select(*kept, *[value.alias(name) for name, value in values.items()])
 
 
 def decode_null_bad(df: DataFrame, payload: str, schema: T.StructType) -> DataFrame:
     """Decode `payload` into the columns of `schema`; a bad field is null, the row stays."""
-    record = F.col("_record")
-    usable = record[_BROKEN].isNull()
-    return (
-        df.withColumn("_record", _parse(F.col(payload), schema))
-        .select(
-            *[F.col(c) for c in df.columns if c != payload],
-            *[
-                F.when(usable, typed(record[f.name], f.dataType)).alias(f.name)
-                for f in schema
-            ],
-        )
-    )
+    kept = [c for c in df.columns if c != payload]
+    return _decoded(_parsed(df, payload, schema), kept, schema, F.col(_BROKEN).isNull())
 
 
 def decode_drop_bad(df: DataFrame, payload: str, schema: T.StructType) -> DataFrame:
@@ -43,19 +47,12 @@ def decode_drop_bad(df: DataFrame, payload: str, schema: T.StructType) -> DataFr
 
     A number has to be there and be one; NaN is a fractional number but not a whole one.
     """
-    record = F.col("_record")
-    good = F.col(payload).isNotNull() & record[_BROKEN].isNull()
+    kept = [c for c in df.columns if c != payload]
+    good = F.col(payload).isNotNull() & F.col(_BROKEN).isNull()
     for field in schema:
         if not isinstance(field.dataType, (T.StringType, T.BinaryType)):
-            good = good & typed(record[field.name], field.dataType).isNotNull()
-    return (
-        df.withColumn("_record", _parse(F.col(payload), schema))
-        .where(good)
-        .select(
-            *[F.col(c) for c in df.columns if c != payload],
-            *[typed(record[f.name], f.dataType).alias(f.name) for f in schema],
-        )
-    )
+            good = good & typed(F.col(field.name), field.dataType).isNotNull()
+    return _decoded(_parsed(df, payload, schema).where(good), kept, schema)
 
 
 def explode_records(df: DataFrame, records: str = "records") -> DataFrame:

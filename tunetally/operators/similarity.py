@@ -62,6 +62,7 @@ def matrix_stats(cells: DataFrame) -> DataFrame:
 
 def encode_matrix(cells: DataFrame) -> DataFrame:
     """The matrix with row and column numbers in place of ids."""
+    cells = materialize(cells, "cells")
     for id_col, code in (("user_id", "user_index"), ("item_id", "item_index")):
         ids = cells.groupBy(id_col).agg(F.count(F.lit(1)).alias("_cells"))
         codes = encode_ids(ids, id_col, code)
@@ -112,12 +113,17 @@ def nearest(
         left_blocks = max(ceil(left_count / block_items), 1)
 
     weight = F.coalesce(F.col("play_count") / F.nullif(F.col("norm"), F.lit(0.0)), F.lit(0.0))
-    weighted = lookup(cells, items, "item_id", "listeners", size).withColumn("w", weight)
+    # By user from here on: the segments and their join need no further shuffle.
+    weighted = (
+        lookup(cells, items, "item_id", "listeners", size)
+        .select("user_id", "code", "left_code", weight.alias("w"))
+        .repartition("user_id")
+    )
     right = _segments(weighted, "code", blocks)
     left = right if symmetric else _segments(
         weighted.where(F.col("left_code").isNotNull()), "left_code", left_blocks
     )
-    tiles = _tiles(left, right, blocks, symmetric)
+    tiles = _tiles(left, right, left_blocks, symmetric)
     split = size.facts > tile_rows and _largest_tile(items, left_blocks, blocks) > tile_rows
     tiles = _slabs(tiles, items, left_blocks, blocks, tile_rows if split else None)
     best = tiles.groupBy("a", "b", "slab", "slabs").applyInArrow(
@@ -190,29 +196,25 @@ def _segments(weighted: DataFrame, code: str, blocks: int) -> DataFrame:
     )
 
 
-def _tiles(left: DataFrame, right: DataFrame, blocks: int, symmetric: bool) -> DataFrame:
+def _tiles(left: DataFrame, right: DataFrame, left_blocks: int, symmetric: bool) -> DataFrame:
     """Pairs of segments of one user, one row per user and pair of blocks."""
     a = left.select("user_id", F.col("block").alias("a"), F.col("i").alias("ia"),
                     F.col("w").alias("wa"))
     b = right.select("user_id", F.col("block").alias("b"), F.col("i").alias("ib"),
                      F.col("w").alias("wb"))
     keys = ["user_id"]
-    if blocks > SEGMENTS_PER_TASK:
+    if left_blocks > SEGMENTS_PER_TASK:
         # A long history has a segment in most blocks: deal its left segments to
         # several tasks and send its right ones to each of these.
-        parts = (
-            right.groupBy("user_id")
-            .agg(F.count(F.lit(1)).alias("segments"))
-            .where(F.col("segments") > SEGMENTS_PER_TASK)
-            .select("user_id", F.ceil(F.col("segments") / SEGMENTS_PER_TASK).alias("parts"))
-        )
-        one = F.coalesce("parts", F.lit(1))
-        a = a.join(parts, "user_id", "left").withColumn("part", F.col("a") % one).drop("parts")
-        b = (
-            b.join(parts, "user_id", "left")
-            .withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), one - 1)))
-            .drop("parts")
-        )
+        if symmetric:
+            segments = F.count(F.lit(1)).over(Window.partitionBy("user_id"))
+            parts = F.ceil(segments / SEGMENTS_PER_TASK)
+        else:
+            parts = F.lit(ceil(left_blocks / SEGMENTS_PER_TASK)).cast("long")
+        a = a.withColumn("part", F.col("a") % parts)
+        b = b.withColumn("parts", parts).select(
+            "*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")
+        ).drop("parts")
         keys.append("part")
     pairs = a.join(b, keys)
     if symmetric:
