@@ -18,7 +18,14 @@ from pyspark.sql import functions as F
 from tunetally.functions.columns import cosine, distance
 from tunetally.operators.ids import encode_ids
 from tunetally.operators.lookup import FactSize, lookup
-from tunetally.operators.tiles import TILE_OUTPUT, tile_products
+from tunetally.operators.tiles import (
+    CANDIDATES,
+    SUMS,
+    Grid,
+    best_of_sums,
+    best_of_tile,
+    sums_of_slab,
+)
 from tunetally.session import materialize
 
 # Items per block: a tile is at most BLOCK_ITEMS² cells of 8 bytes in a Python worker.
@@ -123,24 +130,28 @@ def nearest(
     left = right if symmetric else _segments(
         weighted.where(F.col("left_code").isNotNull()), "left_code", left_blocks
     )
-    tiles = _tiles(left, right, left_blocks, symmetric)
-    split = size.facts > tile_rows and _largest_tile(items, left_blocks, blocks) > tile_rows
-    tiles = _slabs(tiles, items, left_blocks, blocks, tile_rows if split else None)
-    best = tiles.groupBy("a", "b", "slab", "slabs").applyInArrow(
-        tile_products(
-            k,
-            left_blocks,
-            blocks,
-            height=ceil(left_count / left_blocks),
-            width=ceil(size.keys / blocks),
-            symmetric=symmetric,
-            digits=DIGITS,
-        ),
-        TILE_OUTPUT,
+    grid = Grid(
+        left_blocks,
+        blocks,
+        height=ceil(left_count / left_blocks),
+        width=ceil(size.keys / blocks),
+        symmetric=symmetric,
+        k=k,
+        digits=DIGITS,
     )
-    if split:
-        best = best.groupBy("left_code", "right_code").agg(
-            F.round(F.sum("similarity"), DIGITS).alias("similarity")
+    tiles = _tiles(left, right, left_blocks, symmetric)
+    if size.facts > tile_rows and _largest_tile(items, grid) > tile_rows:
+        sums = (
+            _slabs(tiles, items, grid, tile_rows)
+            .groupBy("a", "b", "slab")
+            .applyInArrow(sums_of_slab(grid), SUMS)
+        )
+        best = sums.groupBy("a", "b").applyInArrow(best_of_sums(grid), CANDIDATES)
+    else:
+        best = (
+            tiles.drop("user_id")
+            .groupBy("a", "b")
+            .applyInArrow(best_of_tile(grid), CANDIDATES)
         )
     return Nearest(_merge(best, items, k), cells, size)
 
@@ -222,7 +233,7 @@ def _tiles(left: DataFrame, right: DataFrame, left_blocks: int, symmetric: bool)
         pairs = pairs.where(
             (F.col("a") < F.col("b")) | ((F.col("a") == F.col("b")) & (F.size("ia") > 1))
         )
-    return pairs
+    return pairs.select("user_id", "a", "b", "ia", "wa", "ib", "wb")
 
 
 def _block_cells(items: DataFrame, code: str, blocks: int, block: str, name: str) -> DataFrame:
@@ -234,27 +245,25 @@ def _block_cells(items: DataFrame, code: str, blocks: int, block: str, name: str
     )
 
 
-def _largest_tile(items: DataFrame, left_blocks: int, blocks: int) -> int:
+def _largest_tile(items: DataFrame, grid: Grid) -> int:
     """Bound on the rows of a tile: it has at most as many as either block has cells."""
-    left = _block_cells(items, "left_code", left_blocks, "a", "n").agg(F.max("n")).first()[0]
-    right = _block_cells(items, "code", blocks, "b", "n").agg(F.max("n")).first()[0]
-    return min(left or 0, right or 0)
+    left = _block_cells(items, "left_code", grid.left_blocks, "a", "n")
+    right = _block_cells(items, "code", grid.right_blocks, "b", "n")
+    return min(side.agg(F.max("n")).first()[0] or 0 for side in (left, right))
 
 
-def _slabs(
-    tiles: DataFrame, items: DataFrame, left_blocks: int, blocks: int, tile_rows: int | None
-) -> DataFrame:
+def _slabs(tiles: DataFrame, items: DataFrame, grid: Grid, tile_rows: int) -> DataFrame:
     """Split the tiles that many users share, by user, so that no task gets too many."""
-    slab, slabs = F.lit(0), F.lit(1)
-    if tile_rows is not None:
-        # One row per block, and there are the number of items over BLOCK_ITEMS blocks.
-        tiles = tiles.join(
-            F.broadcast(_block_cells(items, "left_code", left_blocks, "a", "cells_a")), "a"
-        ).join(F.broadcast(_block_cells(items, "code", blocks, "b", "cells_b")), "b")
-        slabs = F.ceil(F.least("cells_a", "cells_b") / tile_rows).cast("int")
-        slab = F.pmod(F.xxhash64("user_id"), slabs).cast("int")
-    return tiles.select("a", "b", slab.alias("slab"), slabs.alias("slabs"),
-                        "ia", "wa", "ib", "wb")
+    # One row per block, and there are the number of items over BLOCK_ITEMS blocks.
+    left = _block_cells(items, "left_code", grid.left_blocks, "a", "cells_a")
+    right = _block_cells(items, "code", grid.right_blocks, "b", "cells_b")
+    slabs = F.ceil(F.least("cells_a", "cells_b") / tile_rows)
+    slab = F.pmod(F.xxhash64("user_id"), slabs).cast("int")
+    return (
+        tiles.join(F.broadcast(left), "a")
+        .join(F.broadcast(right), "b")
+        .select("a", "b", slab.alias("slab"), "ia", "wa", "ib", "wb")
+    )
 
 
 def _merge(best: DataFrame, items: DataFrame, k: int) -> DataFrame:
