@@ -5,6 +5,7 @@ from conftest import values
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tunetally import schemas
 from tunetally.operators import decode
 from tunetally.schemas import SONG_SCHEMA
 
@@ -105,3 +106,20 @@ def test_raw_fields_are_sorted_and_named(spark):
     assert json.loads(got.toJSON().first()) == {
         "get_artist_id": "a", "get_year": 1, "source_file": "f"
     }
+
+
+def test_fields_are_chosen_by_name(spark):
+    table = spark.createDataFrame([(1.0, "f")], "tempo double, source_file string")
+    assert decode.song_fields(table, ["tempo", "beats_start"]).columns == [
+        "get_tempo", "source_file"
+    ]
+    with pytest.raises(ValueError, match="colour"):
+        decode.song_fields(table, ["tempo", "colour"])
+
+
+def test_the_field_lists_are_whole():
+    fields = [*schemas.SCALAR_SONG_FIELDS, *schemas.RAGGED_SONG_FIELDS]
+    assert len(fields) == len(set(fields)) == 54
+    assert set(schemas.RAW_SONG_FIELDS) <= set(fields)
+    assert len(schemas.RAW_SONG_FIELDS) == 23 and len(schemas.SONG_COLUMNS) == 19
+    assert set(schemas.SONG_COLUMNS) <= set(schemas.SCALAR_SONG_FIELDS)

@@ -1,0 +1,51 @@
+"""The command line end to end on a small fixture."""
+
+import json
+
+import pytest
+
+from tunetally import __main__ as cli
+
+PLAYS = [("u1", "S1", 1), ("u1", "S2", 2), ("u2", "S1", 3), ("u2", "S3", 1), ("u3", "S2", 1),
+         ("u3", "S9", 4)]
+NUMBERS = ("artist_familiarity", "artist_hotttnesss", "song_hotttnesss", "year", "duration",
+           "tempo", "loudness", "energy", "danceability", "key", "mode", "time_signature")
+
+
+@pytest.fixture
+def tables(spark, tmp_path, capsys):
+    (tmp_path / "plays.txt").write_text("".join(f"{u}\t{s}\t{n}\n" for u, s, n in PLAYS))
+    records = [
+        {"song_id": f"S{i}", "track_id": f"T{i}", "artist_name": f"Artist {i}",
+         "title": f"Title {i}", **dict.fromkeys(NUMBERS, i)}
+        for i in (1, 2, 3)
+    ]
+    (tmp_path / "songs.txt").write_text("\n".join(json.dumps(r) for r in records))
+    cli.main(["ingest-plays", str(tmp_path / "plays.txt"), str(tmp_path / "plays")])
+    for job, name in (("ingest-songs", "songs"), ("ingest-raw-songs", "raw")):
+        cli.main([job, str(tmp_path / "songs.txt"), str(tmp_path / name), "--glob", "*.txt",
+                  "--lines"])
+    assert capsys.readouterr().out.split("\n")[:3] == ["6 plays", "3 songs", "3 songs"]
+    return tmp_path
+
+
+def test_jobs(spark, tables, capsys):
+    cli.main(["recommend", str(tables / "plays"), str(tables / "songs"), "u1", "-n", "4"])
+    lines = capsys.readouterr().out.strip().split("\n")
+    assert lines[0] == "Recommendations for user: u1"
+    assert {line.split(". ", 1)[1] for line in lines[1:]} == {
+        "Artist 1 - Title 1", "Artist 2 - Title 2", "Artist 3 - Title 3", "[song_id] S9"
+    }
+    cli.main(["titles", str(tables / "raw")])
+    assert "Title 2" in capsys.readouterr().out
+    cli.main(["profile-plays", str(tables / "plays"), "--exact"])
+    assert "top_users" in capsys.readouterr().out
+    cli.main(["profile-songs", str(tables / "songs")])
+    assert "artist_familiarity" in capsys.readouterr().out
+    cli.main(["recommend-all", str(tables / "plays"), str(tables / "best")])
+    assert spark.read.parquet(str(tables / "best")).select("user_id").distinct().count() == 3
+
+
+def test_unknown_jobs_are_refused(spark):
+    with pytest.raises(SystemExit):
+        cli.main(["fly"])

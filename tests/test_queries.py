@@ -53,3 +53,23 @@ def test_plans_have_no_cross_join_and_no_row_python(spark, name):
     plan = entry.queries()[name](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
     for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
         assert node not in plan
+
+
+def plan_of(spark, name):
+    return entry.queries()[name](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_filters_and_columns_reach_the_scan(spark):
+    plan = plan_of(spark, "user_history")
+    assert "EqualTo(o_custkey,13)" in plan
+    assert "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint>" in plan
+
+
+def test_limits_are_pushed_below_the_shuffle(spark):
+    assert "TakeOrderedAndProject" in plan_of(spark, "top_users")
+    assert plan_of(spark, "item_knn").count("WindowGroupLimit") == 2
+    assert plan_of(spark, "recommend_all").count("WindowGroupLimit") == 4
+
+
+def test_payloads_are_parsed_once(spark):
+    assert plan_of(spark, "decode_drop_bad").count("from_json") == 1

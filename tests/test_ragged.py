@@ -57,3 +57,19 @@ def test_two_dimensional_values(spark):
         (0, [[1.0, 2.0]]),
         (1, [[3.0, 4.0]]),
     ]
+
+
+def test_song_arrays_share_offsets(spark):
+    songs = spark.createDataFrame(
+        [("f", 0, 0), ("f", 1, 1), ("g", 0, 0)],
+        "source_file string, row_no int, idx_artist_terms int",
+    )
+    runs = spark.createDataFrame(
+        [("f", 0, 0.5), ("f", 1, 0.25), ("f", 2, 1.0), ("g", 0, 2.0)],
+        "source_file string, pos int, value double",
+    )
+    assert values(ragged.song_arrays(songs, runs, "artist_terms_freq")) == [
+        ("f", 0, [0.5]),
+        ("f", 1, [0.25, 1.0]),
+        ("g", 0, [2.0]),
+    ]

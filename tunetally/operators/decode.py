@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tunetally.functions.columns import number, text, typed
-from tunetally.schemas import RAW_SONG_FIELDS, SONG_COLUMNS
+from tunetally.schemas import (
+    RAGGED_SONG_FIELDS,
+    RAW_SONG_FIELDS,
+    SCALAR_SONG_FIELDS,
+    SONG_COLUMNS,
+)
 
 _BROKEN = "_broken"
 
@@ -96,7 +103,16 @@ def song_projection(df: DataFrame) -> DataFrame:
     return df.select(*[column(n, k).alias(n) for n, k in SONG_COLUMNS.items()])
 
 
-def raw_song_fields(df: DataFrame, source_file: str = "source_file") -> DataFrame:
-    """The raw song fields that `df` has, by name, as `get_<field>`, and the source file."""
-    have = [name for name in sorted(RAW_SONG_FIELDS) if name in df.columns]
+def song_fields(df: DataFrame, names: Iterable[str], source_file: str = "source_file") -> DataFrame:
+    """The named song fields that `df` has, by name, as `get_<field>`, and the source file."""
+    known = {*SCALAR_SONG_FIELDS, *RAGGED_SONG_FIELDS}
+    unknown = sorted(set(names) - known)
+    if unknown:
+        raise ValueError(f"no such song fields: {', '.join(unknown)}")
+    have = [name for name in sorted(names) if name in df.columns]
     return df.select(*[F.col(n).alias(f"get_{n}") for n in have], source_file)
+
+
+def raw_song_fields(df: DataFrame, source_file: str = "source_file") -> DataFrame:
+    """The fields of the raw song table."""
+    return song_fields(df, RAW_SONG_FIELDS, source_file)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tunetally.schemas import offset_column
+
 # Positions per bucket of the range join between values and slices.
 BUCKET = 256
 
@@ -75,3 +77,13 @@ def slice_table(
         .withColumn(name, F.coalesce(F.col(name), empty))
         .drop("start")
     )
+
+
+def song_arrays(songs: DataFrame, values: DataFrame, field: str) -> DataFrame:
+    """One ragged field of the songs of many files: `source_file`, `row_no` and the array.
+
+    `songs` has `source_file`, `row_no` and the field's offset column; `values` is the
+    field's run of each file, `(source_file, pos, value)`.
+    """
+    offsets = songs.select("source_file", "row_no", F.col(offset_column(field)).alias("start"))
+    return slice_table(offsets, values, "source_file", field)

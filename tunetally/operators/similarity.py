@@ -4,7 +4,7 @@ The similarity of two items is the cosine of their columns in the user x item ma
 of summed play counts. Pairs are never emitted as rows: items are split into blocks,
 each user's history into one segment per block, and a task multiplies the segments of
 one pair of blocks (a tile) into a small array, from which only the best k per item
-leave the task.
+leave the task. A tile too large for one task is added up by several first.
 """
 
 from __future__ import annotations

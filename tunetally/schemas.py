@@ -74,7 +74,8 @@ RAW_SONG_FIELDS = {
 RAW_SONG_SCHEMA = _schema(RAW_SONG_FIELDS)
 
 # Every field a song file can hold, by shape. The ragged ones are stored
-# as one flat run of values per file plus a start offset per song.
+# as one flat run of values per file plus a start offset per song; the values of the
+# two-dimensional ones are rows of numbers.
 SCALAR_SONG_FIELDS = (
     "analysis_sample_rate", "artist_7digitalid", "artist_familiarity", "artist_hotttnesss",
     "artist_id", "artist_latitude", "artist_location", "artist_longitude", "artist_mbid",
@@ -89,6 +90,17 @@ RAGGED_SONG_FIELDS = (
     "artist_terms_weight", "bars_confidence", "bars_start", "beats_confidence",
     "beats_start", "sections_confidence", "sections_start", "segments_confidence",
     "segments_loudness_max", "segments_loudness_max_time", "segments_loudness_start",
-    "segments_start", "similar_artists", "tatums_confidence", "tatums_start",
+    "segments_pitches", "segments_start", "segments_timbre", "similar_artists",
+    "tatums_confidence", "tatums_start",
 )
-RAGGED_2D_SONG_FIELDS = ("segments_pitches", "segments_timbre")
+# The ragged fields that go by the offsets of another one.
+SHARED_OFFSETS = {
+    "artist_mbtags_count": "artist_mbtags",
+    "artist_terms_freq": "artist_terms",
+    "artist_terms_weight": "artist_terms",
+}
+
+
+def offset_column(field: str) -> str:
+    """The column of a song row that holds where its slice of a ragged field starts."""
+    return f"idx_{SHARED_OFFSETS.get(field, field)}"
