@@ -14,10 +14,10 @@ MAX_TOP_ROWS = 10_000
 def running_totals(df: DataFrame, order_by: list[str], amounts: dict[str, Column]) -> DataFrame:
     """Add, per entry of `amounts`, its sum over all rows before this one.
 
-    The table is range-partitioned by `order_by`, whose values should be nearly unique,
-    and each range is summed on its own, so no task holds more than one range. The
-    ranges are written down first: their borders come from sampling and must not move
-    between the two passes that use them.
+    The table is range-partitioned by `order_by` and each range is summed on its own, so
+    no task holds more than one range. Rows with equal order share a range: count copies
+    first. The ranges are written down: their borders come from sampling and must not
+    move between the two passes that use them.
     """
     ranged = materialize(
         df.withColumns({f"_{name}": amount for name, amount in amounts.items()})

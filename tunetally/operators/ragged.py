@@ -64,7 +64,10 @@ def slice_rows(offsets: DataFrame, values: DataFrame, container: str) -> DataFra
 def slice_table(
     offsets: DataFrame, values: DataFrame, container: str, name: str = "slice"
 ) -> DataFrame:
-    """As `slice_rows`, with each row's values as one array; an empty slice is empty."""
+    """As `slice_rows`, with each row's values as one array; an empty slice is empty.
+
+    A slice has to fit one row; `slice_rows` has no such bound.
+    """
     filled = (
         slice_rows(offsets, values, container)
         .groupBy(container, "row_no")

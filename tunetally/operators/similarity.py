@@ -227,7 +227,8 @@ def _tiles(left: DataFrame, right: DataFrame, left_blocks: int, symmetric: bool)
             "*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")
         ).drop("parts")
         keys.append("part")
-    pairs = a.join(b, keys)
+    # Both sides are partitioned alike already; broadcasting one would only copy it.
+    pairs = a.join(b.hint("merge"), keys)
     if symmetric:
         # Half of the tiles; within the diagonal ones a lone item has no partner.
         pairs = pairs.where(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,11 +40,15 @@ def shared_folder(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="tunetally-")
-        spark.conf.set(CHECKPOINT_DIR, root)
+        root = _local_folder()
     return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="tunetally-")
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
     """A path below the shared folder that nothing has written to yet."""
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
