@@ -76,13 +76,32 @@ def test_only_the_asked_items_are_searched(spark, plays, block_items, tile_rows)
     assert_same(found(near.rows), brute(rows, 3, set(asked)))
 
 
-def test_a_long_history_is_split_over_tasks(plays, monkeypatch):
-    monkeypatch.setattr(sim, "SEGMENTS_PER_TASK", 3)
+@pytest.mark.parametrize("bands, block_items", [(False, 4), (True, 16)])
+def test_a_long_history_is_split_over_tasks(plays, monkeypatch, bands, block_items):
+    for name, bound in (("SEGMENTS_PER_TASK", 3), ("PART_CELLS", 8), ("CHUNK_CELLS", 10)):
+        monkeypatch.setattr(sim, name, bound)
     rows = random_rows(3)
-    near = sim.nearest(sim.interaction_matrix(plays(*rows)), 5, block_items=4)
+    cells = sim.interaction_matrix(plays(*rows))
+    near = sim.nearest(cells, 5, block_items=block_items, bands=bands)
     assert_same(found(near.rows), brute(rows, 5))
 
 
+@pytest.mark.parametrize("tile_rows", [10**9, 5])
+def test_bands_give_the_brute_force_result(plays, tile_rows):
+    rows = random_rows(6)
+    cells = sim.interaction_matrix(plays(*rows))
+    near = sim.nearest(cells, 4, block_items=16, tile_rows=tile_rows, bands=True)
+    assert_same(found(near.rows), brute(rows, 4))
+
+
+def test_the_shape_of_tiles_follows_the_length_of_histories(spark):
+    short = spark.range(30_000).selectExpr("id % 1000 AS user_id")
+    long = spark.range(1_000_000).selectExpr("id % 10 AS user_id")
+    assert sim._bands_are_cheaper(short, 200_000, 98, 20)
+    assert not sim._bands_are_cheaper(long, 200_000, 98, 20)
+    assert not sim._bands_are_cheaper(short, 20_000, 10, 200)
+
+
 def test_heavy_items_are_looked_up_apart(spark, plays, monkeypatch):
     monkeypatch.setattr(lookups, "HEAVY_SHARE", 20)
     rows = random_rows(4)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from math import ceil, isqrt
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tunetally.functions.columns import cosine, distance
@@ -30,8 +30,16 @@ from tunetally.session import materialize
 
 # Items per block: a tile is at most BLOCK_ITEMS² cells of 8 bytes in a Python worker.
 BLOCK_ITEMS = 2_048
-# Segments of one user joined in one task before the user is split over several.
+# With at most this many blocks a user's segments are joined in one task.
 SEGMENTS_PER_TASK = 64
+# Otherwise a history is split over one task per so many of its items …
+PART_CELLS = 4_096
+# … and its right side, if not cut by block, into chunks of about as many.
+CHUNK_CELLS = 4_096
+# With at most this many blocks the squares are always cheap enough.
+FEW_BLOCKS = 16
+# About the bytes of a pair of segments in a shuffle, and of each of their entries.
+PAIR_BYTES, ENTRY_BYTES = 150, 12
 # Segment pairs of one tile in one task before the tile is split over several tasks.
 TILE_ROWS = 20_000_000
 DIGITS = 9
@@ -102,22 +110,36 @@ def nearest(
     only_items: DataFrame | None = None,
     block_items: int = BLOCK_ITEMS,
     tile_rows: int = TILE_ROWS,
+    bands: bool | None = None,
 ) -> Nearest:
+    """As `nearest_items`. `bands` sets the shape of the tiles, which else is measured.
+
+    Squares are blocks by blocks, of which only half are needed: best for long histories,
+    which share the segments of a block. Bands are a few items by all items: best for
+    short ones, whose segments would be single items, as each item then meets the whole
+    history in one row and not in one row per other item.
+    """
     cells = materialize(cells, "cells")
     items = materialize(encode_ids(item_norms(cells), "item_id", "code"), "items")
     size = FactSize.measure(items, "listeners")
     cores = cells.sparkSession.sparkContext.defaultParallelism
     blocks = _block_count(size.keys, block_items, cores)
-    symmetric = only_items is None
-    if symmetric:
+    if only_items is None:
         items = items.withColumn("left_code", F.col("code"))
         left_count, left_blocks = size.keys, blocks
+        band_items = block_items**2 // max(size.keys, 1)
+        if bands is None:
+            bands = _bands_are_cheaper(cells, size.keys, blocks, band_items)
+        if bands:
+            left_blocks, blocks = ceil(size.keys / band_items), 1
     else:
+        bands = False
         wanted = items.join(only_items.select("item_id").distinct(), "item_id", "left_semi")
         left_codes = encode_ids(wanted.select("item_id"), "item_id", "left_code")
         items = materialize(items.join(left_codes, "item_id", "left"), "items")
         left_count = items.agg(F.count("left_code")).first()[0]
         left_blocks = max(ceil(left_count / block_items), 1)
+    symmetric = only_items is None and not bands
 
     weight = F.coalesce(F.col("play_count") / F.nullif(F.col("norm"), F.lit(0.0)), F.lit(0.0))
     # By user from here on: the segments and their join need no further shuffle.
@@ -126,7 +148,7 @@ def nearest(
         .select("user_id", "code", "left_code", weight.alias("w"))
         .repartition("user_id")
     )
-    right = _segments(weighted, "code", blocks)
+    right = _chunks(weighted) if bands else _segments(weighted, "code", blocks)
     left = right if symmetric else _segments(
         weighted.where(F.col("left_code").isNotNull()), "left_code", left_blocks
     )
@@ -139,7 +161,7 @@ def nearest(
         k=k,
         digits=DIGITS,
     )
-    tiles = _tiles(left, right, left_blocks, symmetric)
+    tiles = _tiles(left, right, left_blocks, symmetric, whole_history=only_items is None)
     if size.facts > tile_rows and _largest_tile(items, grid) > tile_rows:
         sums = (
             _slabs(tiles, items, grid, tile_rows)
@@ -207,7 +229,40 @@ def _segments(weighted: DataFrame, code: str, blocks: int) -> DataFrame:
     )
 
 
-def _tiles(left: DataFrame, right: DataFrame, left_blocks: int, symmetric: bool) -> DataFrame:
+def _chunks(weighted: DataFrame) -> DataFrame:
+    """Each user's history in as few rows as its length allows, with whole item codes."""
+    chunks = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("user_id")) / CHUNK_CELLS)
+    return (
+        weighted.withColumn("chunk", F.pmod(F.xxhash64("code"), chunks))
+        .groupBy("user_id", "chunk")
+        .agg(F.collect_list(F.struct(F.col("code").cast("int").alias("i"), "w")).alias("cells"))
+        .select("user_id", F.lit(0).alias("block"), F.col("cells.i").alias("i"),
+                F.col("cells.w").alias("w"))
+    )
+
+
+def _bands_are_cheaper(cells: DataFrame, items: int, blocks: int, band_items: int) -> bool:
+    """Compare the bytes that either shape of the tiles would shuffle, over all users."""
+    if blocks <= FEW_BLOCKS or band_items < 4:
+        return False
+    n = F.col("n")
+    in_blocks = F.least(n, F.lit(blocks))
+    in_bands = F.least(n, F.lit(ceil(items / band_items)))
+    chunks = F.ceil(n / CHUNK_CELLS)
+    squares = (in_blocks * in_blocks * PAIR_BYTES + 2 * n * in_blocks * ENTRY_BYTES) / 2
+    bands = in_bands * chunks * PAIR_BYTES + n * (in_bands + chunks) * ENTRY_BYTES
+    cost = (
+        cells.groupBy("user_id")
+        .agg(F.count(F.lit(1)).cast("double").alias("n"))
+        .agg(F.sum(squares).alias("squares"), F.sum(bands).alias("bands"))
+        .first()
+    )
+    return cost["bands"] < cost["squares"]
+
+
+def _tiles(
+    left: DataFrame, right: DataFrame, left_blocks: int, symmetric: bool, whole_history: bool
+) -> DataFrame:
     """Pairs of segments of one user, one row per user and pair of blocks."""
     a = left.select("user_id", F.col("block").alias("a"), F.col("i").alias("ia"),
                     F.col("w").alias("wa"))
@@ -215,15 +270,16 @@ def _tiles(left: DataFrame, right: DataFrame, left_blocks: int, symmetric: bool)
                      F.col("w").alias("wb"))
     keys = ["user_id"]
     if left_blocks > SEGMENTS_PER_TASK:
-        # A long history has a segment in most blocks: deal its left segments to
-        # several tasks and send its right ones to each of these.
-        if symmetric:
-            segments = F.count(F.lit(1)).over(Window.partitionBy("user_id"))
-            parts = F.ceil(segments / SEGMENTS_PER_TASK)
-        else:
-            parts = F.lit(ceil(left_blocks / SEGMENTS_PER_TASK)).cast("long")
-        a = a.withColumn("part", F.col("a") % parts)
-        b = b.withColumn("parts", parts).select(
+        # Deal the left segments of a long history to several tasks and send its right
+        # ones to each of these.
+        def parts(entries: str) -> Column:
+            if not whole_history:
+                return F.lit(ceil(left_blocks / SEGMENTS_PER_TASK)).cast("long")
+            length = F.sum(F.size(entries)).over(Window.partitionBy("user_id"))
+            return F.ceil(length / PART_CELLS)
+
+        a = a.withColumn("part", F.col("a") % parts("ia"))
+        b = b.withColumn("parts", parts("ib")).select(
             "*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")
         ).drop("parts")
         keys.append("part")
@@ -255,7 +311,7 @@ def _largest_tile(items: DataFrame, grid: Grid) -> int:
 
 def _slabs(tiles: DataFrame, items: DataFrame, grid: Grid, tile_rows: int) -> DataFrame:
     """Split the tiles that many users share, by user, so that no task gets too many."""
-    # One row per block, and there are the number of items over BLOCK_ITEMS blocks.
+    # One row per block or band, of which there are at most a quarter of the items.
     left = _block_cells(items, "left_code", grid.left_blocks, "a", "cells_a")
     right = _block_cells(items, "code", grid.right_blocks, "b", "cells_b")
     slabs = F.ceil(F.least("cells_a", "cells_b") / tile_rows)
