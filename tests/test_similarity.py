@@ -96,10 +96,10 @@ def test_bands_give_the_brute_force_result(plays, tile_rows):
 
 def test_the_shape_of_tiles_follows_the_length_of_histories(spark):
     short = spark.range(30_000).selectExpr("id % 1000 AS user_id")
-    long = spark.range(1_000_000).selectExpr("id % 10 AS user_id")
-    assert sim._bands_are_cheaper(short, 200_000, 98, 20)
-    assert not sim._bands_are_cheaper(long, 200_000, 98, 20)
-    assert not sim._bands_are_cheaper(short, 20_000, 10, 200)
+    long = spark.range(2_000_000).selectExpr("id % 10 AS user_id")
+    assert sim._bands_are_cheaper(short, 200_000, 98, 20, 10)
+    assert not sim._bands_are_cheaper(long, 200_000, 98, 20, 10)
+    assert not sim._bands_are_cheaper(short, 20_000, 10, 200, 10)
 
 
 def test_heavy_items_are_looked_up_apart(spark, plays, monkeypatch):

@@ -38,8 +38,8 @@ PART_CELLS = 4_096
 CHUNK_CELLS = 4_096
 # With at most this many blocks the squares are always cheap enough.
 FEW_BLOCKS = 16
-# About the bytes of a pair of segments in a shuffle, and of each of their entries.
-PAIR_BYTES, ENTRY_BYTES = 150, 12
+# About the bytes in a shuffle of a pair of segments, an entry of one, and a candidate.
+PAIR_BYTES, ENTRY_BYTES, CANDIDATE_BYTES = 150, 12, 24
 # Segment pairs of one tile in one task before the tile is split over several tasks.
 TILE_ROWS = 20_000_000
 DIGITS = 9
@@ -129,7 +129,7 @@ def nearest(
         left_count, left_blocks = size.keys, blocks
         band_items = block_items**2 // max(size.keys, 1)
         if bands is None:
-            bands = _bands_are_cheaper(cells, size.keys, blocks, band_items)
+            bands = _bands_are_cheaper(cells, size.keys, blocks, band_items, k)
         if bands:
             left_blocks, blocks = ceil(size.keys / band_items), 1
     else:
@@ -241,8 +241,12 @@ def _chunks(weighted: DataFrame) -> DataFrame:
     )
 
 
-def _bands_are_cheaper(cells: DataFrame, items: int, blocks: int, band_items: int) -> bool:
-    """Compare the bytes that either shape of the tiles would shuffle, over all users."""
+def _bands_are_cheaper(
+    cells: DataFrame, items: int, blocks: int, band_items: int, k: int
+) -> bool:
+    """Compare the bytes that either shape of the tiles would shuffle: the segments of all
+    users, and the candidates, which every item has in each block it is compared with.
+    """
     if blocks <= FEW_BLOCKS or band_items < 4:
         return False
     n = F.col("n")
@@ -257,7 +261,8 @@ def _bands_are_cheaper(cells: DataFrame, items: int, blocks: int, band_items: in
         .agg(F.sum(squares).alias("squares"), F.sum(bands).alias("bands"))
         .first()
     )
-    return cost["bands"] < cost["squares"]
+    candidates = items * (k + 1) * CANDIDATE_BYTES
+    return cost["bands"] + candidates < cost["squares"] + candidates * blocks
 
 
 def _tiles(

@@ -19,7 +19,6 @@ def build_session(app_name: str, master: str | None = None, **conf: str) -> Spar
         "spark.sql.session.timeZone": "UTC",
         # Rows that carry arrays make large batches.
         "spark.sql.execution.arrow.maxRecordsPerBatch": "4000",
-        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
     }
     builder = SparkSession.builder.appName(app_name)
