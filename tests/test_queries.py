@@ -30,16 +30,16 @@ def comparable(names, rows):
     return sorted(names), sorted(plain, key=lambda r: tuple((v is None, str(v)) for v in r))
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.library_queries()))
 def test_query_equals_sql(spark, sql, name):
-    df = entry.queries()[name](spark, str(DATA))
-    found = sql.execute(entry.oracle_sql()[name])
+    df = entry.library_queries()[name](spark, str(DATA))
+    found = sql.execute(entry.library_sql()[name])
     want = comparable([c[0] for c in found.description], found.fetchall())
     assert comparable(df.columns, [tuple(r) for r in df.collect()]) == want
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(entry.library_queries()) == set(entry.library_sql())
 
 
 def test_known_answer(spark):
@@ -48,15 +48,15 @@ def test_known_answer(spark):
     ]
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.library_queries()))
 def test_plans_have_no_cross_join_and_no_row_python(spark, name):
-    plan = entry.queries()[name](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
+    plan = entry.library_queries()[name](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
     for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
         assert node not in plan
 
 
 def plan_of(spark, name):
-    return entry.queries()[name](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
+    return entry.library_queries()[name](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
 
 
 def test_filters_and_columns_reach_the_scan(spark):
