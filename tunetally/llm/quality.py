@@ -200,10 +200,9 @@ def references(texts: DataFrame) -> DataFrame:
     letters = F.greatest(F.col("q_chars") - F.col("q_char_bins")[DIGITS], F.lit(1))
     sums = shares("q_char_bins", N_CHARS, letters) + shares("q_word_bins", N_WORDS, F.col("n_words"))
     judged = texts.where(~base_failed() & _long_enough() & F.col("lang").isNotNull())
+    least = max(MIN_REFERENCE_TEXTS, MIN_REFERENCE_SHARE * judged.count())
     grouped = judged.groupBy("lang").agg(F.count("*").alias("texts"), *sums)
-    every = grouped.agg(F.sum("texts").alias("all_texts"), F.lit(1).alias("one"))
-    share = F.col("texts") >= F.greatest(F.lit(MIN_REFERENCE_TEXTS), MIN_REFERENCE_SHARE * F.col("all_texts"))
-    return grouped.withColumn("one", F.lit(1)).join(every, "one").where(share).select(
+    return grouped.where(F.col("texts") >= least).select(
         F.col("lang").alias("ref_lang"),
         F.array(*(F.col(f"q_char_bins_{k}") for k in range(N_CHARS))).alias("ref_chars"),
         F.array(*(F.col(f"q_word_bins_{k}") for k in range(N_WORDS))).alias("ref_words"),
