@@ -94,6 +94,45 @@ def _best_pattern(values: np.ndarray, sizes: np.ndarray, room: int) -> tuple[flo
     return float(best[room]), pattern
 
 
+def _inverse(matrix: np.ndarray) -> np.ndarray:
+    """By elimination with whole rows: threads of a numeric library, which may wait for
+    each other beside a busy JVM, have no part in it."""
+    n = len(matrix)
+    both = np.hstack([matrix, np.eye(n)])
+    for k in range(n):
+        pivot = k + int(np.abs(both[k:, k]).argmax())
+        both[[k, pivot]] = both[[pivot, k]]
+        both[k] /= both[k, k]
+        factors = both[:, k].copy()
+        factors[k] = 0
+        both -= factors[:, None] * both[k]
+    return both[:, n:]
+
+
+def _times(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    return (matrix * vector).sum(axis=1)
+
+
+def _greedy_basis(sizes: np.ndarray, wanted: np.ndarray, room: int) -> np.ndarray:
+    """A first basis: fill sequences with the largest sizes left until one is used up.
+
+    Every pattern uses up one size that no later one has, so the patterns (columns) are
+    independent and their amounts positive.
+    """
+    left, basis = wanted.copy(), np.zeros((len(sizes), len(sizes)))
+    for _ in sizes:
+        pattern, space = np.zeros(len(sizes)), room
+        for k in np.flatnonzero(left > 0)[::-1]:
+            pattern[k] = space // sizes[k]
+            space -= pattern[k] * sizes[k]
+        copies = np.where(pattern > 0, left / np.maximum(pattern, 1), np.inf)
+        ends = int(copies.argmin())
+        left -= copies[ends] * pattern
+        left[ends] = 0
+        basis[:, ends] = pattern
+    return basis
+
+
 def solve(sizes: np.ndarray, demand: np.ndarray, room: int) -> list[tuple[int, np.ndarray]]:
     """Patterns (pieces of each size) and how often to use each, covering `demand` exactly.
 
@@ -101,25 +140,30 @@ def solve(sizes: np.ndarray, demand: np.ndarray, room: int) -> list[tuple[int, n
     """
     if not len(sizes):
         return []
-    basis = np.diag(room // sizes).astype(float)  # columns are patterns
-    inverse = np.linalg.inv(basis)
-    amounts = inverse @ demand
+    # Equal demands make the simplex walk in circles; slightly different ones don't.
+    wanted = demand + np.random.default_rng(0).uniform(0.01, 0.1, len(sizes))
+    basis = _greedy_basis(sizes, wanted, room)
+    inverse = _inverse(basis)
+    amounts = np.maximum(_times(inverse, wanted), 0)
     for step in range(1, MAX_STEPS):
         prices = inverse.sum(axis=0)
         value, pattern = _best_pattern(prices, sizes, room)
         if value <= 1 + GAP:
             break
-        column = inverse @ pattern
-        ratios = np.where(column > 1e-9, amounts / np.where(column > 1e-9, column, 1), np.inf)
-        leaves = int(ratios.argmin())
+        column = _times(inverse, pattern)
+        usable = column > 1e-7
+        ratios = np.where(usable, amounts / np.where(usable, column, 1), np.inf)
+        # Of the patterns that leave first, the one with the largest share in the new one.
+        near = ratios <= ratios.min() + 1e-9 * (1 + ratios.min())
+        leaves = int(np.where(near, column, -1).argmax())
         basis[:, leaves] = pattern
         if step % 256:
             row = inverse[leaves] / column[leaves]
-            inverse -= np.outer(column, row)
+            inverse -= column[:, None] * row
             inverse[leaves] = row
         else:
-            inverse = np.linalg.inv(basis)
-        amounts = np.maximum(inverse @ demand, 0)
+            inverse = _inverse(basis)
+        amounts = np.maximum(_times(inverse, wanted), 0)
     left = demand.astype(np.int64).copy()
     out = []
     for k in np.argsort(-amounts, kind="stable"):

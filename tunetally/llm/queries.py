@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tunetally.llm import quality
+from tunetally.llm import near_dedup, packing, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,11 +15,21 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.linked(documents(spark, sf_dir), shingle=4)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(documents(spark, sf_dir))
 
 
+def op9_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
+    "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op8_quality_rules": op8_quality_rules,
+    "op9_cutting_stock_packing": op9_cutting_stock_packing,
 }
 ORACLE_SQL: dict[str, str] = {}
