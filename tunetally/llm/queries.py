@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tunetally.llm import near_dedup, packing, quality
+from tunetally.llm import blob_ledger, near_dedup, packing, quality, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,14 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.linked(documents(spark, sf_dir), shingle=4)
 
 
+def op3_blob_ledger_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blob_ledger.report(documents(spark, sf_dir))
+
+
+def op6_difference_cover_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removal_report(documents(spark, sf_dir))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(documents(spark, sf_dir))
 
@@ -29,6 +37,8 @@ def op9_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op3_blob_ledger_secrets": op3_blob_ledger_secrets,
+    "op6_difference_cover_substrings": op6_difference_cover_substrings,
     "op8_quality_rules": op8_quality_rules,
     "op9_cutting_stock_packing": op9_cutting_stock_packing,
 }
