@@ -119,7 +119,7 @@ def test_components(spark):
 def test_filter_keeps_one_of_each(make_docs):
     text = " ".join(f"w{k}" for k in range(30))
     docs = make_docs((3, text), (1, text), (1, text), (None, text), (None, text), (5, "x y"), (6, None), (7, None))
-    docs = docs.withColumns({"node": docs.lang, "bucket": docs.doc_id, "label": docs.lang, "component": docs.lang})
+    docs = docs.withColumns({"band": docs.lang, "size": docs.lang, "node": docs.lang, "bucket": docs.doc_id, "label": docs.lang, "component": docs.lang})
     out = near_dedup.near_dedup(docs)
     assert out.columns == docs.columns
     assert sorted(str(r.doc_id) for r in out.collect()) == ["1", "5", "6", "7", "None", "None"]

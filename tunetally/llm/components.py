@@ -1,6 +1,6 @@
 """Connected components of a table of links, as joins and aggregates.
 
-Links are turned into stars by alternating two steps until nothing changes: every node
+Links are turned into stars by alternating two steps until all are stars: every node
 tells its larger neighbours the smallest node it knows, then every node ties its smaller
 neighbours to the smallest of them. All tables stay distributed and every step is written,
 so a lost executor costs a reread only.
@@ -35,13 +35,17 @@ def components(links: DataFrame, label: str) -> DataFrame:
     the smallest node it reaches. Nodes without links are not listed; nulls are no nodes."""
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     edges = edges.where((F.col("u") != F.col("v")) & links["a"].isNotNull() & links["b"].isNotNull())
-    edges, before = materialize(edges.distinct(), label), None
-    while True:
+    edges = materialize(edges.distinct(), label)
+    while not _done(edges):
         edges = materialize(_stars(materialize(_stars(edges, False), label), True), label)
-        sums = F.sum(F.hash("u", "v").cast("decimal(38,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))
-        state = edges.agg(F.count("*"), *sums).first()
-        if state == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
-                edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            )
-        before = state
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
+        edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    )
+
+
+def _done(edges: DataFrame) -> bool:
+    """Whether all are stars: no node has two smaller neighbours, or one and a larger one."""
+    sides = edges.select(F.col("u").alias("node"), F.lit(1).alias("low"))
+    sides = sides.union(edges.select(F.col("v").alias("node"), F.lit(0).alias("low")))
+    mixed = sides.groupBy("node").agg(F.sum("low").alias("lows"), F.min("low").alias("least"))
+    return mixed.where("lows > 1 or (lows = 1 and least = 0)").isEmpty()

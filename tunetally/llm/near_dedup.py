@@ -7,11 +7,12 @@ reaches the threshold, given the matches so far and a uniform prior, is at least
 `MISS`. Pairs that come through are confirmed on the full sets.
 
 A bucket of n nodes is not spread out into n * n pairs. What is wanted are components, so
-each round compares the nodes of a bucket with one leader of it, and only nodes that are
-not yet in the leader's component. The first round takes the smallest node of the bucket
-as leader, the second one picks a node by hash. Buckets that still hold several components
-then have the pairs between components compared: small buckets as rows, large ones in
-blocks of signatures, of which only pairs that pass the bounds come out.
+the nodes of a bucket are first compared with two leaders of it, the smallest node and the
+one with the smallest hash, which mostly are the same in all buckets of a group of copies.
+Buckets that then still hold several components have the pairs between components
+compared: small buckets as rows, large ones in blocks of nodes. A task gets two blocks with
+signatures and sets, takes each pair in the first band it shares only, and returns links
+that join components, so fewer than it has nodes.
 
 Defined results: a null or empty text and one without words has an empty set and is linked
 with nothing; a null doc_id is in no component and stays; rows that repeat have one result
@@ -45,7 +46,7 @@ BATCH = 32
 MISS = 1e-7
 #: Buckets up to this size are compared as rows; larger ones in blocks of `BLOCK` nodes.
 SMALL_BUCKET = 32
-BLOCK = 1024
+BLOCK = 512
 N_HASHES = BANDS * BAND_ROWS
 _U64 = np.uint64
 
@@ -185,59 +186,81 @@ class _Linker:
         found = sides.select("a", "b", "sa", "sb").mapInArrow(run, f"a {self.key}, b {self.key}")
         return found.distinct()
 
-    def labelled(self, labels: DataFrame | None) -> DataFrame:
-        """The members of buckets that hold several components, with `label`."""
-        if labels is None:
-            return self.members.withColumn("label", F.col("node"))
+    def open_members(self, labels: DataFrame) -> DataFrame:
+        """The members of buckets that hold several components: bucket, band, node, label
+        and the size of the bucket."""
         named = self.members.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
-        named = materialize(named.select("bucket", "node", "label"), "near-labels")
-        open_ = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-        return named.join(open_.where("lo < hi").select("bucket"), "bucket", "left_semi")
-
-    def with_leader(self, members: DataFrame, smallest: bool) -> DataFrame:
-        """Pairs of a leader of each bucket and the nodes of other components there."""
-        order = F.col("node") if smallest else F.xxhash64("bucket", "node")
-        best = F.min(F.struct(order.alias("o"), F.col("node").alias("a"), F.col("label").alias("own")))
-        leaders = members.groupBy("bucket").agg(best.alias("x")).select("bucket", "x.a", "x.own")
-        other = members.join(leaders, "bucket").where(F.col("label") != F.col("own"))
-        return other.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-
-    def between(self, members: DataFrame) -> DataFrame:
-        """All pairs of different components within the buckets, as far as the bounds let
-        them through; no bucket is spread out into pairs of rows beyond `SMALL_BUCKET`."""
-        sizes = members.groupBy("bucket").agg(F.count("*").alias("size"))
-        sized = materialize(members.join(sizes, "bucket"), "near-open")
-        small = sized.where(F.col("size") <= SMALL_BUCKET)
+        named = materialize(named.select("bucket", "band", "node", "label"), "near-labels")
+        sums = F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")
+        open_ = named.groupBy("bucket").agg(*sums).where("lo < hi").select("bucket", "size")
+        return materialize(named.join(open_, "bucket"), "near-open")
+
+    def with_leaders(self) -> DataFrame:
+        """Pairs of each node and the leaders of its buckets."""
+        by_hash = F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("n"))
+        leaders = self.members.groupBy("bucket").agg(F.array(F.min("node"), F.min(by_hash)["n"]).alias("leaders"))
+        met = self.members.join(leaders, "bucket").select("node", F.explode("leaders").alias("leader"))
+        met = met.where("node <> leader")
+        return met.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
+
+    def in_small(self, members: DataFrame) -> DataFrame:
+        """Pairs of different components in buckets up to `SMALL_BUCKET`."""
+        small = members.where(F.col("size") <= SMALL_BUCKET)
         left = small.select("bucket", F.col("node").alias("a"), F.col("label").alias("la"))
         right = small.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb"))
-        pairs = left.join(right, "bucket").where("a < b and la <> lb").select("a", "b").distinct()
-        large = sized.where(F.col("size") > SMALL_BUCKET).join(self.nodes.select("node", "signature"), "node")
+        return left.join(right, "bucket").where("a < b and la <> lb").select("a", "b").distinct()
+
+    def in_large(self, members: DataFrame) -> DataFrame:
+        """Links that join components in buckets beyond `SMALL_BUCKET`."""
+        large = members.where(F.col("size") > SMALL_BUCKET)
+        if large.isEmpty():
+            return self.members.sparkSession.createDataFrame([], f"a {self.key}, b {self.key}")
+        large = large.join(self.nodes.select("node", "signature"), "node").join(self.sets, "node")
         blocks = F.ceil(F.col("size") / BLOCK)
-        block = F.pmod(F.xxhash64("node"), blocks)
+        large = large.withColumn("block", F.pmod(F.xxhash64("node"), blocks))
         # Every two blocks of a bucket meet once; a block meets itself as well.
-        met = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
-        met = large.withColumn("block", block).withColumn("with", met)
+        met = large.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
         met = met.withColumns({"i": F.least("block", "with"), "j": F.greatest("block", "with")})
-        bounds = self.bounds
+        met = met.select("bucket", "i", "j", "band", "node", "label", "block", "signature", "shingles")
+        bounds, percent = self.bounds, self.percent
 
         def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-            signatures = np.frombuffer(b"".join(rows["signature"]), np.uint32).reshape(-1, N_HASHES)
-            nodes, labels = rows["node"].to_numpy(), rows["label"].to_numpy()
-            side = rows["block"].to_numpy()
-            found = []
-            for k in np.flatnonzero(side == key[1]):
-                others = np.flatnonzero((side == key[2]) & (labels != labels[k]))
-                if key[1] == key[2]:
-                    others = others[others > k]
-                if len(others):
-                    mine = np.broadcast_to(signatures[k], (len(others), N_HASHES))
-                    alive = others[survivors(mine, signatures[others], bounds)]
-                    found += [(min(nodes[k], x), max(nodes[k], x)) for x in nodes[alive]]
-            return pd.DataFrame(found, columns=["a", "b"])
-
-        met = met.select("bucket", "i", "j", "node", "label", "block", "signature")
-        found = met.groupBy("bucket", "i", "j").applyInPandas(compare, f"a {self.key}, b {self.key}")
-        return self.likely(pairs).union(found).distinct()
+            return pd.DataFrame(_joining_links(key[1], key[2], rows, bounds, percent), columns=["a", "b"])
+
+        return met.groupBy("bucket", "i", "j").applyInPandas(compare, f"a {self.key}, b {self.key}")
+
+
+def _joining_links(i: int, j: int, rows: pd.DataFrame, bounds: list[tuple[int, int]], percent: int) -> list[tuple]:
+    """Links between the nodes of blocks i and j that join different components."""
+    signatures = np.frombuffer(b"".join(rows["signature"]), np.uint32).reshape(-1, N_HASHES)
+    nodes, block = rows["node"].to_numpy(), rows["block"].to_numpy()
+    labels = pd.factorize(rows["label"])[0]
+    band = int(rows["band"].iloc[0]) * BAND_ROWS
+    sizes = np.array([len(x) // 8 for x in rows["shingles"]])
+    starts = np.cumsum(sizes) - sizes
+    distinct, codes = np.unique(np.frombuffer(b"".join(rows["shingles"]), _U64), return_inverse=True)
+    marked, found = np.zeros(len(distinct), np.int64), []
+    for k in np.flatnonzero(block == i):
+        others = np.flatnonzero((block == j) & (labels != labels[k]))
+        if i == j:
+            others = others[others > k]
+        if not len(others):
+            continue
+        same = (signatures[others, :band] == signatures[k, :band]).reshape(len(others), -1, BAND_ROWS)
+        others = others[~same.all(axis=2).any(axis=1)]
+        mine = np.broadcast_to(signatures[k], (len(others), N_HASHES))
+        others = others[survivors(mine, signatures[others], bounds)]
+        if not len(others):
+            continue
+        own = codes[starts[k] : starts[k] + sizes[k]]
+        marked[own] = 1
+        both = np.add.reduceat(marked[codes], starts)[others]
+        marked[own] = 0
+        for other in others[100 * both >= percent * (sizes[k] + sizes[others] - both)]:
+            if labels[other] != labels[k]:
+                labels[labels == labels[other]] = labels[k]
+                found.append((min(nodes[k], nodes[other]), max(nodes[k], nodes[other])))
+    return found
 
 
 def linked(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -249,22 +272,18 @@ def linked(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> D
     nodes = materialize(nodes, "near-nodes")
     width = 4 * BAND_ROWS
     bands = [F.xxhash64(F.lit(k), F.substring("signature", 1 + k * width, width)) for k in range(BANDS)]
-    banded = nodes.select("node", F.explode(F.array(*bands)).alias("bucket"))
+    banded = nodes.select("node", F.posexplode(F.array(*bands)).alias("band", "bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = materialize(banded.join(shared.select("bucket"), "bucket", "left_semi"), "near-members")
     linker = _Linker(docs, nodes, members, shingle, percent)
-    labels, links, tested = None, None, None
-    for step in ("smallest", "hashed", "between"):
-        found = linker.labelled(labels)
-        pairs = linker.between(found) if step == "between" else linker.with_leader(found, step == "smallest")
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "near-pairs")
-        likely = pairs if step == "between" else linker.likely(pairs)
-        fresh = linker.confirmed(likely)
-        tested = pairs if tested is None else tested.union(pairs)
-        links = materialize(fresh if links is None else links.union(fresh), "near-links")
-        labels = components(links, "near-components")
+    pairs = materialize(linker.with_leaders(), "near-pairs")
+    links = materialize(linker.confirmed(linker.likely(pairs)), "near-links")
+    labels = components(links, "near-components")
+    members = linker.open_members(labels)
+    rest = linker.in_small(members).join(pairs, ["a", "b"], "left_anti")
+    fresh = linker.confirmed(linker.likely(rest)).union(linker.in_large(members))
+    links = links.union(materialize(fresh, "near-links"))
+    labels = components(links, "near-components")
     own = nodes.join(labels, "node", "left")
     own = own.select(*keys, F.coalesce("component", "node").alias("component_id"))
     out = rows.drop("signature").join(own, keys, "left")
