@@ -1,0 +1,65 @@
+import random
+
+import corpus_pipeline
+from llm.conftest import words_of
+from llm.test_blob_ledger import brute as brute_secrets
+from llm.test_near_dedup import brute as brute_near
+from llm.test_substrings import brute as brute_passages
+
+from tunetally.llm.tokens import encoder
+
+
+def stage(spark, name, docs):
+    return dict(corpus_pipeline.STAGES)[name](spark, docs, "")
+
+
+def test_each_stage_equals_brute_force_on_what_the_one_before_kept(spark):
+    source = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = source
+    for name in ("quality", "near_duplicates", "repeated_passages", "secrets"):
+        before = {r.doc_id: r for r in docs.collect()}
+        docs = spark.createDataFrame(stage(spark, name, docs).collect(), source.schema)
+        after = {r.doc_id: r for r in docs.collect()}
+        texts = {i: r.text for i, r in before.items()}
+        assert docs.columns == source.columns
+        if name == "quality":
+            assert all(after[i] == before[i] for i in after)
+            assert all(i not in after for i, t in texts.items() if len(words_of(t)) < 20)
+            assert len(after) > 0.7 * len(before)
+        elif name == "near_duplicates":
+            group, _ = brute_near(texts, 5)
+            assert {i: r for i, r in before.items() if group[i] == i} == after
+        elif name == "repeated_passages":
+            want = brute_passages(texts)
+            assert {i: words_of(r.text) for i, r in after.items()} == {i: w[3] for i, w in want.items()}
+            assert all(r.n_chars == len(r.text) for r in after.values())
+        else:
+            for i, t in texts.items():
+                spans = brute_secrets(t)
+                assert bool(spans) == (after[i].text != t)
+                assert not brute_secrets(after[i].text)
+                for _, a, b in spans:
+                    assert t[a:b] not in after[i].text
+    encode = encoder("byte_bpe_50k.json")
+    pieces = stage(spark, "packing", docs).collect()
+    got = {}
+    for p in pieces:
+        got[p.doc_id] = got.get(p.doc_id, 0) + p.length
+    assert got == {r.doc_id: len(encode(r.text)) + 1 for r in docs.collect()}
+
+
+def test_run_on_odd_tables(spark, tmp_path, make_docs):
+    rng = random.Random(1)
+    clean = [(k, " ".join(rng.choice(("the", "of", "and", "house", "river", "was", "in", f"x{k}")) for _ in range(80)), "en") for k in range(30)]
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = [*clean, (50, clean[0][1], "en"), (None, None, None), (51, "", None), (52, clean[1][1] + " " + passage), (53, clean[2][1] + " " + passage)]
+    docs = make_docs(*rows).withColumn("text_", make_docs(*rows).lang)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    ids = {r.doc_id for r in out}
+    assert 0 in ids and 50 not in ids and None not in ids and 51 not in ids and {52, 53} <= ids
+    tokens = {r.doc_id: r.doc_tokens for r in out}
+    assert tokens[53] < tokens[52]
+    (tmp_path / "empty").mkdir()
+    docs.limit(0).write.parquet(str(tmp_path / "empty" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "empty")).count() == 0

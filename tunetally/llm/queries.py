@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tunetally.llm import blob_ledger, near_dedup, packing, quality, substrings
+from tunetally.llm import (
+    blob_ledger,
+    fingerprints,
+    language,
+    near_dedup,
+    packing,
+    pieces,
+    pii,
+    quality,
+    sequences,
+    substrings,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +26,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded(documents(spark, sf_dir))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.linked(documents(spark, sf_dir), shingle=4)
 
@@ -23,10 +38,22 @@ def op3_blob_ledger_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blob_ledger.report(documents(spark, sf_dir))
 
 
+def op4_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(documents(spark, sf_dir))
+
+
+def op5_byte_network_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identified(documents(spark, sf_dir))
+
+
 def op6_difference_cover_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removal_report(documents(spark, sf_dir))
 
 
+def op7_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.beside_next(documents(spark, sf_dir))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(documents(spark, sf_dir))
 
@@ -35,11 +62,22 @@ def op9_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op10_packed_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.packed(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_blob_ledger_secrets": op3_blob_ledger_secrets,
+    "op4_feistel_pii": op4_feistel_pii,
+    "op5_byte_network_language": op5_byte_network_language,
     "op6_difference_cover_substrings": op6_difference_cover_substrings,
+    "op7_bottom_k_fingerprints": op7_bottom_k_fingerprints,
     "op8_quality_rules": op8_quality_rules,
     "op9_cutting_stock_packing": op9_cutting_stock_packing,
+    "op10_packed_token_ids": op10_packed_token_ids,
 }
+#: None of the ten is SQL as a whole; tests hold each against brute force, a library, an
+#: exact round trip or held-out labels.
 ORACLE_SQL: dict[str, str] = {}
