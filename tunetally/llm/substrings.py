@@ -28,8 +28,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tunetally.llm.words import Texts, binary_column, chunks, mix, window_hashes
 
@@ -38,7 +41,7 @@ SIZE = 13
 PART_BYTES = 16 << 20
 _U64 = np.uint64
 PACKED = "part int, docs binary, counts binary, hashes binary, settled boolean"
-FOUND = "doc_id long, hashes binary"
+FOUND = "bucket int, docs binary, counts binary, hashes binary"
 
 
 def difference_cover(period: int) -> tuple[int, ...]:
@@ -72,25 +75,31 @@ def _anchors(texts: Texts, words: np.ndarray, size: int) -> tuple[np.ndarray, np
     return at, window_hashes(words, short, 21)[at] if len(at) else np.zeros(0, _U64)
 
 
-def _keyed(hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    return mix(hashes ^ mix(rows.astype(_U64) + _U64(1)))
+def _keyed(hashes: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    return mix(hashes ^ mix(docs.astype(_U64) + _U64(1)))
 
 
 class _Known:
-    """Hashes that were sent back for each row of a batch."""
+    """Hashes that were sent back for the documents of a bucket."""
 
-    def __init__(self, lists: pa.Array):
-        flat = [b"".join(x) if x else b"" for x in lists.to_pylist()]
-        rows = np.repeat(np.arange(len(flat)), [len(x) // 8 for x in flat])
-        self.keys = np.sort(_keyed(np.frombuffer(b"".join(flat), _U64), rows))
+    def __init__(self, found: pa.Table):
+        docs = [np.repeat(np.frombuffer(d, "<i8"), np.frombuffer(c, "<i4")) for d, c in _rows(found, "docs", "counts")]
+        hashes = [np.frombuffer(h, _U64) for (h,) in _rows(found, "hashes")]
+        none = [np.zeros(0, np.int64)]
+        docs, hashes = np.concatenate(none + docs), np.concatenate([np.zeros(0, _U64), *hashes])
+        self.keys = np.sort(_keyed(hashes, docs))
 
-    def has(self, hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    def has(self, hashes: np.ndarray, docs: np.ndarray) -> np.ndarray:
         if not len(self.keys):
             return np.zeros(len(hashes), bool)
-        keys = _keyed(hashes, rows)
+        keys = _keyed(hashes, docs)
         return self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)] == keys
 
 
+def _rows(table: pa.Table, *names: str) -> Iterator[tuple]:
+    return zip(*(table.column(n).to_pylist() for n in names), strict=True)
+
+
 def _by_document(docs: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct documents of entries sorted by document, entries of each, and bounds."""
     starts = np.flatnonzero(np.append(True, docs[1:] != docs[:-1])) if len(docs) else np.zeros(0, int)
@@ -121,6 +130,9 @@ PACKED_SCHEMA = pa.schema(
 )
 
 
+FOUND_SCHEMA = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary())])
+
+
 def _pack(docs: np.ndarray, hashes: np.ndarray, tails: np.ndarray, parts: int) -> pa.RecordBatch:
     """One row per part: documents, entries of each, and the bytes of the entries."""
     part = _parts(hashes, parts)
@@ -140,7 +152,8 @@ def _pack(docs: np.ndarray, hashes: np.ndarray, tails: np.ndarray, parts: int) -
 
 
 def _share_anchors(docs: DataFrame, size: int, parts: int) -> DataFrame:
-    """doc_id and its anchors that other documents have as well, packed."""
+    """The anchors of documents (doc_id, text) that other documents have as well, packed
+    by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,13 +192,18 @@ def _share_anchors(docs: DataFrame, size: int, parts: int) -> DataFrame:
         at = np.minimum(np.searchsorted(twice, keys), max(len(twice) - 1, 0))
         return twice[at] == keys if len(twice) else np.zeros(len(keys), bool)
 
-    return _exchange(docs, run, parts, 5, lambda part, docs, entries: meet(part, entries))
+    return _exchange(docs.mapInArrow(run, PACKED), parts, 5, lambda part, docs, entries: meet(part, entries))
 
 
-def _exchange(docs: DataFrame, run: Callable, parts: int, width: int, decide: Callable) -> DataFrame:
-    """Pack by `run`, bring each part of the hash range together, let `decide` choose
-    entries, and return the chosen hashes (their first 8 bytes, or what there is of them)
-    per document."""
+def _buckets(docs: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each document, by a hash of its doc_id."""
+    return (mix(docs.astype(np.int64).view(_U64)) % _U64(buckets)).astype(np.int32)
+
+
+def _exchange(docs: DataFrame, parts: int, width: int, decide: Callable) -> DataFrame:
+    """Bring each part of the hash range together, let `decide` choose entries, and return
+    the chosen hashes (their first 8 bytes, or what there is of them): rows of bucket,
+    docs, counts, hashes, where a row holds all that one part has for one bucket."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -193,69 +211,107 @@ def _exchange(docs: DataFrame, run: Callable, parts: int, width: int, decide: Ca
             for row in batch.to_pylist():
                 ids, counts = np.frombuffer(row["docs"], "<i8"), np.frombuffer(row["counts"], "<i4")
                 if row["settled"]:
-                    yield found(ids, counts, np.frombuffer(row["hashes"], _U64))
+                    yield found(np.repeat(ids, counts), np.frombuffer(row["hashes"], _U64))
                 else:
                     entries = np.frombuffer(row["hashes"], np.uint8).reshape(-1, width)
                     held.setdefault(row["part"], []).append((np.repeat(ids, counts), entries))
         for part in sorted(held):
             owners, entries = (np.concatenate(x) for x in zip(*held.pop(part), strict=True))
             chosen = decide(part, owners, entries)
-            owners, entries = owners[chosen], entries[chosen]
-            order = np.argsort(owners, kind="stable")
-            ids, counts, _ = _by_document(owners[order], entries)
-            keys = np.zeros((len(order), 8), np.uint8)
-            keys[:, : min(width, 8)] = entries[order][:, :8]
-            yield found(ids, counts, keys.view(_U64).ravel())
-
-    def found(ids: np.ndarray, counts: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
+            keys = np.zeros((len(entries[chosen]), 8), np.uint8)
+            keys[:, : min(width, 8)] = entries[chosen][:, :8]
+            yield found(owners[chosen], keys.view(_U64).ravel())
+
+    def found(owners: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
         if width < 8:
             hashes = hashes & _U64((1 << 8 * width) - 1)
-        packed = binary_column(hashes, np.append(0, np.cumsum(counts)))
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), packed], names=["doc_id", "hashes"])
+        buckets = _buckets(owners, parts)
+        order = np.lexsort((owners, buckets))
+        owners, hashes, buckets = owners[order], hashes[order], buckets[order]
+        bounds = np.searchsorted(buckets, np.arange(parts + 1))
+        rows = {name: [] for name in ("bucket", "docs", "counts", "hashes")}
+        for k in np.flatnonzero(np.diff(bounds)):
+            own = slice(bounds[k], bounds[k + 1])
+            ids, counts, _ = _by_document(owners[own], hashes[own])
+            rows["bucket"].append(int(k))
+            rows["docs"].append(ids.astype("<i8").tobytes())
+            rows["counts"].append(counts.astype("<i4").tobytes())
+            rows["hashes"].append(hashes[own].tobytes())
+        return pa.RecordBatch.from_pydict(rows, FOUND_SCHEMA)
+
+    return docs.repartition(parts, "part").mapInArrow(meet, FOUND)
+
+
+def _squeezed(docs: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
+    """`docs` with the bucket of each row, and the text as compressed bytes, which is what
+    the shuffles carry. Rows without a doc_id are dealt in turn."""
 
-    packed = docs.mapInArrow(run, PACKED).repartition(parts, "part")
-    rows = packed.mapInArrow(meet, FOUND)
-    return rows.groupBy("doc_id").agg(F.collect_list("hashes").alias("known"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            ids = batch.column(key_at)
+            bucket = np.where(ids.is_valid().to_numpy(False), _buckets(_ids(ids), buckets), np.arange(len(ids)) % buckets)
+            texts = [None if t is None else squeeze(t) for t in batch.column(at).cast(pa.binary()).to_pylist()]
+            columns = list(batch.columns)
+            columns[at] = pa.array(texts, pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), *columns], names=names)
+
+    names, key_at, at = ["bucket", *docs.columns], docs.columns.index(key), docs.columns.index(text)
+    kinds = [T.StructField(f.name, T.BinaryType() if f.name == text else f.dataType) for f in docs.schema]
+    return docs.mapInArrow(run, T.StructType([T.StructField("bucket", T.IntegerType()), *kinds]))
+
+
+def _texts(column: pa.ChunkedArray) -> pa.Array:
+    """Texts from compressed bytes; nulls are empty."""
+    expand = zstandard.ZstdDecompressor().decompress
+    return pa.array([b"" if t is None else expand(t) for t in column.to_pylist()], pa.large_binary())
 
 
-def _earlier_windows(docs: DataFrame, size: int, parts: int) -> DataFrame:
-    """`docs` (doc_id, text, known anchors) to doc_id and its windows that a document with
-    a smaller doc_id has as well."""
+def _ids(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """doc_ids as numbers; nulls, which nothing is found for, are 0 and told apart elsewhere."""
+    return np.asarray(pc.fill_null(column.cast(pa.int64()), 0))
+
+
+def _earlier_windows(docs: DataFrame, anchors: DataFrame, size: int, parts: int) -> DataFrame:
+    """The windows of documents (bucket, doc_id, text) that a document with a smaller
+    doc_id has as well, packed by bucket."""
     reach = period_for(size)
     mask = _U64((1 << 40) - 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, known = batch.column(0).to_numpy(), _Known(batch.column(2))
-            found, seconds, owners = [], [], []
-            for texts in chunks(batch.column(1)):
-                words = texts.word_hashes()
-                at, hashes = _anchors(texts, words, size)
-                at = at[known.has(hashes & mask, texts.first + texts.text_of[at])]
-                near = np.zeros(len(words) + 1, np.int64)
-                np.add.at(near, np.maximum(at - reach + 1, 0), 1)
-                np.add.at(near, at + 1, -1)
-                windows = texts.windows(size)
-                windows = windows[np.cumsum(near)[windows] > 0]
-                if len(windows):
-                    found.append(window_hashes(words, size, 31)[windows])
-                    seconds.append(window_hashes(words, size, 32)[windows])
-                    owners.append(ids[texts.first + texts.text_of[windows]])
-            if not found:
-                continue
-            hashes, tails, owners = np.concatenate(found), np.concatenate(seconds) >> _U64(32), np.concatenate(owners)
-            order = np.lexsort((owners, tails, hashes))
-            hashes, tails, owners = hashes[order], tails[order], owners[order]
-            first = np.append(True, (hashes[1:] != hashes[:-1]) | (tails[1:] != tails[:-1]))
-            least = owners[np.flatnonzero(first)][np.cumsum(first) - 1]
-            later = owners > least
-            fresh = np.append(True, first[1:] | (owners[1:] != owners[:-1]))
-            if later.any():
-                yield _settled(owners[later & fresh], hashes[later & fresh], parts)
-            entries = np.empty((int(first.sum()), 12), np.uint8)
-            entries[:, :8] = hashes[first].view(np.uint8).reshape(-1, 8)
-            entries[:, 8:] = tails[first].astype("<u4").view(np.uint8).reshape(-1, 4)
-            yield _pack(owners[first], hashes[first], entries, parts)
+    def run(rows: pa.Table, found: pa.Table) -> pa.Table:
+        return pa.Table.from_batches(list(packed(rows, _Known(found))), PACKED_SCHEMA)
+
+    def packed(rows: pa.Table, known: _Known) -> Iterator[pa.RecordBatch]:
+        ids = _ids(rows.column("doc_id"))
+        found, seconds, owners = [], [], []
+        for texts in chunks(_texts(rows.column("text"))):
+            words = texts.word_hashes()
+            at, hashes = _anchors(texts, words, size)
+            at = at[known.has(hashes & mask, ids[texts.first + texts.text_of[at]])]
+            near = np.zeros(len(words) + 1, np.int64)
+            np.add.at(near, np.maximum(at - reach + 1, 0), 1)
+            np.add.at(near, at + 1, -1)
+            windows = texts.windows(size)
+            windows = windows[np.cumsum(near)[windows] > 0]
+            if len(windows):
+                found.append(window_hashes(words, size, 31)[windows])
+                seconds.append(window_hashes(words, size, 32)[windows])
+                owners.append(ids[texts.first + texts.text_of[windows]])
+        if not found:
+            return
+        hashes, tails, owners = np.concatenate(found), np.concatenate(seconds) >> _U64(32), np.concatenate(owners)
+        order = np.lexsort((owners, tails, hashes))
+        hashes, tails, owners = hashes[order], tails[order], owners[order]
+        first = np.append(True, (hashes[1:] != hashes[:-1]) | (tails[1:] != tails[:-1]))
+        least = owners[np.flatnonzero(first)][np.cumsum(first) - 1]
+        fresh = np.append(True, first[1:] | (owners[1:] != owners[:-1]))
+        later = fresh & (owners > least)
+        if later.any():
+            yield _settled(owners[later], hashes[later], parts)
+        entries = np.empty((int(first.sum()), 12), np.uint8)
+        entries[:, :8] = hashes[first].view(np.uint8).reshape(-1, 8)
+        entries[:, 8:] = tails[first].astype("<u4").view(np.uint8).reshape(-1, 4)
+        yield _pack(owners[first], hashes[first], entries, parts)
 
     def decide(part: int, owners: np.ndarray, entries: np.ndarray) -> np.ndarray:
         hashes = np.ascontiguousarray(entries[:, :8]).view(_U64).ravel()
@@ -265,16 +321,19 @@ def _earlier_windows(docs: DataFrame, size: int, parts: int) -> DataFrame:
         first = np.append(True, (hashes[1:] != hashes[:-1]) | (tails[1:] != tails[:-1]))
         return order[ranked > ranked[np.flatnonzero(first)][np.cumsum(first) - 1]]
 
-    return _exchange(docs.select("doc_id", "text", "known"), run, parts, 12, decide)
+    both = docs.groupBy("bucket").cogroup(anchors.groupBy("bucket")).applyInArrow(run, PACKED)
+    return _exchange(both, parts, 12, decide)
 
 
-def _removed(texts: Texts, known: _Known, size: int) -> np.ndarray:
+def _removed(texts: Texts, known: _Known, ids: pa.ChunkedArray, size: int) -> np.ndarray:
     """Which words of the texts are in a window that an earlier document has."""
     words = texts.word_hashes()
     windows = texts.windows(size)
     if not len(windows):
         return np.zeros(len(words), bool)
-    hit = known.has(window_hashes(words, size, 31)[windows], texts.first + texts.text_of[windows])
+    rows = texts.first + texts.text_of[windows]
+    hit = known.has(window_hashes(words, size, 31)[windows], _ids(ids)[rows])
+    hit &= ids.is_valid().to_numpy()[rows]
     edges = np.zeros(len(words) + 1, np.int64)
     np.add.at(edges, windows[hit], 1)
     np.add.at(edges, windows[hit] + size, -1)
@@ -306,40 +365,40 @@ def _cut_texts(texts: Texts, removed: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return texts.data[kept], np.append(0, np.cumsum(kept))[texts.bounds]
 
 
-def found_in_earlier(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """doc_id and `known`: the windows of the document that an earlier one has, packed."""
+def _cogrouped(docs: DataFrame, size: int):
+    """`docs` with compressed texts by bucket, beside what was found for the bucket."""
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
-    shared = _share_anchors(rows, size, parts)
-    return _earlier_windows(rows.join(shared, "doc_id"), size, parts)
-
-
-def _with_known(docs: DataFrame, size: int) -> DataFrame:
-    known = found_in_earlier(docs, size).withColumnsRenamed({"doc_id": "known_id", "known": "known_windows"})
+    bucketed = _squeezed(rows, "doc_id", "text", parts)
+    windows = _earlier_windows(bucketed, _share_anchors(rows, size, parts), size, parts)
     named = docs.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)))
-    key = f"c{docs.columns.index('doc_id')}"
-    return named.join(known, F.col(key).cast("long") == F.col("known_id"), "left").drop("known_id")
+    key, text = (f"c{docs.columns.index(c)}" for c in ("doc_id", "text"))
+    squeezed = _squeezed(named, key, text, parts)
+    return squeezed.groupBy("bucket").cogroup(windows.groupBy("bucket"))
 
 
 def removal_report(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """Per row doc_id, n_words, n_removed, and the SHA-256 of the kept words."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            known = _Known(batch.column(2))
-            for texts in chunks(batch.column(1)):
-                removed = _removed(texts, known, size)
-                sums = [hashlib.sha256(x).hexdigest() for x in _joined_words(texts, ~removed)]
-                gone = np.bincount(texts.text_of[removed], minlength=texts.n)
-                columns = [batch.column(0).slice(texts.first, texts.n)]
-                columns += [pa.array(x, pa.int64()) for x in (texts.n_words, gone)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(sums, pa.string())], names=names)
+    def run(rows: pa.Table, found: pa.Table) -> pa.Table:
+        return pa.Table.from_batches(list(reported(rows.combine_chunks(), _Known(found))), schema)
+
+    def reported(rows: pa.Table, known: _Known) -> Iterator[pa.RecordBatch]:
+        ids = rows.column("c0")
+        for texts in chunks(_texts(rows.column("c1"))):
+            removed = _removed(texts, known, ids, size)
+            sums = [hashlib.sha256(x).hexdigest() for x in _joined_words(texts, ~removed)]
+            gone = np.bincount(texts.text_of[removed], minlength=texts.n)
+            columns = [ids.slice(texts.first, texts.n).combine_chunks()]
+            columns += [pa.array(x, pa.int64()) for x in (texts.n_words, gone)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(sums, pa.string())], schema=schema)
 
-    names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
-    key = docs.schema["doc_id"].dataType.simpleString()
-    kind = f"doc_id {key}, n_words long, n_removed long, kept_sha256 string"
-    return _with_known(docs.select("doc_id", "text"), size).mapInArrow(run, kind)
+    key = docs.schema["doc_id"].dataType
+    names = ["n_words", "n_removed"]
+    schema = pa.schema([("doc_id", to_arrow_type(key)), *((n, pa.int64()) for n in names), ("kept_sha256", pa.string())])
+    kind = f"doc_id {key.simpleString()}, n_words long, n_removed long, kept_sha256 string"
+    return _cogrouped(docs.select("doc_id", "text"), size).applyInArrow(run, kind)
 
 
 def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
@@ -347,26 +406,23 @@ def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
     space. A document of which nothing is left stays, with an empty text. A null text
     stays null. `n_chars` is counted again where there is such a column."""
     names = docs.columns
-    at = names.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            known = _Known(batch.column(len(names)))
-            nulls = batch.column(at).is_null()
-            parts = []
-            for texts in chunks(batch.column(at)):
-                data, bounds = _cut_texts(texts, _removed(texts, known, size))
-                parts.append(binary_column(data, bounds))
-            text = pa.concat_arrays(parts).cast(pa.string()) if parts else pa.array([], pa.string())
-            text = pc.if_else(nulls, pa.scalar(None, pa.string()), text)
-            columns = list(batch.columns[: len(names)])
-            columns[at] = text
-            yield pa.RecordBatch.from_arrays(columns, names=[f"c{k}" for k in range(len(names))])
-
-    kind = ", ".join(f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(docs.schema))
-    out = _with_known(docs, size).mapInArrow(run, kind)
+    key, at = f"c{names.index('doc_id')}", names.index("text")
+
+    def run(rows: pa.Table, found: pa.Table) -> pa.Table:
+        rows, known, parts = rows.combine_chunks(), _Known(found), []
+        for texts in chunks(_texts(rows.column(f"c{at}"))):
+            data, bounds = _cut_texts(texts, _removed(texts, known, rows.column(key), size))
+            parts.append(binary_column(data, bounds))
+        text = pa.concat_arrays(parts).cast(pa.string()) if parts else pa.array([], pa.string())
+        nulls = pc.is_null(rows.column(f"c{at}")).combine_chunks()
+        text = pc.if_else(nulls, pa.scalar(None, pa.string()), text)
+        rows = rows.drop_columns(["bucket"])
+        return rows.set_column(at, f"c{at}", text)
+
+    kinds = [T.StructField(f"c{k}", f.dataType) for k, f in enumerate(docs.schema)]
+    out = _cogrouped(docs, size).applyInArrow(run, T.StructType(kinds))
     out = out.withColumnsRenamed({f"c{k}": c for k, c in enumerate(names)})
     if "n_chars" in names:
-        n_chars = F.char_length(F.coalesce("text", F.lit(""))).cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(n_chars))
+        n_chars = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.coalesce(n_chars, F.col("n_chars")))
     return out

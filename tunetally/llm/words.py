@@ -58,7 +58,8 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         column = column.combine_chunks()
     if column.null_count:
         column = pc.fill_null(column, "")
-    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    large = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    kind = np.int64 if large else np.int32
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, offsets, data = column.buffers()
