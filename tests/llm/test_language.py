@@ -67,4 +67,4 @@ def test_whole_text_counts():
     net = L.train(windows, ["a"] * (len(windows) // 2) + ["b"] * (len(windows) // 2))
     text = bytes(np.concatenate([a[:300], b]).astype(np.uint8)).decode()
     langs, scores = L.Predictor(net).texts(pa.array([text, None]))
-    assert langs == ["b", "und"] and scores[0] > 0.7
+    assert langs == ["b", "und"] and scores[0] > 0.6

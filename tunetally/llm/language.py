@@ -133,7 +133,7 @@ class Predictor:
     def __init__(self, net: Network):
         self.net = net
         self.pairs, self.singles = [], []
-        for width, table in zip(WIDTHS, net.tables, strict=True):
+        for width, table in zip(WIDTHS if net.langs else (), net.tables, strict=True):
             table = table.astype(np.float32)
             pairs = [
                 (table[k][:, None, :] + table[k + 1][None, :, :]).reshape(-1, FILTERS)
