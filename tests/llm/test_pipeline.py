@@ -53,7 +53,8 @@ def test_run_on_odd_tables(spark, tmp_path, make_docs):
     clean = [(k, " ".join(rng.choice(("the", "of", "and", "house", "river", "was", "in", f"x{k}")) for _ in range(80)), "en") for k in range(30)]
     passage = " ".join(f"p{k}" for k in range(60))
     rows = [*clean, (50, clean[0][1], "en"), (None, None, None), (51, "", None), (52, clean[1][1] + " " + passage), (53, clean[2][1] + " " + passage)]
-    docs = make_docs(*rows).withColumn("text_", make_docs(*rows).lang)
+    docs = make_docs(*rows)
+    docs = docs.withColumns({"text_": docs.lang, "kept": docs.doc_id, "bucket": docs.lang, "found": docs.lang})
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     ids = {r.doc_id for r in out}
