@@ -5,6 +5,7 @@ import json
 import pytest
 
 from tunetally import __main__ as cli
+from tunetally.operators.profile import schema_listing
 
 PLAYS = [("u1", "S1", 1), ("u1", "S2", 2), ("u2", "S1", 3), ("u2", "S3", 1), ("u3", "S2", 1),
          ("u3", "S9", 4)]
@@ -46,6 +47,12 @@ def test_jobs(spark, tables, capsys):
     assert spark.read.parquet(str(tables / "best")).select("user_id").distinct().count() == 3
 
 
+def test_listings_are_whole(spark, capsys):
+    wide = spark.range(1).selectExpr(*[f"id AS column_{i:03}" for i in range(130)])
+    cli._show({"schema": schema_listing(wide)}, {"schema": "position"})
+    assert "column_129" in capsys.readouterr().out
+
+
 def test_unknown_jobs_are_refused(spark):
     with pytest.raises(SystemExit):
         cli.main(["fly"])

@@ -1,3 +1,6 @@
+import subprocess
+import sys
+from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
@@ -19,6 +22,31 @@ def test_only_a_local_master_falls_back_to_a_temporary_folder():
     assert session.shared_folder(fake("local[4]")).endswith("/app-1")
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.shared_folder(fake("spark://host:7077"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_folder(fake("local-cluster[2,1,1024]"))
+
+
+def test_partitions_follow_the_input():
+    assert session.shuffle_partitions(0) == 200
+    assert session.shuffle_partitions(100 * 10**12) > 700_000
+
+
+def test_the_folder_goes_with_the_session(tmp_path):
+    """In a process of its own: the session of the tests has to stay."""
+    code = f"""
+from tunetally.session import *
+s = build_session("x", "local[1]", input_bytes=1, **{{"spark.checkpoint.dir": {str(tmp_path)!r}, "spark.ui.enabled": "false"}})
+assert s.conf.get("spark.sql.shuffle.partitions") == "200"
+assert materialize(s.range(3), "t").count() == 3
+import os
+folder = shared_folder(s)
+assert os.listdir(folder)
+close_session(s)
+assert not os.path.exists(folder)
+"""
+    root = Path(__file__).resolve().parents[1]
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=180)
+    assert done.returncode == 0, done.stderr
 
 
 def test_materialized_rows_and_types_stay(spark):

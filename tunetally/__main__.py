@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tunetally.operators.decode import decode_text
 from tunetally.plans import ingest, profiles, recommend
-from tunetally.session import build_session
+from tunetally.session import build_session, close_session
 
 
 def _plays(spark: SparkSession, path: str) -> DataFrame:
@@ -21,7 +21,8 @@ def _show(parts: dict[str, DataFrame], order: dict[str, str]) -> None:
         print(f"\n{name}")
         if name in order:
             df = df.orderBy(order[name])
-        df.show(100, truncate=False)
+        # At most one row per column of the table, or a short list.
+        df.show(max(df.count(), 1), truncate=False)
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -41,7 +42,8 @@ def main(argv: list[str] | None = None) -> None:
         songs.add_argument("source")
         songs.add_argument("target")
         songs.add_argument("--glob", default="*.json")
-        songs.add_argument("--lines", action="store_true", help="one record per line")
+        songs.add_argument("--lines", action="store_true", help="one payload per line")
+        songs.add_argument("--records", choices=("first", "all"), help="of an array of records")
 
     for name, what in (
         ("profile-plays", "profile of a plays table"),
@@ -74,10 +76,14 @@ def main(argv: list[str] | None = None) -> None:
         done = ingest.ingest_plays(spark, args.source, args.target, strict=not args.lenient)
         print(f"{done.count()} plays")
     elif args.job == "ingest-songs":
-        done = ingest.ingest_songs(spark, args.source, args.target, args.glob, not args.lines)
+        done = ingest.ingest_songs(
+            spark, args.source, args.target, args.glob, not args.lines, args.records or "first"
+        )
         print(f"{done.count()} songs")
     elif args.job == "ingest-raw-songs":
-        done = ingest.ingest_raw_songs(spark, args.source, args.target, args.glob, not args.lines)
+        done = ingest.ingest_raw_songs(
+            spark, args.source, args.target, args.glob, not args.lines, args.records or "all"
+        )
         print(f"{done.count()} songs")
     elif args.job == "profile-plays":
         parts = profiles.profile_plays(_plays(spark, args.table), args.exact)
@@ -102,4 +108,9 @@ def main(argv: list[str] | None = None) -> None:
 
 
 if __name__ == "__main__":
-    main()
+    try:
+        main()
+    finally:
+        active = SparkSession.getActiveSession()
+        if active:
+            close_session(active)

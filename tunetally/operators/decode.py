@@ -55,11 +55,47 @@ def decode_drop_bad(df: DataFrame, payload: str, schema: T.StructType) -> DataFr
     A number has to be there and be one; NaN is a fractional number but not a whole one.
     """
     kept = [c for c in df.columns if c != payload]
-    good = F.col(payload).isNotNull() & F.col(_BROKEN).isNull()
+    good = F.col(payload).isNotNull() & good_record(schema)
+    return _decoded(_parsed(df, payload, schema).where(good), kept, schema)
+
+
+def split_records(df: DataFrame, payload: str, every: bool) -> DataFrame:
+    """Payloads that hold an array of records as one payload per record, or the first
+    record only; other payloads stay as they are, an array that cannot be read is null.
+
+    Adds `record_no`, the record's place in its payload from 0. An empty array has no rows.
+    """
+    records = F.from_json(payload, T.ArrayType(T.StringType()))
+    packed = F.col(payload).rlike(r"^\s*\[")
+    # What is no array is its own only record; so is an array that is broken, as a null.
+    rows = F.when(packed, F.coalesce(records, F.array(F.lit(None).cast("string"))))
+    rows = F.coalesce(rows, F.array(payload))
+    if not every:
+        rows = F.slice(rows, 1, 1)
+    kept = [c for c in df.columns if c != payload]
+    return df.select(*kept, F.posexplode(rows).alias("record_no", payload))
+
+
+def good_record(schema: T.StructType) -> Column:
+    """Whether a row of `_parsed` has every number that `schema` asks for."""
+    good = F.col(_BROKEN).isNull()
     for field in schema:
         if not isinstance(field.dataType, (T.StringType, T.BinaryType)):
             good = good & typed(F.col(field.name), field.dataType).isNotNull()
-    return _decoded(_parsed(df, payload, schema).where(good), kept, schema)
+    return good
+
+
+def record_counts(df: DataFrame, payload: str, schema: T.StructType, by: str) -> DataFrame:
+    """Per value of `by`: the records read, and how many `decode_drop_bad` keeps and drops."""
+    known = df.where(F.col(payload).isNotNull())
+    return (
+        _parsed(known, payload, schema)
+        .select(by, F.when(good_record(schema), 1).alias("_good"))
+        .unionByName(df.where(F.col(payload).isNull()).select(by, F.lit(None).cast("int").alias("_good")))
+        .groupBy(by)
+        .agg(F.count(F.lit(1)).alias("records"), F.count("_good").alias("kept"))
+        .withColumn("dropped", F.col("records") - F.col("kept"))
+    )
 
 
 def explode_records(df: DataFrame, records: str = "records") -> DataFrame:

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tunetally.session import materialize
 
@@ -12,39 +18,41 @@ MAX_TOP_ROWS = 10_000
 
 
 def running_totals(df: DataFrame, order_by: list[str], amounts: dict[str, Column]) -> DataFrame:
-    """Add, per entry of `amounts`, its sum over all rows before this one.
+    """Add, per entry of `amounts` (whole numbers), its sum over all rows before this one.
 
-    The table is range-partitioned by `order_by` and each range is summed on its own, so
-    no task holds more than one range. Rows with equal order share a range: count copies
-    first. The ranges are written down: their borders come from sampling and must not
-    move between the two passes that use them.
+    The table is range-partitioned by `order_by` and each range is summed while it passes
+    through its task, so no task holds more than a batch and there is one shuffle. Rows
+    with equal order share a range: count copies first. The ranges are written down: their
+    borders come from sampling and must not move between the passes that use them.
     """
-    ranged = materialize(
-        df.withColumns({f"_{name}": amount for name, amount in amounts.items()})
-        .repartitionByRange(*order_by)
-        .sortWithinPartitions(*order_by)
-        .withColumn("_range", F.spark_partition_id())
-        .withColumn("_seq", F.monotonically_increasing_id()),
-        "ranges",
-    )
-
-    def sum_before(of: str, part: Column, order: str) -> Column:
-        rows = Window.partitionBy(part).orderBy(order)
-        before = F.sum(of).over(rows.rowsBetween(Window.unboundedPreceding, -1))
-        return F.coalesce(before, F.lit(0))
-
+    names = list(amounts)
+    own = df.withColumns({f"_{n}": F.coalesce(a, F.lit(0)).cast("long") for n, a in amounts.items()})
+    sums = [T.StructField(f"_before_{n}", T.LongType()) for n in names]
+    schema = T.StructType([*own.schema, *sums, T.StructField("_range", T.IntegerType())])
+    places = [own.columns.index(f"_{n}") for n in names]
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, totals = TaskContext.get().partitionId(), [0] * len(places)
+        for batch in batches:
+            before = []
+            for k, place in enumerate(places):
+                amount = batch.column(place).to_numpy()
+                after = totals[k] + np.cumsum(amount)
+                before.append(pa.array(after - amount))
+                totals[k] = int(after[-1]) if len(after) else totals[k]
+            ranges = pa.array(np.full(batch.num_rows, part, np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *before, ranges], names=schema.names)
+
+    ranged = own.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
+    ranged = materialize(ranged.mapInArrow(add_up, schema), "ranges")
     # One row per range, so at most one per shuffle partition.
-    sums = ranged.groupBy("_range").agg(*[F.sum(f"_{n}").alias(f"_{n}") for n in amounts])
-    starts = sums.select(
-        "_range", *[sum_before(f"_{n}", F.lit(0), "_range").alias(f"_start_{n}") for n in amounts]
+    per_range = ranged.groupBy("_range").agg(*[F.sum(f"_{n}").alias(f"_{n}") for n in names])
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = per_range.select(
+        "_range", *[F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0)).alias(f"_start_{n}") for n in names]
     )
-    return (
-        ranged.withColumns({f"_{n}": sum_before(f"_{n}", F.col("_range"), "_seq") for n in amounts})
-        .join(F.broadcast(starts), "_range")
-        .select(
-            *df.columns,
-            *[(F.col(f"_start_{n}") + F.col(f"_{n}")).alias(n) for n in amounts],
-        )
+    return ranged.join(F.broadcast(starts), "_range").select(
+        *df.columns, *[(F.col(f"_start_{n}") + F.col(f"_before_{n}")).alias(n) for n in names]
     )
 
 

@@ -81,32 +81,30 @@ def numeric_summary(df: DataFrame, columns: list[str], exact: bool = False) -> D
     """Count, mean, sample deviation, min, quartiles and max per numeric column.
 
     The quartiles are `percentile_approx`'s, in the same pass. With `exact` they are
-    interpolated from all values, which sorts the distinct values of the columns.
+    interpolated from all values, and everything comes from one table of distinct values.
     """
-    wide = df.agg(
-        *[
-            F.struct(
-                F.lit(c).alias("column"),
-                F.count(c).alias("count"),
-                F.mean(c).cast("double").alias("mean"),
-                F.stddev_samp(c).alias("stddev"),
-                F.min(c).cast("double").alias("min"),
-                F.max(c).cast("double").alias("max"),
-                (
-                    F.lit(None).cast("array<double>")
-                    if exact
-                    else F.percentile_approx(F.col(c).cast("double"), list(QUARTILES))
-                ).alias("quartiles"),
-            ).alias(f"c{i}")
-            for i, c in enumerate(columns)
-        ]
-    )
-    rows = wide.select(_rows([F.col(c) for c in wide.columns]))
     if exact:
-        # One row per column on both sides.
-        rows = rows.drop("quartiles").join(
-            F.broadcast(quantiles(df, columns, list(QUARTILES))), "column", "left"
+        rows = _exact_summary(df, columns, list(QUARTILES))
+        absent = [F.struct(F.lit(c).alias("column")) for c in columns]
+        # A column without values has a row as well.
+        named = df.sparkSession.range(1).select(_rows(absent))
+        rows = named.join(rows, "column", "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    else:
+        wide = df.agg(
+            *[
+                F.struct(
+                    F.lit(c).alias("column"),
+                    F.count(c).alias("count"),
+                    F.mean(c).cast("double").alias("mean"),
+                    F.stddev_samp(c).alias("stddev"),
+                    F.min(c).cast("double").alias("min"),
+                    F.max(c).cast("double").alias("max"),
+                    F.percentile_approx(F.col(c).cast("double"), list(QUARTILES)).alias("quartiles"),
+                ).alias(f"c{i}")
+                for i, c in enumerate(columns)
+            ]
         )
+        rows = wide.select(_rows([F.col(c) for c in wide.columns]))
     return rows.select(
         "column",
         "count",
@@ -119,10 +117,16 @@ def numeric_summary(df: DataFrame, columns: list[str], exact: bool = False) -> D
 
 
 def quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> DataFrame:
-    """Exact interpolated quantiles: `column`, `quartiles` (an array, one per share).
+    """Exact interpolated quantiles: `column`, `quartiles` (an array, one per share)."""
+    return _exact_summary(df, columns, shares).select("column", "quartiles")
+
+
+def _exact_summary(df: DataFrame, columns: list[str], shares: list[float]) -> DataFrame:
+    """Count, mean, sample deviation, min, max and quantiles of the columns with values.
 
     Equal values are counted first, and a running total over the sorted distinct values
-    finds the ones at the wanted places: no task holds all values of a column.
+    finds the ones at the wanted places: no task holds all values of a column, and the
+    source is read once.
     """
     values = (
         df.select(
@@ -140,7 +144,11 @@ def quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> DataFra
     placed = running_totals(values, ["column", "value"], {"before": F.col("copies")})
     # The running total goes on from column to column; each starts at its lowest place.
     spans = placed.groupBy("column").agg(
-        F.min("before").alias("start"), F.sum("copies").alias("total")
+        F.min("before").alias("start"),
+        F.sum("copies").alias("total"),
+        (F.sum(F.col("value") * F.col("copies")) / F.sum("copies")).alias("mean"),
+        F.min("value").alias("min"),
+        F.max("value").alias("max"),
     )
     first = F.col("before") - F.col("start")
 
@@ -149,16 +157,23 @@ def quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> DataFra
         return F.max(F.when(here, F.col("value")))
 
     at = [F.lit(share) * (F.col("total") - 1) for share in shares]
+    off = F.col("value") - F.col("mean")
     found = (
         placed.join(F.broadcast(spans), "column")
-        .groupBy("column", "total")
+        .groupBy("column", "total", "mean", "min", "max")
         .agg(
+            F.sum(off * off * F.col("copies")).alias("squares"),
             *[value_at(F.floor(place)).alias(f"low{i}") for i, place in enumerate(at)],
             *[value_at(F.ceil(place)).alias(f"high{i}") for i, place in enumerate(at)],
         )
     )
     return found.select(
         "column",
+        F.col("total").alias("count"),
+        "mean",
+        F.when(F.col("total") > 1, F.sqrt(F.col("squares") / (F.col("total") - 1))).alias("stddev"),
+        "min",
+        "max",
         F.array(
             *[
                 F.col(f"low{i}")

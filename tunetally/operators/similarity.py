@@ -38,10 +38,14 @@ PART_CELLS = 4_096
 CHUNK_CELLS = 4_096
 # With at most this many blocks the squares are always cheap enough.
 FEW_BLOCKS = 16
+# A band has at least so many items, however large the catalogue is.
+BAND_ITEMS = 16
 # About the bytes in a shuffle of a pair of segments, an entry of one, and a candidate.
-PAIR_BYTES, ENTRY_BYTES, CANDIDATE_BYTES = 150, 12, 24
-# Segment pairs of one tile in one task before the tile is split over several tasks.
+PAIR_BYTES, ENTRY_BYTES, CANDIDATE_BYTES = 150, 20, 24
+# Segment pairs of one tile in one task before the tile is split over several tasks, and
+# the entries in these.
 TILE_ROWS = 20_000_000
+TILE_ENTRIES = 100_000_000
 DIGITS = 9
 
 
@@ -127,7 +131,7 @@ def nearest(
     if only_items is None:
         items = items.withColumn("left_code", F.col("code"))
         left_count, left_blocks = size.keys, blocks
-        band_items = block_items**2 // max(size.keys, 1)
+        band_items = max(block_items**2 // max(size.keys, 1), BAND_ITEMS)
         if bands is None:
             bands = _bands_are_cheaper(cells, size.keys, blocks, band_items, k)
         if bands:
@@ -141,11 +145,11 @@ def nearest(
         left_blocks = max(ceil(left_count / block_items), 1)
     symmetric = only_items is None and not bands
 
-    weight = F.coalesce(F.col("play_count") / F.nullif(F.col("norm"), F.lit(0.0)), F.lit(0.0))
+    count = F.col("play_count").cast("double")
     # By user from here on: the segments and their join need no further shuffle.
     weighted = (
         lookup(cells, items, "item_id", "listeners", size)
-        .select("user_id", "code", "left_code", weight.alias("w"))
+        .select("user_id", "code", "left_code", count.alias("w"), F.col("norm").alias("n"))
         .repartition("user_id")
     )
     right = _chunks(weighted) if bands else _segments(weighted, "code", blocks)
@@ -162,6 +166,9 @@ def nearest(
         digits=DIGITS,
     )
     tiles = _tiles(left, right, left_blocks, symmetric, whole_history=only_items is None)
+    if bands and size.facts > tile_rows:
+        # A row of a band carries the whole history of its user, or a chunk of it.
+        tile_rows = min(tile_rows, max(int(TILE_ENTRIES / _entries_per_row(cells)), 1))
     if size.facts > tile_rows and _largest_tile(items, grid) > tile_rows:
         sums = (
             _slabs(tiles, items, grid, tile_rows)
@@ -178,17 +185,22 @@ def nearest(
     return Nearest(_merge(best, items, k), cells, size)
 
 
-def nearest_by_pairs(cells: DataFrame, listened_cells: DataFrame, k: int) -> DataFrame:
+def nearest_by_pairs(
+    cells: DataFrame, listened_cells: DataFrame, k: int, norms: DataFrame | None = None
+) -> DataFrame:
     """The k nearest items of the few items in `listened_cells`, which is broadcast.
 
-    `listened_cells` holds all cells of these items; the caller has checked its size.
-    The products are summed before the norms divide them, so the sums are exact.
+    `listened_cells` holds all cells of these items; the caller has checked its size. If
+    `cells` are not the whole matrix but only its users with such an item, `norms` has the
+    norms of the whole. The products are summed before the norms divide them, so the sums
+    are exact.
     """
     count = F.col("play_count").cast("double")
     own_norms = item_norms(listened_cells).select("item_id", F.col("norm").alias("own_norm"))
     listened = listened_cells.select("user_id", "item_id", count.alias("own_count"))
     others = cells.select("user_id", F.col("item_id").alias("neighbor_id"), count.alias("count"))
-    norms = item_norms(cells).select(F.col("item_id").alias("neighbor_id"), "norm")
+    norms = item_norms(cells) if norms is None else norms
+    norms = norms.select(F.col("item_id").alias("neighbor_id"), "norm")
     order = Window.partitionBy("item_id").orderBy(F.desc("similarity"), "neighbor_id")
     return (
         others.join(F.broadcast(listened), "user_id")
@@ -222,10 +234,10 @@ def _segments(weighted: DataFrame, code: str, blocks: int) -> DataFrame:
         weighted.groupBy("user_id", (F.col(code) % blocks).cast("int").alias("block"))
         .agg(
             F.collect_list(
-                F.struct(F.floor(F.col(code) / blocks).cast("int").alias("i"), "w")
+                F.struct(F.floor(F.col(code) / blocks).cast("int").alias("i"), "w", "n")
             ).alias("cells")
         )
-        .select("user_id", "block", F.col("cells.i").alias("i"), F.col("cells.w").alias("w"))
+        .select("user_id", "block", *_entries())
     )
 
 
@@ -235,19 +247,32 @@ def _chunks(weighted: DataFrame) -> DataFrame:
     return (
         weighted.withColumn("chunk", F.pmod(F.xxhash64("code"), chunks))
         .groupBy("user_id", "chunk")
-        .agg(F.collect_list(F.struct(F.col("code").cast("int").alias("i"), "w")).alias("cells"))
-        .select("user_id", F.lit(0).alias("block"), F.col("cells.i").alias("i"),
-                F.col("cells.w").alias("w"))
+        .agg(
+            F.collect_list(F.struct(F.col("code").cast("int").alias("i"), "w", "n")).alias("cells")
+        )
+        .select("user_id", F.lit(0).alias("block"), *_entries())
     )
 
 
+def _entries() -> list[Column]:
+    """Places, counts and norms of the items of a segment, as three arrays."""
+    return [F.col(f"cells.{name}").alias(name) for name in ("i", "w", "n")]
+
+
+def _entries_per_row(cells: DataFrame) -> float:
+    """Length of the history that a cell is in, on average, up to a chunk."""
+    n = cells.groupBy("user_id").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    row = n.agg(F.sum(F.col("n") * F.least("n", F.lit(float(CHUNK_CELLS)))), F.sum("n")).first()
+    return max((row[0] or 1.0) / (row[1] or 1.0), 1.0)
+
+
 def _bands_are_cheaper(
     cells: DataFrame, items: int, blocks: int, band_items: int, k: int
 ) -> bool:
     """Compare the bytes that either shape of the tiles would shuffle: the segments of all
     users, and the candidates, which every item has in each block it is compared with.
     """
-    if blocks <= FEW_BLOCKS or band_items < 4:
+    if blocks <= FEW_BLOCKS:
         return False
     n = F.col("n")
     in_blocks = F.least(n, F.lit(blocks))
@@ -270,9 +295,9 @@ def _tiles(
 ) -> DataFrame:
     """Pairs of segments of one user, one row per user and pair of blocks."""
     a = left.select("user_id", F.col("block").alias("a"), F.col("i").alias("ia"),
-                    F.col("w").alias("wa"))
+                    F.col("w").alias("wa"), F.col("n").alias("na"))
     b = right.select("user_id", F.col("block").alias("b"), F.col("i").alias("ib"),
-                     F.col("w").alias("wb"))
+                     F.col("w").alias("wb"), F.col("n").alias("nb"))
     keys = ["user_id"]
     if left_blocks > SEGMENTS_PER_TASK:
         # Deal the left segments of a long history to several tasks and send its right
@@ -295,7 +320,7 @@ def _tiles(
         pairs = pairs.where(
             (F.col("a") < F.col("b")) | ((F.col("a") == F.col("b")) & (F.size("ia") > 1))
         )
-    return pairs.select("user_id", "a", "b", "ia", "wa", "ib", "wb")
+    return pairs.select("user_id", "a", "b", "ia", "wa", "na", "ib", "wb", "nb")
 
 
 def _block_cells(items: DataFrame, code: str, blocks: int, block: str, name: str) -> DataFrame:
@@ -324,7 +349,7 @@ def _slabs(tiles: DataFrame, items: DataFrame, grid: Grid, tile_rows: int) -> Da
     return (
         tiles.join(F.broadcast(left), "a")
         .join(F.broadcast(right), "b")
-        .select("a", "b", slab.alias("slab"), "ia", "wa", "ib", "wb")
+        .select("a", "b", slab.alias("slab"), "ia", "wa", "na", "ib", "wb", "nb")
     )
 
 

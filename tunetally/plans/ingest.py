@@ -1,14 +1,18 @@
-"""Ingest jobs: text or record files in, typed Parquet out. Each is one map-only stage."""
+"""Ingest jobs: text or record files in, typed Parquet out. The writing is one map-only stage."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tunetally.operators.decode import (
     decode_drop_bad,
     decode_null_bad,
     raw_song_fields,
+    record_counts,
     song_projection,
+    split_records,
 )
 from tunetally.schemas import RAW_SONG_SCHEMA, SONG_SCHEMA
 from tunetally.sources.files import read_payloads, write_table
@@ -22,20 +26,58 @@ def ingest_plays(spark: SparkSession, source: str, target: str, strict: bool = T
 
 
 def ingest_songs(
-    spark: SparkSession, source: str, target: str, glob: str = "*.json", whole_file: bool = True
+    spark: SparkSession,
+    source: str,
+    target: str,
+    glob: str = "*.json",
+    whole_file: bool = True,
+    records: str = "first",
 ) -> DataFrame:
-    """Song record files to the typed song table; a record with a bad field is dropped."""
-    payloads = read_payloads(spark, source, glob, whole_file)
+    """Song record files to the typed song table; a record with a bad field is dropped.
+
+    Of a payload that holds an array of records, the first one is read, or all of them
+    with `records="all"`.
+    """
+    payloads = song_payloads(spark, source, glob, whole_file, records)
     songs = song_projection(decode_drop_bad(payloads, "payload", SONG_SCHEMA))
     write_table(songs, target)
     return spark.read.schema(SONG_SCHEMA).parquet(target)
 
 
 def ingest_raw_songs(
-    spark: SparkSession, source: str, target: str, glob: str = "*.json", whole_file: bool = True
+    spark: SparkSession,
+    source: str,
+    target: str,
+    glob: str = "*.json",
+    whole_file: bool = True,
+    records: str = "all",
 ) -> DataFrame:
-    """Song record files to the raw song table; a bad field is null."""
-    payloads = read_payloads(spark, source, glob, whole_file)
+    """Song record files to the raw song table, all records of a payload; a bad field is
+    null."""
+    payloads = song_payloads(spark, source, glob, whole_file, records)
     songs = raw_song_fields(decode_null_bad(payloads, "payload", RAW_SONG_SCHEMA))
     write_table(songs, target)
     return spark.read.parquet(target)
+
+
+def song_payloads(
+    spark: SparkSession, source: str, glob: str, whole_file: bool, records: str
+) -> DataFrame:
+    if records not in ("first", "all"):
+        raise ValueError(f"records is 'first' or 'all', not {records!r}")
+    payloads = read_payloads(spark, source, glob, whole_file)
+    return split_records(payloads, "payload", records == "all").drop("record_no")
+
+
+def file_account(listing: DataFrame, payloads: DataFrame, schema: T.StructType) -> DataFrame:
+    """Per listed file (`path`): records read, kept and dropped, 0 for a file without any.
+    Spark's listings leave out files of no bytes.
+
+    `payloads` has `source_file` and `payload`; what counts as good is what
+    `decode_drop_bad` keeps.
+    """
+    counts = record_counts(payloads, "payload", schema, "source_file")
+    zero = F.lit(0).cast("long")
+    return listing.join(counts, F.col("path") == F.col("source_file"), "left").select(
+        "path", *[F.coalesce(c, zero).alias(c) for c in ("records", "kept", "dropped")]
+    )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from functools import cache
@@ -9,11 +11,28 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+# Bytes that a shuffle partition should have at most; adaptive execution merges smaller
+# ones, but only a skewed join splits larger ones.
+PARTITION_BYTES = 128 << 20
 
 
-def build_session(app_name: str, master: str | None = None, **conf: str) -> SparkSession:
-    """A session with adaptive execution on; `conf` entries win over the defaults."""
+def shuffle_partitions(input_bytes: int) -> int:
+    """Partitions for shuffles that move about as much as the input has; 200 at least."""
+    return max(200, -(-input_bytes // PARTITION_BYTES))
+
+
+def build_session(
+    app_name: str, master: str | None = None, input_bytes: int | None = None, **conf: str
+) -> SparkSession:
+    """A session with adaptive execution on; `conf` entries win over the defaults.
+
+    With `input_bytes`, shuffles get as many partitions as that much data asks for.
+    """
+    sized = {} if input_bytes is None else {
+        "spark.sql.shuffle.partitions": str(shuffle_partitions(input_bytes))
+    }
     settings = {
+        **sized,
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
@@ -29,15 +48,19 @@ def build_session(app_name: str, master: str | None = None, **conf: str) -> Spar
     return builder.getOrCreate()
 
 
+def _one_process(master: str) -> bool:
+    """Whether driver and executors are one process; those of `local-cluster` are not."""
+    return master == "local" or master.startswith("local[")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors can reach, one per application, below `spark.checkpoint.dir`.
 
-    Only a local master may fall back to a temporary folder of this machine: there
-    the driver and the executors are one process.
+    Only a master of one process may fall back to a temporary folder of this machine.
     """
     root = spark.conf.get(CHECKPOINT_DIR, None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not _one_process(spark.sparkContext.master):
             raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder every executor can reach")
         root = _local_folder()
     return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
@@ -45,7 +68,19 @@ def shared_folder(spark: SparkSession) -> str:
 
 @cache
 def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="tunetally-")
+    folder = tempfile.mkdtemp(prefix="tunetally-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+def close_session(spark: SparkSession) -> None:
+    """Delete the application's folder, wherever it is, and end the session.
+
+    Results that have not been written elsewhere can't be read afterwards.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    spark.stop()
 
 
 def new_folder(spark: SparkSession, label: str) -> str:

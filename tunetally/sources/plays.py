@@ -27,15 +27,25 @@ def read_plays_tsv(
     names: Sequence[str] = PLAYS_COLUMNS,
     strict: bool = True,
 ) -> DataFrame:
-    """Plays with columns named by position and the third as an int."""
+    """Plays with columns named by position and the third as an int.
+
+    A line with more columns is an error, or has a null count with `strict=False`.
+    """
     count = names[2]
-    return (
-        spark.read.schema(_POSITIONS)
+    lines = (
+        spark.read.schema(f"{_POSITIONS}, c4 string")
         .option("sep", "\t")
         .csv(path)
-        .toDF(*names)
-        .withColumn(count, whole_number(F.col(count), strict))
+        .toDF(*names, "_more")
     )
+    more = F.col("_more").isNotNull()
+    number = whole_number(F.col(count), strict)
+    if strict:
+        message = F.concat(F.lit("more than three columns: "), F.concat_ws(" ", *names, "_more"))
+        number = F.when(more, F.raise_error(message).cast("int")).otherwise(number)
+    else:
+        number = F.when(~more, number)
+    return lines.withColumn(count, number).drop("_more")
 
 
 def write_plays_tsv(plays: DataFrame, path: str) -> None:
