@@ -29,7 +29,7 @@ def test_equal_demands_end():
 
 def test_ranks_and_json_give_the_same_ids(sample_docs):
     texts = [r.text for r in sample_docs.limit(40).collect()]
-    texts += ["", " \n\n  x", "<|endoftext|> a", "é ü　z 12 'll", "a" * 3000, "\t" * 50]
+    texts += ["", " \n\n  x", "<|endoftext|> a", "é ü　z 12 'll", "a" * 3000, "\t" * 50, "x" + " \n" * 400_000 + "y"]
     fast, plain = tokens.encoder("byte_bpe_50k.tiktoken"), tokens.encoder("byte_bpe_50k.json")
     assert all(fast(t) == plain(t) for t in texts)
 

@@ -8,6 +8,7 @@ vocabulary and are several times faster; both give the same ids for the same voc
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Callable
 from functools import cache
 
@@ -15,6 +16,9 @@ import numpy as np
 import public_tokenizers
 
 END_ID = 0
+#: Runs of white space from this length are beyond what the reader of ranks can match; such
+#: texts go to the same vocabulary's `.json` file.
+LONG_SPACE = 20_000
 
 
 @cache
@@ -33,7 +37,14 @@ def encoder(name: str) -> Callable[[str], list[int]]:
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     made = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return made.encode_ordinary
+    spaces = re.compile(rf"\s{{{LONG_SPACE}}}")
+
+    def encode(text: str) -> list[int]:
+        if len(text) >= LONG_SPACE and spaces.search(text):
+            return encoder(name.removesuffix(".tiktoken") + ".json")(text)
+        return made.encode_ordinary(text)
+
+    return encode
 
 
 def ids_of(text: str | None, name: str, end_id: int = END_ID) -> np.ndarray:
