@@ -59,7 +59,7 @@ BASE_RULES = (
 RULES = (
     *BASE_RULES,
     Rule("pem", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,10000}(-----END [A-Z ]{0,20}PRIVATE KEY-----)?"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+"),
     Rule("forge", r"\b(ghp|gho|ghu|ghs|ghr|glpat|xoxb|xoxp)[_-][A-Za-z0-9_-]{16,}"),
 )
 BASE_KINDS = tuple(r.kind for r in BASE_RULES)
