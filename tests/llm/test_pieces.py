@@ -48,14 +48,35 @@ def test_unigram_walk_equals_the_library():
 
 def test_walk_shares_prefixes(monkeypatch):
     model, steps = pieces.load(pieces.MODEL), []
-    step = model._step
-    monkeypatch.setattr(model, "_step", lambda word, end, table: steps.append(end) or step(word, end, table))
+    extend = model._extend_merged
+
+    def counted(word, states, lasts, scores):
+        steps.append(len(word) + 1 - len(states))
+        extend(word, states, lasts, scores)
+
+    monkeypatch.setattr(model, "_extend_merged", counted)
     words = ["▁then", "▁the", "▁there", "▁them"]
     out = model.encode_words(words)
-    assert len(steps) == len("▁then") + len("re") + len("m")
+    assert sum(steps) == len("▁then") + len("re") + len("m")
     assert {w: [model.names[k] for k in ids] for w, ids in out.items()} == {w: model.merged(w) for w in words}
 
 
+def test_neighbours_equal_merging():
+    model, rng = pieces.load(pieces.MODEL), random.Random(3)
+    names = [n for n in model.ids if model.merged(n) == [n]]
+    frequent = names[:600]
+    for k in range(30_000):
+        a, b = rng.choice(frequent if k % 2 else names), rng.choice(frequent)
+        want = model.merged(a + b) == [a, b]
+        assert model.neighbours(model.ids[a], model.ids[b]) == want, (a, b)
+
+
+def test_very_long_words_and_runs(library):
+    memory = pieces._Memory(pieces.load(pieces.MODEL))
+    for text in (" " * 40_000, "a" * 40_000, "é" * 9_000 + "x" * 33, "ab" * 20_000, *(" " * k + "x" for k in range(40))):
+        assert memory.encode([text])[0].tolist() == library.encode(text)
+
+
 def test_odd_rows(make_docs, monkeypatch):
     docs = make_docs((1, "a b"), (1, "a b"), (None, None), (2, "x▁y"))
     docs = docs.withColumns({"ids": docs.lang, "n_tokens": docs.lang})

@@ -12,8 +12,8 @@ The forward table says for every prefix what its best path ends in:
   text gives; exactly one path does, and it is what merging the word gives. So a prefix
   has one last piece, and neighbours are checked once per pair of pieces.
 
-Pieces that merging never ends in (a few, for runs of marks with equal scores) are left to
-plain merging of the word. What no piece covers becomes bytes if the model has bytes.
+Which pieces end at a place is read off an automaton over all pieces, whose state is part
+of the table of a prefix. What no piece covers becomes bytes if the model has bytes.
 
 Only models without a table of character normalisation are read; others are refused.
 
@@ -38,10 +38,15 @@ from pyspark.sql import DataFrame
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Distinct words whose ids a task remembers before it starts anew.
-MAX_WORDS = 300_000
-ROWS = 512
+MAX_WORDS = 600_000
+#: Moves of the automaton beyond the pieces themselves that a task remembers.
+MAX_MOVES = 1_000_000
+ROWS = 2048
 _UNIGRAM, _BPE = 1, 2
 _NORMAL, _UNKNOWN, _USER, _UNUSED, _BYTE = 1, 2, 4, 5, 6
+#: Last "pieces" of prefixes that have none: the empty prefix, a character that no piece
+#: covers, and a prefix that no path reaches.
+_START, _OTHER, _NONE = -1, -2, -3
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -91,7 +96,6 @@ class Model:
             raise ValueError(f"model type {self.kind}")
         usable = (_NORMAL, _USER, _UNUSED)
         self.ids = {n: k for k, n in enumerate(self.names) if self.types[k] in usable}
-        self.longest = max(map(len, self.ids))
         self.unknown = self.types.index(_UNKNOWN)
         self.bytes = {int(n[3:5], 16): k for k, n in enumerate(self.names) if self.types[k] == _BYTE}
         self.unknown_score = min((s for s, t in zip(self.scores, self.types, strict=True) if t == _NORMAL), default=0.0) - 10
@@ -99,7 +103,8 @@ class Model:
         alone = "".join(c for c in "\n\t\r\x0b\x0c" if not any(c in n for n in self.ids))
         rest = f"[^{MARK}{alone}]"
         self.words = re.compile(f"{MARK}+{rest}*|{rest}+" + (f"|[{alone}]" if alone else ""))
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.fits: dict[int, bool] = {}
+        self._build()
         self.surface = [self._surface(k) for k in range(len(self.names))]
 
     def _surface(self, k: int) -> bytes:
@@ -109,10 +114,11 @@ class Model:
             return " ⁇ ".encode()
         return self.names[k].replace(MARK, " ").encode() if self.types[k] in (_NORMAL, _USER, _UNUSED) else b""
 
-    def merged(self, word: str) -> list[str]:
-        """Plain merging: again and again the neighbours whose joint piece scores best."""
+    def merged(self, word: str, stop: int = 1) -> list[str]:
+        """Plain merging: again and again the neighbours whose joint piece scores best, the
+        left ones of equal scores, until nothing or `stop` parts are left."""
         parts = list(word)
-        while len(parts) > 1:
+        while len(parts) > stop:
             best, at = None, -1
             for k in range(len(parts) - 1):
                 found = self.ids.get(parts[k] + parts[k + 1])
@@ -123,16 +129,87 @@ class Model:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def neighbours(self, left: str, right: str) -> bool:
-        fits = self.fits.get((left, right))
-        if fits is None:
-            if len(self.fits) > 2_000_000:
-                self.fits.clear()
-            parts = [left, right] if left else [right]
-            # Two pieces that are one piece together would be merged.
-            one = left and left + right in self.ids
-            fits = self.fits[(left, right)] = not one and self.merged(left + right) == parts
-        return fits
+    def _build(self) -> None:
+        """The automaton: per state the next states, and the pieces that end there, longest
+        first; and how BPE pieces come about."""
+        self.next: list[dict[str, int]] = [{}]
+        ends: list[list[int]] = [[]]
+        self.halves: list[tuple[int, int] | None] = [None] * len(self.names)
+        self.sizes = [len(n) for n in self.names]
+        for name, piece in self.ids.items():
+            if self.kind == _BPE and not self._halve(name, piece):
+                continue  # merging never gives this piece
+            state = 0
+            for char in name:
+                if char not in self.next[state]:
+                    self.next[state][char] = len(self.next)
+                    self.next.append({})
+                    ends.append([])
+                state = self.next[state][char]
+            ends[state].append(piece)
+        # By depth: the longest proper suffix that is a state, and what ends there as well.
+        self.back = [0] * len(self.next)
+        level = list(self.next[0].values())
+        while level:
+            deeper = []
+            for state in level:
+                ends[state] += ends[self.back[state]]
+                for char, child in self.next[state].items():
+                    suffix = self.back[state]
+                    while suffix and char not in self.next[suffix]:
+                        suffix = self.back[suffix]
+                    self.back[child] = self.next[suffix].get(char, 0)
+                    deeper.append(child)
+            level = deeper
+        self.ends = [tuple(e) for e in ends]
+        self.known = 0
+
+    def _halve(self, name: str, piece: int) -> bool:
+        """Notes the two pieces that `piece` is merged from last; whether it ever is."""
+        if len(name) == 1:
+            return True
+        parts = self.merged(name, stop=2)
+        if len(parts) != 2 or self.merged(name) != [name]:
+            return False
+        if all(p in self.ids for p in parts):
+            self.halves[piece] = tuple(self.ids[p] for p in parts)
+        return True
+
+    def _move(self, state: int, char: str) -> int:
+        """The state after one more character, which is kept for the next time."""
+        start = state
+        while state and char not in self.next[state]:
+            state = self.back[state]
+        state = self.next[state].get(char, 0)
+        if self.known < MAX_MOVES:
+            self.known += 1
+            self.next[start][char] = state
+        return state
+
+    def neighbours(self, left: int, right: int) -> bool:
+        """Whether merging the text of two pieces gives these two.
+
+        Seen backwards in time: of the two pieces at the border, the one that was merged
+        later was its inner half before. While two pieces were neighbours at the border,
+        from when both were there until one was merged, a joint piece of a better score
+        would have come first; of equal scores, the left one comes first.
+        """
+        names, scores, ids = self.names, self.scores, self.ids
+        if not names[left].strip(MARK):
+            # Runs of marks have equal scores; there are few of them.
+            return self.merged(names[left] + names[right]) == [names[left], names[right]]
+        until, even = None, False
+        while True:
+            joint = ids.get(names[left] + names[right])
+            if joint is not None and (until is None or scores[joint] > until or (even and scores[joint] == until)):
+                return False
+            a, b = self.halves[left], self.halves[right]
+            if a is None and b is None:
+                return True
+            if b is None or (a is not None and scores[left] < scores[right]):
+                until, even, left = scores[left], False, a[1]
+            else:
+                until, even, right = scores[right], True, b[0]
 
     def to_ids(self, parts: list[str]) -> list[int]:
         out = []
@@ -148,40 +225,86 @@ class Model:
 
     def encode_words(self, words: list[str]) -> dict[str, list[int]]:
         """The ids of distinct words, by one walk over their trie."""
-        out, before, table = {}, "", [("", 0.0)]  # table[i]: last piece and score of the prefix of length i
+        extend = self._extend_merged if self.kind == _BPE else self._extend_scored
+        # Of the prefix of each length: state of the automaton, last piece, score.
+        states, lasts, scores = [0], [_START], [0.0]
+        out, before = {}, ""
         for word in sorted(words):
             shared = 0
             for a, b in zip(before, word):  # noqa: B905
                 if a != b:
                     break
                 shared += 1
-            del table[shared + 1 :]
-            for end in range(len(table), len(word) + 1):
-                table.append(self._step(word, end, table))
+            del states[shared + 1 :], lasts[shared + 1 :], scores[shared + 1 :]
+            extend(word, states, lasts, scores)
             before = word
-            parts, at = [], len(word)
-            while at > 0 and table[at] is not None:
-                parts.append(table[at][0])
-                at -= len(parts[-1])
-            out[word] = self.to_ids(parts[::-1] if at == 0 else self.merged(word))
+            out[word] = self._path(word, lasts)
         return out
 
-    def _step(self, word: str, end: int, table: list) -> tuple[str, float] | None:
-        """What the best path of the prefix of length `end` ends in, from shorter ones."""
-        ids, best = self.ids, None
-        for start in range(max(0, end - self.longest), end):
-            part = word[start:end]
-            found, last = ids.get(part), table[start]
-            if last is None or (found is None and end - start > 1):
-                continue
-            if self.kind == _BPE:
-                if self.neighbours(last[0], part):
-                    return part, 0.0
+    def _path(self, word: str, lasts: list[int]) -> list[int]:
+        """The ids of the best path of a word, from its last pieces."""
+        if lasts[len(word)] == _NONE:
+            return self.to_ids(self.merged(word))
+        found, at = [], len(word)
+        while at > 0:
+            piece = lasts[at]
+            if piece == _OTHER:
+                found += self.to_ids([word[at - 1]])[::-1]
+                at -= 1
             else:
-                score = last[1] + (self.unknown_score if found is None else self.scores[found])
-                if best is None or score > best[1]:
-                    best = part, score
-        return best
+                found.append(piece)
+                at -= self.sizes[piece]
+        return found[::-1]
+
+    def _extend_merged(self, word: str, states: list, lasts: list, scores: list) -> None:
+        """The tables of the prefixes of `word` that are not there yet, for BPE."""
+        moves, ends, sizes, fits, width = self.next, self.ends, self.sizes, self.fits, len(self.names)
+        state = states[-1]
+        for at in range(len(states), len(word) + 1):
+            char = word[at - 1]
+            following = moves[state].get(char)
+            state = self._move(state, char) if following is None else following
+            best = _NONE
+            for piece in ends[state]:
+                last = lasts[at - sizes[piece]]
+                if last >= 0:
+                    pair = last * width + piece
+                    good = fits.get(pair)
+                    if good is None:
+                        if len(fits) > 2_000_000:
+                            fits.clear()
+                        good = fits[pair] = self.neighbours(last, piece)
+                    if good:
+                        best = piece
+                        break
+                elif last != _NONE:  # what is no piece merges with nothing
+                    best = piece
+                    break
+            if best == _NONE and char not in self.ids and lasts[at - 1] != _NONE:
+                best = _OTHER
+            states.append(state)
+            lasts.append(best)
+            scores.append(0.0)
+
+    def _extend_scored(self, word: str, states: list, lasts: list, scores: list) -> None:
+        """The same for unigram models: the largest sum, of equal ones the longest piece."""
+        state = states[-1]
+        for at in range(len(states), len(word) + 1):
+            char = word[at - 1]
+            state = self._move(state, char)
+            best, most = _NONE, None
+            for piece in self.ends[state]:
+                start = at - self.sizes[piece]
+                score = scores[start] + self.scores[piece]
+                if lasts[start] != _NONE and (most is None or score > most):
+                    best, most = piece, score
+            if char not in self.ids and lasts[at - 1] != _NONE:
+                score = scores[at - 1] + self.unknown_score
+                if most is None or score > most:
+                    best, most = _OTHER, score
+            states.append(state)
+            lasts.append(best)
+            scores.append(most or 0.0)
 
     def marked(self, text: str) -> str:
         if not text:
