@@ -25,14 +25,20 @@ from tunetally.plans import ingest, recommend
 from tunetally.session import materialize, new_folder
 from tunetally.sources import files, plays as plays_text
 
-# Operators for training data are a package of their own that may be absent.
+# Operators for training data are a package of their own that may be absent; what it needs
+# itself may not.
+OPTIONAL = {"tunetally.llm", "tunetally.llm.queries", "corpus_pipeline"}
 try:
     from tunetally.llm import queries as llm_queries
-except ImportError:
+except ImportError as error:
+    if error.name not in OPTIONAL:
+        raise
     llm_queries = None
 try:
     import corpus_pipeline
-except ImportError:
+except ImportError as error:
+    if error.name not in OPTIONAL:
+        raise
     corpus_pipeline = None
 
 ENTRY_DIR = "/root/testdata/sf0.001"

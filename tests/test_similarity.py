@@ -115,6 +115,22 @@ def test_heavy_items_are_looked_up_apart(spark, plays, monkeypatch):
     assert values(apart, *plain.columns) == values(plain)
 
 
+def test_long_ids_count_towards_a_broadcast(spark, plays, monkeypatch):
+    cells = sim.interaction_matrix(plays(("u1", "a" * 1000, 1), ("u2", "b" * 1000, 2)))
+    dim = sim.item_norms(cells)
+    size = lookups.FactSize.measure(dim, "listeners")
+    assert 2_000 < size.bytes < 2_200
+
+    def broadcast():
+        plan = lookups.lookup(cells.hint("merge"), dim, "item_id", "listeners", size)
+        return "ResolvedHint (strategy=broadcast)" in plan._jdf.queryExecution().analyzed().toString()
+
+    assert broadcast()
+    monkeypatch.setattr(lookups, "MAX_BROADCAST_BYTES", 1_000)
+    monkeypatch.setattr(lookups, "HEAVY_SHARE", 1)
+    assert not broadcast()
+
+
 def test_ties_go_to_the_lower_id(plays):
     rows = [("u1", i, 1) for i in "abcdef"]
     near = sim.nearest_items(sim.interaction_matrix(plays(*rows)), 2)
