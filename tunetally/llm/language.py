@@ -36,6 +36,7 @@ FILTERS = 16
 TRAIN_TEXTS = 4000
 TRAIN_PER_LANG = 600
 TRAIN_WINDOWS = 3
+SALTS = 64
 EPOCHS = 4
 BATCH = 64
 RATE = 0.01
@@ -210,12 +211,19 @@ def remainder(doc_id: str = "doc_id") -> Column:
 def fit(docs: DataFrame) -> Network:
     """A network from the labelled texts whose remainder is not 2."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder() != 2))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
+    # The texts are chosen by their keys, in two rounds so that no task gets many of a
+    # language; then at most `TRAIN_TEXTS` keys are sent to the texts.
+    key = F.xxhash64("doc_id")
+    chosen = usable.select("lang", "doc_id", key.alias("key"), F.pmod(key, F.lit(SALTS)).alias("salt"))
+    for group in (["lang", "salt"], ["lang"]):
+        order = Window.partitionBy(*group).orderBy("key", "doc_id")
+        chosen = chosen.withColumn("n", F.row_number().over(order)).where(F.col("n") <= TRAIN_PER_LANG)
+    chosen = chosen.orderBy("n", "lang").limit(TRAIN_TEXTS).groupBy("lang", "doc_id").agg(F.min("n").alias("n"))
     n_chars = F.char_length("text")
     at = F.transform(F.sequence(F.lit(0), F.lit(TRAIN_WINDOWS - 1)), lambda k: F.floor(n_chars * k / TRAIN_WINDOWS).cast("int"))
     parts = F.transform(at, lambda k: F.substring(F.col("text"), k + 1, F.lit(WINDOW)))
-    few = usable.withColumn("n", F.row_number().over(order)).where(F.col("n") <= TRAIN_PER_LANG)
-    few = few.select("lang", F.array_distinct(parts).alias("parts"), "n").orderBy("n", "lang").limit(TRAIN_TEXTS)
+    few = usable.join(F.broadcast(chosen), ["lang", "doc_id"]).select("lang", F.array_distinct(parts).alias("parts"), "n")
+    few = few.orderBy("n", "lang", "parts").limit(TRAIN_TEXTS)
     windows, labels = [], []
     for row in few.collect():
         for part in row["parts"]:
