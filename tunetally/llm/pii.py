@@ -71,13 +71,15 @@ def feistel(left: Column, right: Column, left_radix: Column, right_radix: Column
     in each."""
 
     def moved(values: Column, radices: Column, step: Column, other: Column) -> Column:
-        drawn = _shifts(key, kind, step, other)
+        def by(drawn: Column) -> Column:
+            def one(value: Column, place: Column) -> Column:
+                shift = F.conv(F.substring(drawn, place * 4 + 1, F.lit(4)), 16, 10).cast("int")
+                return F.pmod(value - shift if back else value + shift, F.get(radices, place))
 
-        def one(value: Column, place: Column) -> Column:
-            shift = F.conv(F.substring(drawn, place * 4 + 1, F.lit(4)), 16, 10).cast("int")
-            return F.pmod(value - shift if back else value + shift, F.get(radices, place))
+            return F.transform(values, one)
 
-        return F.transform(values, one)
+        # As the variable of a function, the hash is computed once and not at every place.
+        return F.get(F.transform(F.array(_shifts(key, kind, step, other)), by), F.lit(0))
 
     def turn(state: Column, step: Column) -> Column:
         even = step % 2 == 0
