@@ -26,6 +26,8 @@ columns are left alone, whatever they are called.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,6 +63,11 @@ def _number(x: Column) -> Column:
     return x.cast("int")
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value as the variable of a function: computed once, wherever it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _shifts(key: str, kind: str, step: Column, other: Column) -> Column:
     """A hash as hex text; four characters of it make the shift of one place."""
     return F.sha2(F.concat_ws(":", F.lit(key), F.lit(kind), step.cast("string"), F.array_join(other, ",")), 512)
@@ -78,46 +85,47 @@ def feistel(left: Column, right: Column, left_radix: Column, right_radix: Column
 
             return F.transform(values, one)
 
-        # As the variable of a function, the hash is computed once and not at every place.
-        return F.get(F.transform(F.array(_shifts(key, kind, step, other)), by), F.lit(0))
+        return _bound(_shifts(key, kind, step, other), by)
 
-    def turn(state: Column, step: Column) -> Column:
-        even = step % 2 == 0
-        return F.struct(
-            F.when(even, moved(state["l"], left_radix, step, state["r"])).otherwise(state["l"]).alias("l"),
-            F.when(even, state["r"]).otherwise(moved(state["r"], right_radix, step, state["l"])).alias("r"),
-        )
+    def walk(radices: Column) -> Column:
+        def turn(state: Column, step: Column) -> Column:
+            even = step % 2 == 0
+            new_left = moved(state["l"], radices["l"], step, state["r"])
+            new_right = moved(state["r"], radices["r"], step, state["l"])
+            return F.struct(
+                F.when(even, new_left).otherwise(state["l"]).alias("l"),
+                F.when(even, state["r"]).otherwise(new_right).alias("r"),
+            )
+
+        start = F.struct(left.alias("l"), right.alias("r"))
+        return F.aggregate(order, start, turn, lambda s: F.concat(s["l"], s["r"]))
 
     steps = range(ROUNDS)
     order = F.array(*(F.lit(k) for k in (reversed(steps) if back else steps)))
-    start = F.struct(left.alias("l"), right.alias("r"))
-    return F.aggregate(order, start, turn, lambda s: F.concat(s["l"], s["r"]))
+    return _bound(F.struct(left_radix.alias("l"), right_radix.alias("r")), walk)
 
 
 def _characters(value: Column, fixed: Column, key: str, kind: str, back: bool) -> Column:
     """`value` with its letters and digits permuted, each within its kind of character;
     the first `fixed` characters stay."""
-    codes = F.transform(F.split(value, ""), F.ascii)
-
-    def base(code: Column, place: Column) -> Column:
-        free = place >= fixed
-        return (
-            F.when(free & code.between(48, 57), 48).when(free & code.between(65, 90), 65).when(free & code.between(97, 122), 97).otherwise(code)
-        )
-
-    def radix(start: Column, place: Column) -> Column:
-        free = place >= fixed
-        return F.when(free & (start == 48), 10).when(free & start.isin(65, 97), 26).otherwise(1)
-
-    bases = F.transform(codes, base)
-    radices = F.transform(bases, radix)
-    values = F.zip_with(codes, bases, lambda c, b: c - b)
-    half = F.floor(F.size(codes) / 2).cast("int")
-    rest = F.size(codes) - half
-    changed = feistel(
-        F.slice(values, 1, half), F.slice(values, half + 1, rest), F.slice(radices, 1, half), F.slice(radices, half + 1, rest), key, kind, back
-    )
-    return F.array_join(F.zip_with(changed, bases, lambda x, b: F.char(x + b)), "")
+
+    def parts(code: Column, free: Column) -> Column:
+        base = F.when(free & code.between(48, 57), 48).when(free & code.between(65, 90), 65)
+        base = base.when(free & code.between(97, 122), 97).otherwise(code)
+        radix = F.when(free & (base == 48), 10).when(free & base.isin(65, 97), 26).otherwise(1)
+        return F.struct(base.alias("base"), radix.alias("radix"), (code - base).alias("value"))
+
+    def of_places(start: Column) -> Column:
+        codes = F.transform(F.split(value, ""), F.ascii)
+        return F.transform(codes, lambda code, place: parts(code, place >= start))
+
+    def changed(places: Column) -> Column:
+        half = F.floor(F.size(places) / 2).cast("int")
+        left, right = F.slice(places, F.lit(1), half), F.slice(places, half + 1, F.size(places) - half)
+        new = feistel(left["value"], right["value"], left["radix"], right["radix"], key, kind, back)
+        return F.array_join(F.zip_with(new, places["base"], lambda x, b: F.char(x + b)), "")
+
+    return _bound(_bound(fixed, of_places), changed)
 
 
 def _luhn(digits: Column) -> Column:
