@@ -80,3 +80,31 @@ def test_filter_keeps_rows_as_they_are(make_docs, spark):
     assert sorted(str(r.doc_id) for r in out.collect()) == ["1", "1", "None"]
     assert quality.quality_filter(docs.limit(0)).count() == 0
     assert quality.judged(docs.limit(0)).count() == 0
+
+
+def test_rare_languages_are_judged_at_every_table_size(make_docs, spark):
+    rng = random.Random(7)
+    rows = [(k, prose(rng, 120), "en") for k in range(30)] + [(100 + k, prose(rng, 120), "sv") for k in range(20)]
+    garbled = " | ".join(f"q{k}zz" for k in range(90))
+    rows += [(200, garbled, "sv"), (201, garbled, "xx"), (202, prose(rng, 120), "xx"), (203, garbled, None)]
+    rows += [(204, " ".join(rng.choice(("он", "и", "она", "были", "в", "доме", "камнем", "река")) for _ in range(80)), "xx")]
+    docs = make_docs(*rows)
+    more = spark.range(1000, 26000).selectExpr("id doc_id", f"'{prose(rng, 60)}' text", "'de' lang", "'s' source", "0L n_chars")
+    for table in (docs, docs.union(more)):
+        out = {r.doc_id: r for r in quality.judged(table).where("doc_id < 1000").collect()}
+        assert [k for k in out if not out[k].kept] == [200, 201, 203]
+        assert out[200].distance is not None and out[201].distance is None and out[201].pool_distance > quality.MAX_DISTANCE
+
+
+def test_no_language_with_a_reference(make_docs):
+    rng = random.Random(8)
+    rows = [(k, prose(rng, 120), f"l{k % 5}") for k in range(40)]
+    garbled = " | ".join(f"q{k}zz" for k in range(90))
+    out = {r.doc_id: r.kept for r in quality.judged(make_docs(*rows, (100, garbled, "l1"), (101, garbled, None))).collect()}
+    assert [k for k in out if not out[k]] == [100, 101]
+
+
+def test_pages_of_references_give_the_same(sample_docs, monkeypatch):
+    want = sorted(map(str, quality.judged(sample_docs).collect()))
+    monkeypatch.setattr(quality, "PAGE", 2)
+    assert sorted(map(str, quality.judged(sample_docs).collect())) == want

@@ -7,11 +7,15 @@ means over all texts of a language that pass the base rules and are long enough.
 
 Guards for length: a text below `MIN_CHARS` or `MIN_HISTOGRAM_WORDS` is not judged by
 histograms; of the divergence of words, what `n` words drawn from the reference itself
-would show on average, (bins - 1) / (8 n ln 2), is taken off.
+would show on average, (bins - 1) / (8 n ln 2), is taken off. A language has a reference
+from `MIN_REFERENCE_TEXTS` texts on, whatever the size of the table.
 
 Defined results: a null text has no words and fails; a null language is compared with all
-references; a text in a language that has too few texts for a reference is not judged by
-histograms; repeated rows are judged one by one; an empty table gives an empty result.
+references; a text in a language that has too few texts for a reference (and one without a
+language if there is no reference at all) has its classes of characters compared with
+their mean over the texts of all languages, if these are `MIN_REFERENCE_TEXTS` texts or
+more, letters outside ASCII counting as letters there; repeated rows are judged one by
+one; an empty table gives an empty result.
 Other columns are kept or dropped as each function says, whatever they are called.
 """
 
@@ -21,7 +25,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tunetally.llm.words import Texts, chunks, mix, window_hashes
@@ -33,10 +38,10 @@ MAX_REPEAT_PERCENT = 30
 #: Fewer characters or words than this are not enough for a histogram.
 MIN_CHARS = 200
 MIN_HISTOGRAM_WORDS = 50
-#: A language with a smaller share of the judged texts than this, or fewer texts, has no
-#: reference; so there are at most 1,000 references.
-MIN_REFERENCE_SHARE = 0.001
+#: A mean of fewer texts than this is no reference.
 MIN_REFERENCE_TEXTS = 20
+#: References that texts are compared with in one pass, about 700 bytes each.
+PAGE = 4096
 #: Bins of a reference below this share don't count as bins of the sampling noise.
 SMALL_BIN = 0.004
 MAX_DISTANCE = 0.28
@@ -64,6 +69,7 @@ CHAR_CLASSES = (
     bytes(range(0xC0, 0x100)),
 )
 DIGITS = 2
+LOWER, HIGH = 0, 8
 N_CHARS = len(CHAR_CLASSES) + 1
 N_WORDS = len(COMMON_WORDS) + 1
 _CLASS_OF = np.full(256, N_CHARS - 1, np.int64)
@@ -187,28 +193,44 @@ def _long_enough() -> Column:
     return (F.col("q_chars") >= MIN_CHARS) & (F.col("n_words") >= MIN_HISTOGRAM_WORDS)
 
 
-def references(texts: DataFrame) -> DataFrame:
-    """Per language the number of judged texts and the sums of their frequencies, in
-    millionths; whole numbers add up to the same sums in any order.
-
-    There is a row for a language only if its share allows a reference.
-    """
+def languages(texts: DataFrame) -> DataFrame:
+    """Per language (null is one as well) the number of judged texts and the sums of their
+    frequencies, in millionths; whole numbers add up to the same sums in any order."""
 
     def shares(bins: str, n: int, total: Column) -> list[Column]:
         return [F.sum(F.floor(F.col(bins)[k] * SCALE / total)).alias(f"{bins}_{k}") for k in range(n)]
 
     letters = F.greatest(F.col("q_chars") - F.col("q_char_bins")[DIGITS], F.lit(1))
     sums = shares("q_char_bins", N_CHARS, letters) + shares("q_word_bins", N_WORDS, F.col("n_words"))
-    judged = texts.where(~base_failed() & _long_enough() & F.col("lang").isNotNull())
-    least = max(MIN_REFERENCE_TEXTS, MIN_REFERENCE_SHARE * judged.count())
-    grouped = judged.groupBy("lang").agg(F.count("*").alias("texts"), *sums)
-    return grouped.where(F.col("texts") >= least).select(
+    judged = texts.where(~base_failed() & _long_enough())
+    return judged.groupBy("lang").agg(F.count("*").alias("texts"), *sums).select(
         F.col("lang").alias("ref_lang"),
+        "texts",
         F.array(*(F.col(f"q_char_bins_{k}") for k in range(N_CHARS))).alias("ref_chars"),
         F.array(*(F.col(f"q_word_bins_{k}") for k in range(N_WORDS))).alias("ref_words"),
     )
 
 
+def _pages(langs: DataFrame) -> Iterator[list[Row]]:
+    """The references in order of language, `PAGE` at a time; the last page has fewer."""
+    refs = langs.where(F.col("ref_lang").isNotNull() & (F.col("texts") >= MIN_REFERENCE_TEXTS))
+    rest = refs
+    while True:
+        page = rest.orderBy("ref_lang").limit(PAGE).collect()
+        yield page
+        if len(page) < PAGE:
+            return
+        rest = refs.where(F.col("ref_lang") > page[-1]["ref_lang"])
+
+
+def _pooled(langs: DataFrame) -> np.ndarray | None:
+    """The mean classes of characters of all texts, None of too few."""
+    row = langs.agg(F.sum("texts"), *(F.sum(F.col("ref_chars")[k]) for k in range(N_CHARS))).first()
+    if (row[0] or 0) < MIN_REFERENCE_TEXTS:
+        return None
+    return _folded(np.array([row[1:]], float))[0]
+
+
 def _frequencies(bins: np.ndarray) -> np.ndarray:
     return bins / np.maximum(bins.sum(axis=-1, keepdims=True), 1)
 
@@ -238,37 +260,69 @@ def _distances(chars: np.ndarray, words: np.ndarray, refs: list[tuple]) -> np.nd
     return np.sqrt(best)
 
 
-def judged(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`keep`, the counts of `BASE`, `base_failed`, `distance` to the nearest language
-    (null where the text is not judged by it) and `kept` of every row."""
-    texts = materialize(measured(docs, keep), "quality")
-    known = references(texts).collect()  # at most 1 / MIN_REFERENCE_SHARE rows
+def _folded(chars: np.ndarray) -> np.ndarray:
+    """Frequencies of classes of characters that no script is far from: without digits,
+    and with letters outside ASCII as letters."""
+    chars = chars.astype(float)
+    chars[:, LOWER] += chars[:, HIGH]
+    chars[:, [DIGITS, HIGH]] = 0
+    return _frequencies(chars)
+
+
+def _compared(state: DataFrame, page: list[Row], pool: np.ndarray | None, out: list[str]) -> DataFrame:
+    """The columns `out` of `state`, with `nearest` and `known` brought up to date by a page
+    of references; at the last page `distance` and `pool_distance` are made of them."""
     refs = []
-    for row in known:
+    for row in page:
         chars = np.array(row["ref_chars"], float)
         chars[DIGITS] = 0
         refs.append((_frequencies(chars), _frequencies(np.array(row["ref_words"], float))))
-    langs = [row["ref_lang"] for row in known]
-    comparable = F.col("lang").isNull() | F.col("lang").isin(langs) if langs else F.lit(False)
-    flagged = texts.withColumns({"base_failed": base_failed(), "q_judged": _long_enough() & comparable})
-    names = [*(f"k{n}" for n in range(len(keep))), *BASE, "base_failed", "distance"]
+    langs = pa.array([row["ref_lang"] for row in page], pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            *rest, judge, chars, words = batch.columns
-            at = np.flatnonzero(judge.to_numpy(zero_copy_only=False))
-            distance = np.full(batch.num_rows, np.nan)
+            rows = {c: batch.column(c) for c in batch.schema.names}
+            known = rows["known"].to_numpy(zero_copy_only=False)
+            known = known | pc.is_in(rows["lang"].cast(pa.string()), value_set=langs).to_numpy(zero_copy_only=False)
+            nearest = rows["nearest"].to_numpy(zero_copy_only=False).copy()
+            distance, apart = np.full(batch.num_rows, np.nan), np.full(batch.num_rows, np.nan)
+            at = np.flatnonzero(rows["q_judged"].to_numpy(zero_copy_only=False))
             if len(at):
-                bins = [x.flatten().to_numpy().reshape(batch.num_rows, -1)[at] for x in (chars, words)]
-                distance[at] = _distances(*bins, refs)
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(distance, from_pandas=True)], names=names)
+                chars, words = (rows[c].flatten().to_numpy().reshape(batch.num_rows, -1)[at] for c in ("q_char_bins", "q_word_bins"))
+                nearest[at] = np.minimum(nearest[at], _distances(chars, words, refs))
+                null = rows["lang"].is_null().to_numpy(zero_copy_only=False)
+                by_refs = (known | null)[at] & np.isfinite(nearest[at])
+                distance[at[by_refs]] = nearest[at[by_refs]]
+                if pool is not None and not by_refs.all():
+                    apart[at[~by_refs]] = np.sqrt(js_divergence(_folded(chars[~by_refs]), pool))
+            rows["nearest"], rows["known"] = pa.array(nearest), pa.array(known)
+            rows["distance"], rows["pool_distance"] = (pa.array(x, from_pandas=True) for x in (distance, apart))
+            yield pa.RecordBatch.from_arrays([rows[c] for c in out], names=out)
 
-    inputs = [*(F.col(c).alias(f"k{n}") for n, c in enumerate(keep)), *BASE, "base_failed", "q_judged", "q_char_bins", "q_word_bins"]
-    kinds = [f"k{n} {docs.schema[c].dataType.simpleString()}" for n, c in enumerate(keep)]
-    kinds += [*(f"{c} long" for c in BASE), "base_failed boolean", "distance double"]
-    out = flagged.select(*inputs).mapInArrow(run, ", ".join(kinds))
-    out = out.withColumnsRenamed({f"k{n}": c for n, c in enumerate(keep)})
-    far = F.coalesce(F.col("distance") > MAX_DISTANCE, F.lit(False))
+    kinds = {f.name: f.dataType.simpleString() for f in state.schema} | {"distance": "double", "pool_distance": "double"}
+    return state.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in out))
+
+
+def judged(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """`keep`, the counts of `BASE`, `base_failed`, `distance` to the nearest language
+    (null where the text is not judged by it), `pool_distance` to the mean of all texts
+    (null where it is not judged by that) and `kept` of every row."""
+    texts = materialize(measured(docs, keep), "quality")
+    langs = materialize(languages(texts), "quality-languages")
+    pool = _pooled(langs)
+    state = texts.select(
+        *(F.col(c).alias(f"k{n}") for n, c in enumerate(keep)), *BASE, base_failed().alias("base_failed"),
+        "lang", _long_enough().alias("q_judged"), "q_char_bins", "q_word_bins",
+        F.lit(float("inf")).alias("nearest"), F.lit(False).alias("known"),
+    )
+    names = [*(f"k{n}" for n in range(len(keep))), *BASE, "base_failed", "distance", "pool_distance"]
+    for page in _pages(langs):
+        if len(page) == PAGE:
+            state = materialize(_compared(state, page, None, state.columns), "quality-compared")
+        else:
+            state = _compared(state, page, pool, names)
+    out = state.withColumnsRenamed({f"k{n}": c for n, c in enumerate(keep)})
+    far = F.coalesce(F.greatest("distance", "pool_distance") > MAX_DISTANCE, F.lit(False))
     return out.withColumn("kept", ~F.col("base_failed") & ~far)
 
 
