@@ -99,3 +99,17 @@ def test_documents_come_back_and_hold_no_old_values(sample_docs):
 def test_no_python_in_the_plan(make_docs):
     plan = pii.report(make_docs((1, "x")))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_month_first_dates_and_the_last_days(spark, make_docs):
+    values = ["12/25/2020", "02-28-1999", "01.13.2099", "12-31-2099", "2099-11-13", "2099-12-31", "31/12/2099", "05/06/2020"]
+    docs = make_docs(*[(k, f"x {v} y") for k, v in enumerate(values)])
+    rows = {r.doc_id: r for r in pii.report(docs).collect()}
+    for k, v in enumerate(values):
+        assert rows[k].n_date == 1 and v not in rows[k].text and shape(rows[k].text) == shape(f"x {v} y")
+    assert {r.doc_id: r.text for r in pii.pseudonymised(pii.pseudonymised(docs), back=True).collect()} == {r.doc_id: r.text for r in docs.collect()}
+    days = spark.range(73049).select(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
+    late = days.where("day(d) > 12").select(F.date_format("d", "MM/dd/yyyy").alias("v"))
+    for own in (late, days.select(F.date_format("d", "dd.MM.yyyy").alias("v"))):
+        new = own.select(pii.pseudonym(F.col("v"), F.lit("date")).alias("p"))
+        assert new.select("p").distinct().intersect(own).count() == own.count()

@@ -16,9 +16,12 @@ kind and the other list. Characters that belong to the format have radix 1.
 | ip | the four octets | |
 | phone | digits after the country code | country code, separators |
 | ssn | group and serial, never zero | area |
-| date | the day, from 1900-01-01 to 2099-11-12 | year first or day first; separators |
+| date | the day, from 1900-01-01 to 2099-12-31 | year, day or month first; separators |
 | card | all digits but the last | the Luhn remainder, so a valid number stays valid |
 
+A date that is valid day first is read so. One that is valid month first only has a day
+after the 12th, and so has its pseudonym, which therefore is read the same way.
+
 Everything is DataFrame functions. Defined results: a null text stays null and has no
 values; rows that repeat are changed alike; an empty table gives an empty result; other
 columns are left alone, whatever they are called.
@@ -33,9 +36,11 @@ from pyspark.sql import functions as F
 
 KEY = "documents"
 ROUNDS = 8
-#: Days from FIRST_DAY that dates are permuted within: 250 times 292.
-DAY_RADICES = (250, 292)
 FIRST_DAY = "1900-01-01"
+#: Days from FIRST_DAY to 2099-12-31, and those of them after the 12th of a month; radices
+#: whose product is the next to each from above.
+DAYS, DAY_RADICES = 73_049, (229, 319)
+LATE_DAYS, LATE_RADICES = 44_249, (150, 295)
 KINDS = ("email", "iban", "ip", "phone", "ssn", "date", "card")
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
@@ -183,27 +188,59 @@ def _ssn(value: Column, key: str, back: bool) -> Column:
     return F.concat_ws("-", F.get(parts, F.lit(0)), text(0, 2), text(1, 4))
 
 
-def _day(value: Column) -> Column:
-    """The day that a date means, year first or day first; null if there is none."""
+def _days(value: Column) -> tuple[Column, Column]:
+    """The day that a date means year first or day first, and else month first; null if
+    there is none."""
     plain = F.regexp_replace(value, "[/.]", "-")
-    year_first = F.try_to_timestamp(plain, F.lit("yyyy-MM-dd")).cast("date")
-    day_first = F.try_to_timestamp(plain, F.lit("dd-MM-yyyy")).cast("date")
-    return F.when(value.rlike(r"\A[0-9]{4}"), year_first).otherwise(day_first)
+    year_first, day_first, month_first = (F.try_to_timestamp(plain, F.lit(x)).cast("date") for x in ("yyyy-MM-dd", "dd-MM-yyyy", "MM-dd-yyyy"))
+    is_year_first = value.rlike(r"\A[0-9]{4}")
+    usual = F.when(is_year_first, year_first).otherwise(day_first)
+    return usual, F.when(~is_year_first & usual.isNull(), month_first)
+
+
+def _walked(number: Column, size: int, radices: tuple[int, int], key: str, kind: str, back: bool) -> Column:
+    """A number below `size` permuted among these. The permutation of all numbers below the
+    product of the radices is repeated while it leads beyond `size`, at most as often as
+    there are numbers beyond it."""
+    a, b = radices
+
+    def once(x: Column) -> Column:
+        new = feistel(F.array(F.floor(x / b).cast("int")), F.array(x % b), F.array(F.lit(a)), F.array(F.lit(b)), key, kind, back)
+        return _bound(new, lambda n: F.get(n, F.lit(0)) * b + F.get(n, F.lit(1)))
 
+    turns = F.sequence(F.lit(0), F.lit(a * b - size))
+    return F.aggregate(turns, number, lambda x, k: F.when((k == 0) | (x >= size), once(x)).otherwise(x))
 
-def _day_number(value: Column) -> Column:
-    return F.date_diff(_day(value), F.lit(FIRST_DAY).cast("date"))
+
+def _late_day(rank: Column) -> Column:
+    """The day with this rank among the days after the 12th of a month."""
+    first = F.lit(FIRST_DAY).cast("date")
+    month = lambda m: F.add_months(first, m)
+    starts = lambda m: F.date_diff(month(m), first) - m * 12
+    # A month has 18.437 such days on average, and never strays two months from that.
+    about = F.floor(rank * 2400 / LATE_DAYS).cast("int")
+    months = F.transform(F.array(*(F.lit(k) for k in range(-3, 4))), lambda k: about + k)
+    fitting = F.array_max(F.filter(months, lambda m: starts(m) <= rank))
+    return _bound(fitting, lambda m: F.date_add(month(m), (rank - starts(m) + 12).cast("int")))
 
 
 def _date(value: Column, key: str, back: bool) -> Column:
-    a, b = DAY_RADICES
-    number = _day_number(value)
-    new = feistel(
-        F.array(F.floor(number / b).cast("int")), F.array(number % b), F.array(F.lit(a)), F.array(F.lit(b)), key, "date", back
-    )
-    day = F.date_add(F.lit(FIRST_DAY).cast("date"), F.get(new, F.lit(0)) * b + F.get(new, F.lit(1)))
-    order = F.when(value.rlike(r"\A[0-9]{4}"), F.date_format(day, "yyyy-MM-dd")).otherwise(F.date_format(day, "dd-MM-yyyy"))
-    return F.regexp_replace(order, "-", F.regexp_extract(value, "[-/.]", 0))
+    first = F.lit(FIRST_DAY).cast("date")
+    usual, late = _days(value)
+    mark = F.regexp_extract(value, "[-/.]", 0)
+
+    def by_day(day: Column) -> Column:
+        new = _walked(F.date_diff(day, first), DAYS, DAY_RADICES, key, "date", back)
+        new = F.date_add(first, new)
+        return F.when(value.rlike(r"\A[0-9]{4}"), F.date_format(new, "yyyy-MM-dd")).otherwise(F.date_format(new, "dd-MM-yyyy"))
+
+    def by_late_day(day: Column) -> Column:
+        months = (F.year(day) - 1900) * 12 + F.month(day)
+        new = _walked(F.date_diff(day, first) - months * 12, LATE_DAYS, LATE_RADICES, key, "date-month-first", back)
+        return F.date_format(_bound(new, _late_day), "MM-dd-yyyy")
+
+    order = F.when(usual.isNotNull(), _bound(usual, by_day)).otherwise(_bound(late, by_late_day))
+    return F.regexp_replace(order, "-", mark)
 
 
 _CHANGES = {"email": None, "iban": _iban, "ip": _ip, "phone": _phone, "ssn": _ssn, "date": _date, "card": _card}
@@ -212,11 +249,10 @@ _CHANGES = {"email": None, "iban": _iban, "ip": _ip, "phone": _phone, "ssn": _ss
 def kind_of(value: Column) -> Column:
     """The kind of a match, null where it doesn't pass the check of its kind."""
     digits = F.char_length(F.regexp_replace(value, "[^0-9]", ""))
-    number = _day_number(value)
     passes = {
         "iban": _mod97(value) == 1,
         "phone": digits.between(7, 15),
-        "date": number.between(0, DAY_RADICES[0] * DAY_RADICES[1] - 1),
+        "date": F.coalesce(*_days(value)).isNotNull(),
     }
     out = F.when(F.contains(value, F.lit("@")), "email")
     for kind in KINDS[1:]:
