@@ -12,12 +12,16 @@ kind and the other list. Characters that belong to the format have radix 1.
 | kind | what is permuted | what stays |
 |---|---|---|
 | email | letters and digits before the @, case by case | separators, domain |
-| iban | characters after the check digits | country; check digits are made valid again |
+| iban | characters after the check digits | country; check digits are made valid again; separators |
 | ip | the four octets | |
 | phone | digits after the country code | country code, separators |
 | ssn | group and serial, never zero | area |
 | date | the day, from 1900-01-01 to 2099-12-31 | year, day or month first; separators |
-| card | all digits but the last | the Luhn remainder, so a valid number stays valid |
+| card | all digits but the last | the Luhn remainder, so a valid number stays valid; separators |
+
+An IBAN, a phone number and a card are permuted without their separators, which go back to
+their places, so one number has one pseudonym however it is printed. IBANs in groups of
+four have the length of their country; cards are grouped 4-4-4-n, 4-6-4 or 4-6-5.
 
 A date that is valid day first is read so. One that is valid month first only has a day
 after the 12th, and so has its pseudonym, which therefore is read the same way.
@@ -44,16 +48,34 @@ LATE_DAYS, LATE_RADICES = 44_249, (150, 295)
 KINDS = ("email", "iban", "ip", "phone", "ssn", "date", "card")
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+# Countries by the length of their IBANs.
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _in_groups(length: int, countries: str) -> str:
+    fours, rest = divmod(length - 4, 4)
+    last = f"[ -][A-Z0-9]{{{rest}}}" if rest else ""
+    return rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?:[ -][A-Z0-9]{{4}}){{{fours}}}{last}"
+
+
+_GROUPED_IBAN = "|".join(_in_groups(n, c) for n, c in _IBAN_LENGTHS.items())
+# Codes of countries, none of which starts another.
+_COUNTRY_CODE = r"\A\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 # One alternative per kind; where several fit at a place, the first one is taken.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9-])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:[A-Z0-9]{{15,34}}|{_GROUPED_IBAN})(?![A-Za-z0-9])",
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
     "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])"
     r"|(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9A-Za-z-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9A-Za-z-])",
     "date": r"(?<![0-9A-Za-z/.-])(?:(?:19|20)[0-9]{2}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\2(?:19|20)[0-9]{2})(?![0-9A-Za-z]|[/.-][0-9])",
-    "card": r"(?<![0-9A-Za-z])[0-9]{4}(?:([ -])[0-9]{4}\3[0-9]{4}\3[0-9]{1,7}|[0-9]{9,15})(?![0-9A-Za-z])",
+    "card": r"(?<![0-9A-Za-z])[0-9]{4}(?:([ -])(?:[0-9]{4}\3[0-9]{4}\3[0-9]{1,7}|[0-9]{6}\3[0-9]{4,5})|[0-9]{9,15})(?![0-9A-Za-z])",
 }
 # The groups of a later alternative are counted from the start of the whole pattern.
 PATTERN = "|".join(PATTERNS[k] for k in KINDS)
@@ -133,6 +155,22 @@ def _characters(value: Column, fixed: Column, key: str, kind: str, back: bool) -
     return _bound(_bound(fixed, of_places), changed)
 
 
+def _bare(value: Column) -> Column:
+    return F.regexp_replace(value, "[ .()-]", "")
+
+
+def _dressed(bare: Column, value: Column) -> Column:
+    """The characters of `bare` with the separators of `value` at their places."""
+
+    def put(state: Column, own: Column) -> Column:
+        mark = own.isin(" ", ".", "(", ")", "-")
+        out = F.concat(state["out"], F.when(mark, own).otherwise(F.substring(state["bare"], state["at"], F.lit(1))))
+        return F.struct(out.alias("out"), (state["at"] + F.when(mark, 0).otherwise(1)).alias("at"), state["bare"].alias("bare"))
+
+    start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"), bare.alias("bare"))
+    return F.aggregate(F.split(value, ""), start, put, lambda s: s["out"])
+
+
 def _luhn(digits: Column) -> Column:
     """The Luhn sum of a text of digits, modulo 10."""
     turned = F.split(F.reverse(digits), "")
@@ -145,11 +183,12 @@ def _luhn(digits: Column) -> Column:
 
 
 def _card(value: Column, key: str, back: bool) -> Column:
-    end = F.char_length(value) - 1
-    body = _characters(F.substring(value, F.lit(1), end), F.lit(0), key, "card", back)
-    only = lambda x: F.regexp_replace(x, "[ -]", "")
-    wanted, now = _luhn(only(value)), _luhn(F.concat(only(body), F.lit("0")))
-    return F.concat(body, F.pmod(wanted - now, F.lit(10)).cast("string"))
+    def changed(bare: Column) -> Column:
+        body = _characters(F.substring(bare, F.lit(1), F.char_length(bare) - 1), F.lit(0), key, "card", back)
+        wanted = _luhn(bare)
+        return _bound(body, lambda x: F.concat(x, F.pmod(wanted - _luhn(F.concat(x, F.lit("0"))), F.lit(10)).cast("string")))
+
+    return _dressed(_bound(_bare(value), changed), value)
 
 
 def _mod97(value: Column) -> Column:
@@ -160,10 +199,13 @@ def _mod97(value: Column) -> Column:
 
 
 def _iban(value: Column, key: str, back: bool) -> Column:
-    body = F.substring(_characters(value, F.lit(4), key, "iban", back), F.lit(5), F.char_length(value))
-    country = F.substring(value, 1, 2)
-    check = F.lpad((98 - _mod97(F.concat(country, F.lit("00"), body))).cast("string"), 2, "0")
-    return F.concat(country, check, body)
+    def changed(bare: Column) -> Column:
+        body = F.substring(_characters(bare, F.lit(4), key, "iban", back), F.lit(5), F.char_length(bare))
+        country = F.substring(bare, 1, 2)
+        check = lambda x: F.lpad((98 - _mod97(F.concat(country, F.lit("00"), x))).cast("string"), 2, "0")
+        return _bound(body, lambda x: F.concat(country, check(x), x))
+
+    return _dressed(_bound(_bare(value), changed), value)
 
 
 def _ip(value: Column, key: str, back: bool) -> Column:
@@ -173,10 +215,11 @@ def _ip(value: Column, key: str, back: bool) -> Column:
 
 
 def _phone(value: Column, key: str, back: bool) -> Column:
-    country = F.char_length(F.regexp_extract(value, r"\A\+[0-9]{1,3}(?=[ .(-])", 0))
-    # Without a separator after it, the first two characters stand for the code.
-    fixed = F.when(country > 0, country).when(F.startswith(value, F.lit("+")), 2).otherwise(0)
-    return _characters(value, fixed, key, "phone", back)
+    def changed(bare: Column) -> Column:
+        country = F.char_length(F.regexp_extract(bare, _COUNTRY_CODE, 0))
+        return _characters(bare, country, key, "phone", back)
+
+    return _dressed(_bound(_bare(value), changed), value)
 
 
 def _ssn(value: Column, key: str, back: bool) -> Column:
@@ -250,7 +293,7 @@ def kind_of(value: Column) -> Column:
     """The kind of a match, null where it doesn't pass the check of its kind."""
     digits = F.char_length(F.regexp_replace(value, "[^0-9]", ""))
     passes = {
-        "iban": _mod97(value) == 1,
+        "iban": _mod97(_bare(value)) == 1,
         "phone": digits.between(7, 15),
         "date": F.coalesce(*_days(value)).isNotNull(),
     }
