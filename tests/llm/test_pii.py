@@ -134,3 +134,11 @@ def test_a_number_has_one_pseudonym_however_it_is_printed(make_docs):
         assert kind != "iban" or mod97(re.sub("[^A-Z0-9]", "", text[2:-6])) == 1
     assert all(len(x) == 1 for x in new.values())
     assert {r.doc_id: r.text for r in pii.pseudonymised(pii.pseudonymised(docs), back=True).collect()} == {r.doc_id: r.text for r in docs.collect()}
+
+
+def test_cards_with_a_wrong_sum_have_their_own_count(make_docs):
+    docs = make_docs((1, "4111 1111 1111 1111 and 378282246310005"), (2, "9780306406157 1700000000000000000 4111111111111111"), (3, "4111111111111112"))
+    rows = {r.doc_id: (r.n_card, r.n_card_unchecked) for r in pii.report(docs).collect()}
+    assert rows == {1: (2, 0), 2: (3, sum(luhn(v) != 0 for v in ("9780306406157", "1700000000000000000"))), 3: (1, 1)}
+    assert rows[2][1] == 2
+    assert {r.doc_id: r.text for r in pii.pseudonymised(pii.pseudonymised(docs), back=True).collect()} == {r.doc_id: r.text for r in docs.collect()}

@@ -1,7 +1,7 @@
 """Personal data replaced by format-preserving pseudonyms.
 
-Values are found by one pattern, validated (Luhn sum, IBAN check digits, calendar,
-octets, number of digits), and replaced by a keyed permutation of all values of their
+Values are found by one pattern, validated (IBAN check digits, calendar, octets, number of
+digits), and replaced by a keyed permutation of all values of their
 format, so equal values have equal pseudonyms in all documents, different ones different
 pseudonyms, and who has the key can go back.
 
@@ -26,6 +26,11 @@ four have the length of their country; cards are grouped 4-4-4-n, 4-6-4 or 4-6-5
 A date that is valid day first is read so. One that is valid month first only has a day
 after the 12th, and so has its pseudonym, which therefore is read the same way.
 
+Runs of digits in the form of a card are replaced whether or not their Luhn sum is right, as
+mistyped cards are personal as well. Those with a wrong sum (ISBNs, time stamps and order
+numbers may be among them) are of the kind `UNCHECKED`: `n_card` counts all that is replaced
+in this form, `n_card_unchecked` those with a wrong sum.
+
 Everything is DataFrame functions. Defined results: a null text stays null and has no
 values; rows that repeat are changed alike; an empty table gives an empty result; other
 columns are left alone, whatever they are called.
@@ -46,6 +51,8 @@ FIRST_DAY = "1900-01-01"
 DAYS, DAY_RADICES = 73_049, (229, 319)
 LATE_DAYS, LATE_RADICES = 44_249, (150, 295)
 KINDS = ("email", "iban", "ip", "phone", "ssn", "date", "card")
+#: The kind of a number in the form of a card whose Luhn sum is wrong.
+UNCHECKED = "card_unchecked"
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 # Countries by the length of their IBANs.
@@ -299,7 +306,10 @@ def kind_of(value: Column) -> Column:
     }
     out = F.when(F.contains(value, F.lit("@")), "email")
     for kind in KINDS[1:]:
-        out = out.when(value.rlike(_own(kind)), F.when(passes.get(kind, F.lit(True)), kind))
+        found = F.when(passes.get(kind, F.lit(True)), kind)
+        if kind == "card":
+            found = F.when(_luhn(_bare(value)) == 0, kind).otherwise(UNCHECKED)
+        out = out.when(value.rlike(_own(kind)), found)
     return out
 
 
@@ -315,7 +325,7 @@ def pseudonym(value: Column, kind: Column, key: str = KEY, back: bool = False) -
     """The pseudonym of a validated value; with `back`, the value of a pseudonym."""
     out = F.when(F.lit(False), value)
     for name in KINDS:
-        out = out.when(kind == name, _CHANGES[name](value, key, back))
+        out = out.when(kind.isin(name, UNCHECKED) if name == "card" else kind == name, _CHANGES[name](value, key, back))
     return out.otherwise(value)
 
 
@@ -345,10 +355,12 @@ def pseudonymised(docs: DataFrame, key: str = KEY, back: bool = False) -> DataFr
 
 
 def report(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """doc_id, the text with pseudonyms, and the number of values of each kind."""
+    """doc_id, the text with pseudonyms, the number of values of each kind, and how many of
+    the cards have a wrong Luhn sum."""
     rows, text = _changed(docs.select("doc_id", "text"), key, False)
 
-    def count(kind: str) -> Column:
-        return F.size(F.filter("found", lambda k: k == kind)).cast("long").alias(f"n_{kind}")
+    def count(name: str, *kinds: str) -> Column:
+        return F.size(F.filter("found", lambda k: k.isin(*kinds))).cast("long").alias(f"n_{name}")
 
-    return rows.select(F.col("c0").alias("doc_id"), F.col(text).alias("text"), *map(count, KINDS))
+    counts = [count(k, k, UNCHECKED) if k == "card" else count(k, k) for k in KINDS]
+    return rows.select(F.col("c0").alias("doc_id"), F.col(text).alias("text"), *counts, count(UNCHECKED, UNCHECKED))
