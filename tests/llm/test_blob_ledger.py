@@ -69,3 +69,14 @@ def test_redacted_rows(make_docs):
 def test_no_python_in_the_plan(make_docs):
     plan = L.report(make_docs((1, "x")))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_private_keys_go_whole(make_docs):
+    body = "\n".join("Ab1+" * 16 for _ in range(3000))
+    rsa = f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----"
+    locked = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B2C\n\n{body}\n-----END RSA PRIVATE KEY-----"
+    pgp = f"-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: GnuPG v1.4.11 (GNU/Linux)\n\n{body}\n=aB3d\n-----END PGP PRIVATE KEY BLOCK-----"
+    texts = [rsa, locked, pgp, locked.replace("\n", "\r\n"), locked.replace("\n", " ")]
+    docs = make_docs(*[(k, f"a {t} b, {t}\nc: d") for k, t in enumerate(texts)], (9, f"a {rsa[:50000]}"))
+    out = {r.doc_id: r.text for r in L.redact(docs).collect()}
+    assert out == {**{k: "a [SECRET] b, [SECRET]\nc: d" for k in range(len(texts))}, 9: "a [SECRET]"}

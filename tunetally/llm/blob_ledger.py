@@ -58,7 +58,15 @@ BASE_RULES = (
 # Public formats of tokens that the base kinds don't cover.
 RULES = (
     *BASE_RULES,
-    Rule("pem", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,10000}(-----END [A-Z ]{0,20}PRIVATE KEY-----)?"),
+    # Header lines, the body and the END line, which a key that is cut off does not have; no
+    # part is limited, and none is walked back.
+    Rule(
+        "pem",
+        r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY(?: BLOCK)?-----[\s\\]*+"
+        r"(?:[A-Za-z][A-Za-z0-9-]*+:(?:[^\n-]|-(?!----))*+\s*+)*+"
+        r"[A-Za-z0-9+/=\s\\]*+(?:-----END [A-Z ]{0,20}PRIVATE KEY(?: BLOCK)?-----)?",
+        version=2,
+    ),
     Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+"),
     Rule("forge", r"\b(ghp|gho|ghu|ghs|ghr|glpat|xoxb|xoxp)[_-][A-Za-z0-9_-]{16,}"),
 )
