@@ -124,3 +124,13 @@ def test_filter_keeps_one_of_each(make_docs):
     assert out.columns == docs.columns
     assert sorted(str(r.doc_id) for r in out.collect()) == ["1", "5", "6", "7", "None", "None"]
     assert near_dedup.near_dedup(docs.limit(0)).count() == 0
+
+
+def test_rows_that_share_a_doc_id_are_linked_each_by_its_own_text(make_docs):
+    one, two, three = (" ".join(f"{c}{k}" for k in range(40)) for c in "xyz")
+    docs = make_docs((3, one), (5, one), (5, two), (6, two + " end"), (7, three), (7, three + " end"))
+    rows = sorted((r.doc_id, r.component_id, r.kept) for r in near_dedup.linked(docs, 5).collect())
+    assert [r[:2] for r in rows] == [(3, 3), (5, 3), (5, 5), (6, 5), (7, 7), (7, 7)]
+    assert [r[2] for r in rows[:4]] == [True, False, True, False] and sorted(r[2] for r in rows[4:]) == [False, True]
+    out = near_dedup.near_dedup(docs).collect()
+    assert sorted((r.doc_id, r.text) for r in out)[:2] == [(3, one), (5, two)] and [r.doc_id for r in out].count(7) == 1 and len(out) == 3

@@ -1,6 +1,7 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
-Texts with the same set of shingles are one node. Signatures are cut into bands; nodes
+Texts with the same set of shingles are one node; nodes are numbered in the order of their
+smallest doc_id, so that the smallest node of a component has its smallest doc_id. Signatures are cut into bands; nodes
 that agree on a band are candidates. Candidates compare their signatures batch by batch:
 after each batch, a pair goes on only if the posterior probability that its similarity
 reaches the threshold, given the matches so far and a uniform prior, is at least
@@ -29,7 +30,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tunetally.llm.components import components
@@ -87,13 +88,22 @@ def _signatures(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
+def _set_keys(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Two sums over each non-empty set, which stand for it."""
+    return np.stack([np.add.reduceat(mix(hashes * factor), bounds[:-1]) for factor in constants(13, 2)])
+
+
+def _text_hash() -> Column:
+    return F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+
+
 def signed(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, n_shingles, set_a and set_b (128 bits that stand for the set), signature
-    (null for an empty set)."""
+    """doc_id, the hash of the text, n_shingles, set_a and set_b (128 bits that stand for the
+    set), signature (null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts in chunks(batch.column(1)):
+            for texts in chunks(batch.column(2)):
                 hashes, bounds = shingle_sets(texts, shingle, fold=True)
                 sizes = np.diff(bounds)
                 full = np.flatnonzero(sizes)
@@ -101,35 +111,40 @@ def signed(docs: DataFrame, shingle: int) -> DataFrame:
                 signatures = pa.nulls(texts.n, pa.binary())
                 if len(full):
                     tight = np.append(bounds[full], bounds[-1])
-                    for k, factor in enumerate(constants(13, 2)):
-                        keys[k, full] = np.add.reduceat(mix(hashes * factor), tight[:-1])
+                    keys[:, full] = _set_keys(hashes, tight)
                     flat = _signatures(hashes, tight).view(np.uint8).ravel()
                     packed = binary_column(flat, np.arange(len(full) + 1) * N_HASHES * 4)
                     at = np.full(texts.n, -1)
                     at[full] = np.arange(len(full))
                     signatures = packed.take(pa.array(at, mask=at < 0))
-                columns = [batch.column(0).slice(texts.first, texts.n), pa.array(sizes, pa.int64())]
+                columns = [batch.column(k).slice(texts.first, texts.n) for k in range(2)]
+                columns.append(pa.array(sizes, pa.int64()))
                 columns += [pa.array(k.view(np.int64)) for k in keys]
                 yield pa.RecordBatch.from_arrays([*columns, signatures], names=names)
 
-    names = ["doc_id", "n_shingles", "set_a", "set_b", "signature"]
+    names = ["doc_id", "text_hash", "n_shingles", "set_a", "set_b", "signature"]
     key = docs.schema["doc_id"].dataType.simpleString()
-    kind = f"doc_id {key}, n_shingles long, set_a long, set_b long, signature binary"
-    return docs.select("doc_id", "text").mapInArrow(run, kind)
+    kind = f"doc_id {key}, text_hash binary, n_shingles long, set_a long, set_b long, signature binary"
+    return docs.select("doc_id", _text_hash(), "text").mapInArrow(run, kind)
 
 
-def _shingles(docs: DataFrame, shingle: int) -> DataFrame:
-    """node and its sorted shingle hashes, 8 bytes each."""
+def _shingles(rows: DataFrame, shingle: int) -> DataFrame:
+    """node and its sorted shingle hashes, 8 bytes each, of the rows (node, set_a, set_b, text)
+    whose text has the set of the node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts in chunks(batch.column(1)):
-                packed = binary_column(*shingle_sets(texts, shingle, fold=True))
-                ids = batch.column(0).slice(texts.first, texts.n)
-                yield pa.RecordBatch.from_arrays([ids, packed], names=["node", "shingles"])
+            for texts in chunks(batch.column(3)):
+                hashes, bounds = shingle_sets(texts, shingle, fold=True)
+                node, *wanted = (batch.column(k).slice(texts.first, texts.n) for k in range(3))
+                own = np.diff(bounds) > 0
+                if own.any():
+                    keys = _set_keys(hashes, np.append(bounds[:-1][own], bounds[-1])).view(np.int64)
+                    own[own] = np.all([k == w.to_numpy()[own] for k, w in zip(keys, wanted, strict=True)], axis=0)
+                found = pa.RecordBatch.from_arrays([node, binary_column(hashes, bounds)], names=["node", "shingles"])
+                yield found.filter(pa.array(own))
 
-    key = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"node {key}, shingles binary")
+    return rows.select("node", "set_a", "set_b", "text").mapInArrow(run, "node long, shingles binary")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -142,11 +157,12 @@ class _Linker:
     """The tables that all rounds of one run share."""
 
     def __init__(self, docs: DataFrame, nodes: DataFrame, members: DataFrame, shingle: int, percent: int):
-        self.key = docs.schema["doc_id"].dataType.simpleString()
+        self.key = "long"
         self.percent, self.bounds = percent, least_matches(percent / 100)
         self.nodes, self.members = nodes, members
         wanted = members.select("node").distinct()
-        rows = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("node"), "left_semi")
+        named = nodes.select("node", "doc_id", "set_a", "set_b").join(wanted, "node")
+        rows = docs.select("doc_id", "text").join(named, "doc_id")
         self.sets = materialize(_shingles(rows, shingle).distinct(), "near-sets")
 
     def likely(self, pairs: DataFrame) -> DataFrame:
@@ -263,12 +279,14 @@ def _joining_links(i: int, j: int, rows: pd.DataFrame, bounds: list[tuple[int, i
     return found
 
 
-def linked(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Per row of `docs`: doc_id, n_shingles, component_id, kept."""
+def _verdicts(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Per row of `docs`: doc_id, text_hash, n_shingles, component_id, kept."""
     rows = materialize(signed(docs, shingle), "near-signed")
     full = rows.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     keys = ["set_a", "set_b", "n_shingles"]
-    nodes = full.groupBy(keys).agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"))
+    nodes = full.groupBy(keys).agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"))
+    # Ids that rise from row to row and from range to range; written once, they are fixed.
+    nodes = nodes.orderBy("doc_id", *keys).withColumn("node", F.monotonically_increasing_id())
     nodes = materialize(nodes, "near-nodes")
     width = 4 * BAND_ROWS
     bands = [F.xxhash64(F.lit(k), F.substring("signature", 1 + k * width, width)) for k in range(BANDS)]
@@ -284,19 +302,28 @@ def linked(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> D
     fresh = linker.confirmed(linker.likely(rest)).union(linker.in_large(members))
     links = links.union(materialize(fresh, "near-links"))
     labels = components(links, "near-components")
-    own = nodes.join(labels, "node", "left")
-    own = own.select(*keys, F.coalesce("component", "node").alias("component_id"))
+    smallest = nodes.select(F.col("node").alias("component"), F.col("doc_id").alias("smallest"))
+    moved = labels.where("node <> component").join(smallest, "component").select("node", "smallest")
+    own = nodes.select("node", *keys, F.col("doc_id").alias("first")).join(moved, "node", "left")
+    own = own.select(*keys, F.coalesce("smallest", "first").alias("component_id"), F.col("smallest").isNull().alias("leads"))
     out = rows.drop("signature").join(own, keys, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    kept = F.coalesce(F.col("doc_id") == component, F.lit(True))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
+    kept = F.coalesce((F.col("doc_id") == component) & F.coalesce("leads", F.lit(True)), F.lit(True))
+    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), kept.alias("kept"))
+
+
+def linked(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """Per row of `docs`: doc_id, n_shingles, component_id, kept."""
+    return _verdicts(docs, shingle, percent).drop("text_hash")
 
 
 def near_dedup(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of `docs` that are the first of their component, unchanged; of rows with
     the same doc_id and text one stays. Rows without a doc_id stay."""
-    verdicts = linked(docs, shingle, percent).where("not kept").select("doc_id").distinct()
-    good = docs.join(verdicts, "doc_id", "left_anti").select(*docs.columns)
+    verdicts = _verdicts(docs, shingle, percent).where("not kept")
+    verdicts = verdicts.select(F.col("doc_id").alias("gone_id"), "text_hash").distinct()
+    same = (docs["doc_id"] == verdicts["gone_id"]) & (F.unhex(F.sha2(F.coalesce(docs["text"], F.lit("")), 256)) == verdicts["text_hash"])
+    good = docs.join(verdicts, same, "left_anti").select(*docs.columns)
     repeated = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1")
     if repeated.isEmpty():
         return good
