@@ -230,8 +230,9 @@ def ingest_raw_songs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def first_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first record of the first container of each conversation."""
-    first = containers(spark, sf_dir, "conv_id").where(F.col("pack") == 0)
-    return decode.first_record(first).drop("pack")
+    firsts = decode.first_record(containers(spark, sf_dir, "conv_id"))
+    least = firsts.groupBy("conv_id").agg(F.min_by(F.struct("turn", "role", "text"), "pack").alias("first"))
+    return least.select("conv_id", "first.*")
 
 
 def decode_titles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,3 +73,10 @@ def test_limits_are_pushed_below_the_shuffle(spark):
 
 def test_payloads_are_parsed_once(spark):
     assert plan_of(spark, "decode_drop_bad").count("from_json") == 1
+
+
+def test_first_record_of_conversations_that_start_late(spark, tmp_path):
+    rows = [(1, 0, "u", "a"), (1, 1, "u", "b"), (2, 2500, "u", "c"), (2, 1200, "u", "d")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    out = entry.first_record(spark, str(tmp_path))
+    assert sorted((r.conv_id, r.turn, r.text) for r in out.collect()) == [(1, 0, "a"), (2, 1200, "d")]
