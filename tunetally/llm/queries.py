@@ -10,8 +10,11 @@ from tunetally.llm import (
     blob_ledger,
     fingerprints,
     language,
+    lexical,
+    line_dedup,
     near_dedup,
     packing,
+    periodic_runs,
     pieces,
     pii,
     quality,
@@ -66,6 +69,20 @@ def op10_packed_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.packed(documents(spark, sf_dir))
 
 
+def op11_synchronising_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the texts has a repetition written into it first."""
+    return periodic_runs.report(periodic_runs.planted(documents(spark, sf_dir)))
+
+
+def op12_hybrid_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return lexical.ranked(documents(spark, sf_dir), items)
+
+
+def op13_line_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(documents(spark, sf_dir)).drop("keep_bitmap")
+
+
 QUERIES: dict[str, Query] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -77,6 +94,9 @@ QUERIES: dict[str, Query] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_cutting_stock_packing": op9_cutting_stock_packing,
     "op10_packed_token_ids": op10_packed_token_ids,
+    "op11_synchronising_runs": op11_synchronising_runs,
+    "op12_hybrid_lexical_search": op12_hybrid_lexical_search,
+    "op13_line_bitmaps": op13_line_bitmaps,
 }
 #: None of the ten is SQL as a whole; tests hold each against brute force, a library, an
 #: exact round trip or held-out labels.
