@@ -85,7 +85,7 @@ def test_families_chains_and_odd_texts(make_docs):
 
 def test_large_buckets_in_blocks(make_docs, monkeypatch):
     monkeypatch.setattr(near_dedup, "SMALL_BUCKET", 2)
-    monkeypatch.setattr(near_dedup, "BLOCK", 5)
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", 4000)
     test_families_chains_and_odd_texts(make_docs)
 
 
@@ -131,6 +131,31 @@ def test_rows_that_share_a_doc_id_are_linked_each_by_its_own_text(make_docs):
     docs = make_docs((3, one), (5, one), (5, two), (6, two + " end"), (7, three), (7, three + " end"))
     rows = sorted((r.doc_id, r.component_id, r.kept) for r in near_dedup.linked(docs, 5).collect())
     assert [r[:2] for r in rows] == [(3, 3), (5, 3), (5, 5), (6, 5), (7, 7), (7, 7)]
-    assert [r[2] for r in rows[:4]] == [True, False, True, False] and sorted(r[2] for r in rows[4:]) == [False, True]
+    assert all(r[2] == (r[0] == r[1]) for r in rows)
     out = near_dedup.near_dedup(docs).collect()
     assert sorted((r.doc_id, r.text) for r in out)[:2] == [(3, one), (5, two)] and [r.doc_id for r in out].count(7) == 1 and len(out) == 3
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(k).count("1") % 2] for k in range(n))
+
+
+def test_words_that_a_polynomial_takes_for_equal(make_docs):
+    word = thue_morse(2048)
+    other = word.translate(str.maketrans("ab", "ba"))
+    common = "one two three four five six seven eight nine ten eleven twelve "
+    docs = make_docs((1, word), (2, other), (3, common + word), (4, common + other), (5, word))
+    compare(docs, 4)
+    assert {r.doc_id for r in near_dedup.near_dedup(docs).collect()} == {1, 2, 3}  # eight of ten shingles
+
+
+def test_very_long_texts(make_docs):
+    words = [f"w{k}" for k in range(160_000)]
+    near = [*words[:80_000], "x", *words[80_001:]]
+    text = " ".join(words)
+    assert len(text) > 1_000_000
+    far = " ".join(words[:100_000])
+    rows = near_dedup.linked(make_docs((1, text), (2, " ".join(near)), (3, far), (4, "w " * 500_000)), 4).collect()
+    assert sorted((r.doc_id, r.component_id, r.n_shingles) for r in rows) == [
+        (1, 1, 159_997), (2, 1, 159_997), (3, 3, 99_997), (4, 4, 1)
+    ]

@@ -29,14 +29,15 @@ def test_equal_demands_end():
 
 def test_ranks_and_json_give_the_same_ids(sample_docs):
     texts = [r.text for r in sample_docs.limit(40).collect()]
-    texts += ["", " \n\n  x", "<|endoftext|> a", "é ü　z 12 'll", "a" * 3000, "\t" * 50, "x" + " \n" * 400_000 + "y"]
+    texts += ["", " \n\n  x", "<|endoftext|> a", "a <|endoftext|> b", "x<|endoftext|><|endoftext|>", "<|endoftext", "é ü　z 12 'll", "a" * 3000, "\t" * 50, "x" + " \n" * 400_000 + "y"]
     fast, plain = tokens.encoder("byte_bpe_50k.tiktoken"), tokens.encoder("byte_bpe_50k.json")
-    assert all(fast(t) == plain(t) for t in texts)
+    made = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert all(fast(t) == plain(t) == made.encode(t, add_special_tokens=False).ids for t in texts)
+    assert fast("a <|endoftext|> b") == [64, 220, 50256, 275]
 
 
 def check(docs, rows, length=1024):
     made = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    made.encode_special_tokens = True
     want = sorted([*made.encode(r.text or "", add_special_tokens=False).ids, 0] for r in docs.collect())
     by_doc, by_sequence = {}, {}
     for r in rows:
@@ -54,7 +55,7 @@ def check(docs, rows, length=1024):
 
 
 def test_pack_equals_the_ids(make_docs, sample_docs):
-    odd = [(10_000, ""), (10_001, None), (10_002, "x " * 5000), (10_003, "a b")]
+    odd = [(10_000, ""), (10_004, "a <|endoftext|> b"), (10_001, None), (10_002, "x " * 5000), (10_003, "a b")]
     docs = sample_docs.select("doc_id", "text").union(make_docs(*odd).select("doc_id", "text"))
     rows = packing.pack(docs, with_ids=True).collect()
     by_doc, by_sequence, _ = check(docs, rows)

@@ -78,3 +78,18 @@ def test_odd_rows(make_docs):
     )
     assert substrings.remove_repeats(docs.limit(0)).count() == 0
     assert substrings.removal_report(docs.limit(0)).count() == 0
+
+
+def test_words_that_a_polynomial_takes_for_equal(make_docs):
+    word = "".join("ab"[bin(k).count("1") % 2] for k in range(2048))
+    other = word.translate(str.maketrans("ab", "ba"))
+    common = "one two three four five six seven eight nine ten eleven twelve "
+    compare(make_docs((1, common + word), (2, common + other), (3, common + word)))
+
+
+def test_very_long_texts(make_docs):
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(30_000)}" for _ in range(200_000)]
+    text = " ".join(words)
+    assert len(text) > 1_000_000
+    compare(make_docs((1, " ".join(words[50_000:50_100])), (2, text), (3, "x " + text[::-1]), (4, " ".join(words[150_000:]))))

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tunetally.llm.components import components
-from tunetally.llm.words import binary_column, chunks, constants, mix, shingle_sets
+from tunetally.llm.words import binary_column, chunks, constants, mix, new_key, shingle_sets
 from tunetally.session import materialize
 
 SHINGLE = 5
@@ -45,9 +45,10 @@ BAND_ROWS = 4
 BATCH = 32
 #: A pair at the threshold may be lost by the bounds with about this probability.
 MISS = 1e-7
-#: Buckets up to this size are compared as rows; larger ones in blocks of `BLOCK` nodes.
+#: Buckets up to this size are compared as rows; larger ones in blocks of nodes whose sets and
+#: signatures have about `BLOCK_BYTES`.
 SMALL_BUCKET = 32
-BLOCK = 512
+BLOCK_BYTES = 16 << 20
 N_HASHES = BANDS * BAND_ROWS
 _U64 = np.uint64
 
@@ -97,14 +98,14 @@ def _text_hash() -> Column:
     return F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
 
 
-def signed(docs: DataFrame, shingle: int) -> DataFrame:
+def signed(docs: DataFrame, shingle: int, key: bytes) -> DataFrame:
     """doc_id, the hash of the text, n_shingles, set_a and set_b (128 bits that stand for the
     set), signature (null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts in chunks(batch.column(2)):
-                hashes, bounds = shingle_sets(texts, shingle, fold=True)
+                hashes, bounds = shingle_sets(texts, shingle, True, key)
                 sizes = np.diff(bounds)
                 full = np.flatnonzero(sizes)
                 keys = np.zeros((2, texts.n), _U64)
@@ -123,19 +124,19 @@ def signed(docs: DataFrame, shingle: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*columns, signatures], names=names)
 
     names = ["doc_id", "text_hash", "n_shingles", "set_a", "set_b", "signature"]
-    key = docs.schema["doc_id"].dataType.simpleString()
-    kind = f"doc_id {key}, text_hash binary, n_shingles long, set_a long, set_b long, signature binary"
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind = f"doc_id {kind}, text_hash binary, n_shingles long, set_a long, set_b long, signature binary"
     return docs.select("doc_id", _text_hash(), "text").mapInArrow(run, kind)
 
 
-def _shingles(rows: DataFrame, shingle: int) -> DataFrame:
+def _shingles(rows: DataFrame, shingle: int, key: bytes) -> DataFrame:
     """node and its sorted shingle hashes, 8 bytes each, of the rows (node, set_a, set_b, text)
     whose text has the set of the node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts in chunks(batch.column(3)):
-                hashes, bounds = shingle_sets(texts, shingle, fold=True)
+                hashes, bounds = shingle_sets(texts, shingle, True, key)
                 node, *wanted = (batch.column(k).slice(texts.first, texts.n) for k in range(3))
                 own = np.diff(bounds) > 0
                 if own.any():
@@ -156,14 +157,14 @@ def _matrix(column: pa.Array) -> np.ndarray:
 class _Linker:
     """The tables that all rounds of one run share."""
 
-    def __init__(self, docs: DataFrame, nodes: DataFrame, members: DataFrame, shingle: int, percent: int):
+    def __init__(self, docs: DataFrame, nodes: DataFrame, members: DataFrame, shingle: int, percent: int, key: bytes):
         self.key = "long"
         self.percent, self.bounds = percent, least_matches(percent / 100)
         self.nodes, self.members = nodes, members
         wanted = members.select("node").distinct()
         named = nodes.select("node", "doc_id", "set_a", "set_b").join(wanted, "node")
         rows = docs.select("doc_id", "text").join(named, "doc_id")
-        self.sets = materialize(_shingles(rows, shingle).distinct(), "near-sets")
+        self.sets = materialize(_shingles(rows, shingle, key).distinct(), "near-sets")
 
     def likely(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that come through the bounds."""
@@ -231,9 +232,11 @@ class _Linker:
         large = members.where(F.col("size") > SMALL_BUCKET)
         if large.isEmpty():
             return self.members.sparkSession.createDataFrame([], f"a {self.key}, b {self.key}")
+        measured = large.join(self.nodes.select("node", (8 * F.col("n_shingles")).alias("bytes")), "node")
+        total = measured.groupBy("bucket").agg(F.sum(F.col("bytes") + 4 * N_HASHES).alias("bytes"))
+        blocks = F.ceil(F.col("bytes") / BLOCK_BYTES)
+        large = large.join(total, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), blocks))
         large = large.join(self.nodes.select("node", "signature"), "node").join(self.sets, "node")
-        blocks = F.ceil(F.col("size") / BLOCK)
-        large = large.withColumn("block", F.pmod(F.xxhash64("node"), blocks))
         # Every two blocks of a bucket meet once; a block meets itself as well.
         met = large.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
         met = met.withColumns({"i": F.least("block", "with"), "j": F.greatest("block", "with")})
@@ -280,8 +283,10 @@ def _joining_links(i: int, j: int, rows: pd.DataFrame, bounds: list[tuple[int, i
 
 
 def _verdicts(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Per row of `docs`: doc_id, text_hash, n_shingles, component_id, kept."""
-    rows = materialize(signed(docs, shingle), "near-signed")
+    """Per row of `docs`: doc_id, text_hash, n_shingles, component_id, kept, and whether its
+    set is the first one of its component (`leads`)."""
+    key = new_key()
+    rows = materialize(signed(docs, shingle, key), "near-signed")
     full = rows.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     keys = ["set_a", "set_b", "n_shingles"]
     nodes = full.groupBy(keys).agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"))
@@ -293,7 +298,7 @@ def _verdicts(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     banded = nodes.select("node", F.posexplode(F.array(*bands)).alias("band", "bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = materialize(banded.join(shared.select("bucket"), "bucket", "left_semi"), "near-members")
-    linker = _Linker(docs, nodes, members, shingle, percent)
+    linker = _Linker(docs, nodes, members, shingle, percent, key)
     pairs = materialize(linker.with_leaders(), "near-pairs")
     links = materialize(linker.confirmed(linker.likely(pairs)), "near-links")
     labels = components(links, "near-components")
@@ -308,19 +313,23 @@ def _verdicts(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     own = own.select(*keys, F.coalesce("smallest", "first").alias("component_id"), F.col("smallest").isNull().alias("leads"))
     out = rows.drop("signature").join(own, keys, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    kept = F.coalesce((F.col("doc_id") == component) & F.coalesce("leads", F.lit(True)), F.lit(True))
-    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), kept.alias("kept"))
+    kept = F.coalesce(F.col("doc_id") == component, F.lit(True))
+    leads = kept & F.coalesce("leads", F.lit(True))
+    return out.select(
+        "doc_id", "text_hash", "n_shingles", component.alias("component_id"), kept.alias("kept"), leads.alias("leads")
+    )
 
 
 def linked(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Per row of `docs`: doc_id, n_shingles, component_id, kept."""
-    return _verdicts(docs, shingle, percent).drop("text_hash")
+    """Per row of `docs`: doc_id, n_shingles, component_id, and kept, which is whether both are
+    the same; rows that repeat or share a doc_id are all kept then."""
+    return _verdicts(docs, shingle, percent).drop("text_hash", "leads")
 
 
 def near_dedup(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of `docs` that are the first of their component, unchanged; of rows with
     the same doc_id and text one stays. Rows without a doc_id stay."""
-    verdicts = _verdicts(docs, shingle, percent).where("not kept")
+    verdicts = _verdicts(docs, shingle, percent).where("not leads")
     verdicts = verdicts.select(F.col("doc_id").alias("gone_id"), "text_hash").distinct()
     same = (docs["doc_id"] == verdicts["gone_id"]) & (F.unhex(F.sha2(F.coalesce(docs["text"], F.lit("")), 256)) == verdicts["text_hash"])
     good = docs.join(verdicts, same, "left_anti").select(*docs.columns)

@@ -117,7 +117,7 @@ def duplicate_lines(texts: Texts) -> np.ndarray:
     ends = np.where((ends > starts) & (texts.data[np.maximum(ends - 1, 0)] == 10), ends - 1, ends)
     words = np.searchsorted(texts.starts, ends) - np.searchsorted(texts.starts, starts)
     starts, ends, owner = starts[words > 0], ends[words > 0], owner[words > 0]
-    keys = texts.span_hashes(starts, ends) ^ mix(owner.astype(np.uint64) + np.uint64(1))
+    keys = texts.spans(starts, ends).indices.to_numpy()
     order = np.lexsort((keys, owner))
     keys, owner = keys[order], owner[order]
     again = (keys[1:] == keys[:-1]) & (owner[1:] == owner[:-1])

@@ -6,7 +6,8 @@ positions there is a shift below the period that brings both into the cover. So
 passages always share an anchor at the same shift, and anchors at other positions need not
 be looked at. Anchors that occur in one document only are dropped; around the others the
 match is extended: the windows of `size` words that hold a shared anchor are compared by
-96-bit hashes, and each learns whether a document with a smaller doc_id has it.
+96-bit hashes, and each learns whether a document with a smaller doc_id has it. Both parts
+of such a hash are made of digests of words of their own, with a key that is drawn per run.
 
 Both comparisons run alike. A task packs the hashes of its documents by part of the hash
 range, so a row of the shuffle holds thousands of them. What several documents of one
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tunetally.llm.words import Texts, binary_column, chunks, mix, window_hashes
+from tunetally.llm.words import Texts, binary_column, chunks, mix, new_key, window_hashes
 
 SIZE = 13
 #: Text bytes per part of the hash range.
@@ -151,7 +152,7 @@ def _pack(docs: np.ndarray, hashes: np.ndarray, tails: np.ndarray, parts: int) -
     return pa.RecordBatch.from_pydict(rows, PACKED_SCHEMA)
 
 
-def _share_anchors(docs: DataFrame, size: int, parts: int) -> DataFrame:
+def _share_anchors(docs: DataFrame, size: int, parts: int, key: bytes) -> DataFrame:
     """The anchors of documents (doc_id, text) that other documents have as well, packed
     by bucket."""
 
@@ -162,7 +163,7 @@ def _share_anchors(docs: DataFrame, size: int, parts: int) -> DataFrame:
             ids = batch.column(0).to_numpy()
             found, owners = [], []
             for texts in chunks(batch.column(1)):
-                at, hashes = _anchors(texts, texts.word_hashes(), size)
+                at, hashes = _anchors(texts, texts.word_hashes(key=key), size)
                 found.append(hashes)
                 owners.append(ids[texts.first + texts.text_of[at]])
             hashes, owners = np.concatenate(found), np.concatenate(owners)
@@ -272,7 +273,7 @@ def _ids(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.asarray(pc.fill_null(column.cast(pa.int64()), 0))
 
 
-def _earlier_windows(docs: DataFrame, anchors: DataFrame, size: int, parts: int) -> DataFrame:
+def _earlier_windows(docs: DataFrame, anchors: DataFrame, size: int, parts: int, secret: bytes) -> DataFrame:
     """The windows of documents (bucket, doc_id, text) that a document with a smaller
     doc_id has as well, packed by bucket."""
     reach = period_for(size)
@@ -285,7 +286,7 @@ def _earlier_windows(docs: DataFrame, anchors: DataFrame, size: int, parts: int)
         ids = _ids(rows.column("doc_id"))
         found, seconds, owners = [], [], []
         for texts in chunks(_texts(rows.column("text"))):
-            words = texts.word_hashes()
+            words, second = texts.word_lanes(key=secret)
             at, hashes = _anchors(texts, words, size)
             at = at[known.has(hashes & mask, ids[texts.first + texts.text_of[at]])]
             near = np.zeros(len(words) + 1, np.int64)
@@ -295,7 +296,7 @@ def _earlier_windows(docs: DataFrame, anchors: DataFrame, size: int, parts: int)
             windows = windows[np.cumsum(near)[windows] > 0]
             if len(windows):
                 found.append(window_hashes(words, size, 31)[windows])
-                seconds.append(window_hashes(words, size, 32)[windows])
+                seconds.append(window_hashes(second, size, 32)[windows])
                 owners.append(ids[texts.first + texts.text_of[windows]])
         if not found:
             return
@@ -325,9 +326,9 @@ def _earlier_windows(docs: DataFrame, anchors: DataFrame, size: int, parts: int)
     return _exchange(both, parts, 12, decide)
 
 
-def _removed(texts: Texts, known: _Known, ids: pa.ChunkedArray, size: int) -> np.ndarray:
+def _removed(texts: Texts, known: _Known, ids: pa.ChunkedArray, size: int, secret: bytes) -> np.ndarray:
     """Which words of the texts are in a window that an earlier document has."""
-    words = texts.word_hashes()
+    words = texts.word_hashes(key=secret)
     windows = texts.windows(size)
     if not len(windows):
         return np.zeros(len(words), bool)
@@ -365,13 +366,13 @@ def _cut_texts(texts: Texts, removed: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return texts.data[kept], np.append(0, np.cumsum(kept))[texts.bounds]
 
 
-def _cogrouped(docs: DataFrame, size: int):
+def _cogrouped(docs: DataFrame, size: int, secret: bytes):
     """`docs` with compressed texts by bucket, beside what was found for the bucket."""
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
     bucketed = _squeezed(rows, "doc_id", "text", parts)
-    windows = _earlier_windows(bucketed, _share_anchors(rows, size, parts), size, parts)
+    windows = _earlier_windows(bucketed, _share_anchors(rows, size, parts, secret), size, parts, secret)
     named = docs.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)))
     key, text = (f"c{docs.columns.index(c)}" for c in ("doc_id", "text"))
     squeezed = _squeezed(named, key, text, parts)
@@ -387,31 +388,31 @@ def removal_report(docs: DataFrame, size: int = SIZE) -> DataFrame:
     def reported(rows: pa.Table, known: _Known) -> Iterator[pa.RecordBatch]:
         ids = rows.column("c0")
         for texts in chunks(_texts(rows.column("c1"))):
-            removed = _removed(texts, known, ids, size)
+            removed = _removed(texts, known, ids, size, secret)
             sums = [hashlib.sha256(x).hexdigest() for x in _joined_words(texts, ~removed)]
             gone = np.bincount(texts.text_of[removed], minlength=texts.n)
             columns = [ids.slice(texts.first, texts.n).combine_chunks()]
             columns += [pa.array(x, pa.int64()) for x in (texts.n_words, gone)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(sums, pa.string())], schema=schema)
 
-    key = docs.schema["doc_id"].dataType
+    secret, key = new_key(), docs.schema["doc_id"].dataType
     names = ["n_words", "n_removed"]
     schema = pa.schema([("doc_id", to_arrow_type(key)), *((n, pa.int64()) for n in names), ("kept_sha256", pa.string())])
     kind = f"doc_id {key.simpleString()}, n_words long, n_removed long, kept_sha256 string"
-    return _cogrouped(docs.select("doc_id", "text"), size).applyInArrow(run, kind)
+    return _cogrouped(docs.select("doc_id", "text"), size, secret).applyInArrow(run, kind)
 
 
 def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """The rows of `docs` with the words removed from `text`; what is left keeps its white
     space. A document of which nothing is left stays, with an empty text. A null text
     stays null. `n_chars` is counted again where there is such a column."""
-    names = docs.columns
+    secret, names = new_key(), docs.columns
     key, at = f"c{names.index('doc_id')}", names.index("text")
 
     def run(rows: pa.Table, found: pa.Table) -> pa.Table:
         rows, known, parts = rows.combine_chunks(), _Known(found), []
         for texts in chunks(_texts(rows.column(f"c{at}"))):
-            data, bounds = _cut_texts(texts, _removed(texts, known, rows.column(key), size))
+            data, bounds = _cut_texts(texts, _removed(texts, known, rows.column(key), size, secret))
             parts.append(binary_column(data, bounds))
         text = pa.concat_arrays(parts).cast(pa.string()) if parts else pa.array([], pa.string())
         nulls = pc.is_null(rows.column(f"c{at}")).combine_chunks()
@@ -420,7 +421,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
         return rows.set_column(at, f"c{at}", text)
 
     kinds = [T.StructField(f"c{k}", f.dataType) for k, f in enumerate(docs.schema)]
-    out = _cogrouped(docs, size).applyInArrow(run, T.StructType(kinds))
+    out = _cogrouped(docs, size, secret).applyInArrow(run, T.StructType(kinds))
     out = out.withColumnsRenamed({f"c{k}": c for k, c in enumerate(names)})
     if "n_chars" in names:
         n_chars = F.char_length("text").cast(docs.schema["n_chars"].dataType)

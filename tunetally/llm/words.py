@@ -1,11 +1,16 @@
 """Words, lines and their hashes over Arrow batches of texts, vectorised with NumPy.
 
-A word is a maximal run of bytes other than space and tab to carriage return. Hashes
-are 64-bit and the same in every process. A null text has no words.
+A word is a maximal run of bytes other than space and tab to carriage return. A null text
+has no words. Words are told apart exactly within a batch; each distinct one has a keyed
+128-bit BLAKE2b digest, of which sums over runs of words are made. With a key that is drawn
+per run (`new_key`) no text can be written so that two words or runs of it collide. Without
+one, hashes are the same in every process and run.
 """
 
 from __future__ import annotations
 
+import hashlib
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +18,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 20
-_BASE = 0x9E3779B97F4A7C15 | 1
 _U64 = np.uint64
 _SPACES = np.zeros(256, bool)
 _SPACES[[0x20, *range(0x09, 0x0E)]] = True
@@ -35,21 +39,26 @@ def constants(seed: int, n: int) -> np.ndarray:
     return mix(steps * _U64(0x9E3779B97F4A7C15)) | _U64(1)
 
 
-_CODES = constants(1, 256)
-_FOLDED = _CODES.copy()
-_FOLDED[65:91] = _CODES[97:123]
-_powers = [np.ones(1, _U64), np.ones(1, _U64)]
+def _lower_bytes() -> np.ndarray:
+    out = np.arange(256, dtype=np.uint8)
+    out[65:91] += 32
+    return out
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, 0 to n; kept between calls."""
-    if len(_powers[0]) <= n:
-        size = max(n, CHUNK_BYTES) + 1
-        for slot, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            table = np.full(size, base, _U64)
-            table[0] = 1
-            _powers[slot] = np.cumprod(table, dtype=_U64)
-    return _powers[0][: n + 1], _powers[1][: n + 1]
+_LOWER = _lower_bytes()
+#: The key of hashes that are the same in every run.
+PUBLIC = b""
+
+
+def new_key() -> bytes:
+    """A key for the hashes of one run; drawn on the driver, so that all its tasks share it."""
+    return secrets.token_bytes(16)
+
+
+def digests(values: pa.Array, key: bytes = PUBLIC) -> np.ndarray:
+    """Two 64-bit numbers for each value of a binary column, as two rows."""
+    found = [hashlib.blake2b(v, digest_size=16, key=key).digest() for v in values.to_pylist()]
+    return np.frombuffer(b"".join(found), "<u8").astype(_U64).reshape(-1, 2).T
 
 
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -93,18 +102,28 @@ class Texts:
         self.first_word = np.searchsorted(self.starts, self.bounds)
         self.n_words = np.diff(self.first_word)
 
-    def span_hashes(self, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
-        """One hash per byte span; `fold` takes A-Z as a-z."""
-        powers, inverse = _power_tables(len(self.data) + 1)
-        sums = np.zeros(len(self.data) + 1, _U64)
-        codes = (_FOLDED if fold else _CODES)[self.data]
-        codes *= powers[: len(codes)]
-        np.cumsum(codes, out=sums[1:])
-        out = (sums[ends] - sums[starts]) * inverse[starts]
-        return mix(out + (ends - starts).astype(_U64))
-
-    def word_hashes(self, fold: bool = False) -> np.ndarray:
-        return self.span_hashes(self.starts, self.ends, fold)
+    def spans(self, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> pa.DictionaryArray:
+        """Stretches of bytes that don't overlap, as a column of numbered values; `fold`
+        takes A-Z as a-z. Equal numbers are equal bytes."""
+        edges = np.zeros(len(self.data) + 1, np.int8)
+        edges[starts] += 1
+        np.subtract.at(edges, ends, 1)
+        data = self.data[np.cumsum(edges[:-1], dtype=np.int8).astype(bool)]
+        if fold:
+            data = _LOWER[data]
+        bounds = np.append(0, np.cumsum(ends - starts)).astype(np.int64)
+        buffers = [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))]
+        return pa.Array.from_buffers(pa.large_binary(), len(starts), buffers).dictionary_encode()
+
+    def word_lanes(self, fold: bool = False, key: bytes = PUBLIC) -> np.ndarray:
+        """Two 64-bit hashes per word, as two rows; together they tell words apart."""
+        if not len(self.starts):
+            return np.zeros((2, 0), _U64)
+        words = self.spans(self.starts, self.ends, fold)
+        return digests(words.dictionary, key)[:, words.indices.to_numpy()]
+
+    def word_hashes(self, fold: bool = False, key: bytes = PUBLIC) -> np.ndarray:
+        return self.word_lanes(fold, key)[0]
 
     def counted(self, flags: np.ndarray) -> np.ndarray:
         """How many bytes of each text are flagged."""
@@ -141,13 +160,13 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Texts]:
         first = last
 
 
-def shingle_sets(texts: Texts, size: int, fold: bool) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(texts: Texts, size: int, fold: bool, key: bytes = PUBLIC) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles of `size` words of each text: hashes and bounds.
 
     A text with fewer words has its whole sequence as one shingle; one without words has
     none. The hashes of a text are sorted.
     """
-    words = texts.word_hashes(fold)
+    words = texts.word_hashes(fold, key)
     at = texts.windows(size)
     hashes = window_hashes(words, size)[at] if len(at) else np.zeros(0, _U64)
     owner = texts.text_of[at]
