@@ -80,3 +80,49 @@ def test_private_keys_go_whole(make_docs):
     docs = make_docs(*[(k, f"a {t} b, {t}\nc: d") for k, t in enumerate(texts)], (9, f"a {rsa[:50000]}"))
     out = {r.doc_id: r.text for r in L.redact(docs).collect()}
     assert out == {**{k: "a [SECRET] b, [SECRET]\nc: d" for k in range(len(texts))}, 9: "a [SECRET]"}
+
+
+def test_markers_in_prose_stay(make_docs):
+    texts = [
+        "The line -----BEGIN RSA PRIVATE KEY----- starts a key file and you should never commit it to a repo. Next: more.",
+        "See -----BEGIN PRIVATE KEY-----\nNote: this is prose, long and clean, on one line\nand more of it.",
+        "-----BEGIN PRIVATE KEY----- internationalization of software, otherwise clean",
+    ]
+    docs = make_docs(*enumerate(texts))
+    assert {r.doc_id: r.text for r in L.redact(docs).collect()} == dict(enumerate(texts))
+    key = "-----BEGIN PRIVATE KEY-----\\n" + "Ab1+" * 16 + "\\nQ==\\n-----END PRIVATE KEY-----"
+    cut = "x -----BEGIN PRIVATE KEY-----\n" + "Ab1+" * 16 + "\nAb1+/"
+    out = {r.doc_id: r.text for r in L.redact(make_docs((1, f"a {key} b"), (2, cut), (3, cut + " and prose"))).collect()}
+    assert out[1] == "a [SECRET] b" and out[2] == "x [SECRET]" and out[3] == "x [SECRET]Ab1+/ and prose"
+
+
+def test_a_former_version_is_not_scanned_again(make_docs, monkeypatch):
+    docs = make_docs(*enumerate(["plain", "AKIA" + "A" * 20, "plain", "token=abcdefghijklmnop", None, ""]), (None, "plain"))
+    former = docs.where("doc_id % 2 = 0")
+    scanned = []
+    scan = L.scan_new
+
+    def counted(versions, ledger=None, rules=L.RULES):
+        out = scan(versions, ledger, rules)
+        scanned.append(out.count())
+        return out
+
+    want = sorted(map(str, L.report(docs).collect()))
+    monkeypatch.setattr(L, "scan_new", counted)
+    for few in (0, 100):
+        monkeypatch.setattr(L, "MAX_OPEN", few)
+        assert sorted(map(str, L.report(docs, former).collect())) == want
+    assert scanned == [2, 2] * 2
+
+
+def test_texts_of_seen_blobs_are_not_shuffled(make_docs):
+    docs = make_docs((1, "a"), (2, "b"), (3, "c"))
+    ledger = L.updated(docs.where("doc_id < 3"))
+    plan = L.scan_new(docs, ledger)._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" in plan
+
+
+def test_very_long_text(make_docs):
+    text = "und so weiter " * 80_000 + "token=abcdefabcdefabcdef " + "f" * 100_000
+    row = L.report(make_docs((1, text))).first()
+    assert (row.n_assign, row.n_access, row.n_hex) == (1, 0, 2)

@@ -1,9 +1,13 @@
+import hashlib
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from tunetally.llm import pii
 
+KEY = "test"
+
 VALUES = {
     "email": ["und.34@mail7.example.com", "A_b%c@x-y.co", "a@b.de", "Q+1@mail.example.org"],
     "iban": ["DE89370400440532013000", "GB82WEST12345698765432", "FR1420041010050500013M02606"],
@@ -13,7 +17,7 @@ VALUES = {
     "date": ["1987-02-28", "28/02/1987", "31.12.1999", "2000-02-29"],
     "card": ["4111111111111111", "9807915762804490", "4111 1111 1111 1111", "5500-0000-0000-0004", "4222222222222"],
 }
-OTHER = ["3.14", "1.2.3.4.5", "256.1.1.1", "2021-13-01", "30.02.1999", "12345", "v1.2.3", "000-12-3456", "123-00-1234", "DE00370400440532013000",
+OTHER = ["3.14", "1.2.3.4.5", "256.1.1.1", "2021-13-01", "30.02.1999", "12345", "v1.2.3", "000-12-3456", "123-00-1234", "DE0037040044053201300", "AB12CDEFGHIJKLMNOP",
          "a@b", "@x.com", "1899-01-01", "x4111111111111111", "12345678901234567890", "02-31-1999"]
 
 
@@ -33,7 +37,7 @@ def shape(text):
 def test_values_are_found_changed_within_their_format_and_restored(spark, make_docs):
     values = [(kind, v) for kind, own in VALUES.items() for v in own]
     docs = make_docs(*[(k, f"é x {v}, y") for k, (_, v) in enumerate(values)], *[(1000 + k, f"x {v} y") for k, v in enumerate(OTHER)])
-    rows = {r.doc_id: r for r in pii.report(docs).collect()}
+    rows = {r.doc_id: r for r in pii.report(docs, KEY).collect()}
     for k, (kind, v) in enumerate(values):
         r = rows[k]
         assert {n: r[f"n_{n}"] for n in pii.KINDS} == {n: int(n == kind) for n in pii.KINDS}, (v, r)
@@ -51,7 +55,7 @@ def test_values_are_found_changed_within_their_format_and_restored(spark, make_d
     for k, v in enumerate(OTHER):
         assert rows[1000 + k].text == f"x {v} y", v
         assert all(rows[1000 + k][f"n_{n}"] == 0 for n in pii.KINDS)
-    back = {r.doc_id: r.text for r in pii.pseudonymised(pii.pseudonymised(docs), back=True).collect()}
+    back = {r.doc_id: r.text for r in pii.pseudonymised(pii.pseudonymised(docs, KEY), KEY, back=True).collect()}
     assert back == {r.doc_id: r.text for r in docs.collect()}
     other_key = {r.doc_id: r.text for r in pii.report(docs, "other").select("doc_id", "text").collect()}
     assert other_key[0] != rows[0].text
@@ -59,12 +63,12 @@ def test_values_are_found_changed_within_their_format_and_restored(spark, make_d
 
 def test_permutation_of_a_whole_format(spark):
     numbers = spark.range(10000).select(F.format_string("+1 (2%02d) 555-00%02d", (F.col("id") / 100).cast("int"), (F.col("id") % 100).cast("int")).alias("v"))
-    changed = numbers.select(pii.pseudonym(F.col("v"), F.lit("phone")).alias("p"))
+    changed = numbers.select(pii.pseudonym(F.col("v"), F.lit("phone"), KEY).alias("p"))
     assert changed.distinct().count() == 10000
     octets = spark.range(65536).select(F.concat_ws(".", F.lit("10.0"), (F.col("id") / 256).cast("int"), (F.col("id") % 256).cast("int")).alias("v"))
-    assert octets.select(pii.pseudonym(F.col("v"), F.lit("ip"))).distinct().count() == 65536
+    assert octets.select(pii.pseudonym(F.col("v"), F.lit("ip"), KEY)).distinct().count() == 65536
     days = spark.range(73000).select(F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("v"))
-    new = days.select("v", pii.pseudonym(F.col("v"), F.lit("date")).alias("p"))
+    new = days.select("v", pii.pseudonym(F.col("v"), F.lit("date"), KEY).alias("p"))
     assert new.select("p").distinct().count() == 73000
     assert new.where(pii.kind_of(F.col("p")) == "date").count() == 73000
 
@@ -72,16 +76,16 @@ def test_permutation_of_a_whole_format(spark):
 def test_equal_values_stay_linked_and_rows_are_kept(make_docs):
     docs = make_docs((1, "a@b.de"), (2, "x a@b.de 97.51.17.173"), (None, "97.51.17.173"), (3, None), (4, ""), (1, "a@b.de"))
     docs = docs.withColumns({"found": docs.lang, "matches": docs.doc_id, "typed": docs.lang, "c1": docs.lang})
-    out = pii.pseudonymised(docs)
+    out = pii.pseudonymised(docs, KEY)
     assert out.columns == docs.columns
     rows = sorted((str(r.doc_id), str(r.text)) for r in out.collect())
     mail, ip = rows[0][1], rows[5][1]
     assert rows == [("1", mail), ("1", mail), ("2", f"x {mail} {ip}"), ("3", "None"), ("4", ""), ("None", ip)]
-    assert pii.report(docs.limit(0)).count() == 0
+    assert pii.report(docs.limit(0), KEY).count() == 0
 
 
 def test_documents_come_back_and_hold_no_old_values(sample_docs):
-    changed = pii.pseudonymised(sample_docs)
+    changed = pii.pseudonymised(sample_docs, KEY)
     texts = {r.doc_id: r.text for r in sample_docs.collect()}
     new = {r.doc_id: r.text for r in changed.collect()}
     simple = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@mail\d\.example\.com|(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.])|\+1 \(\d{3}\) \d{3}-\d{4}|(?<!\w)\d{16}(?!\w)")
@@ -93,25 +97,25 @@ def test_documents_come_back_and_hold_no_old_values(sample_docs):
         if not old and not re.search(r"\d{4}", t):
             assert new[k] == t
     assert touched > 5
-    assert {r.doc_id: r.text for r in pii.pseudonymised(changed, back=True).collect()} == texts
+    assert {r.doc_id: r.text for r in pii.pseudonymised(changed, KEY, back=True).collect()} == texts
 
 
 def test_no_python_in_the_plan(make_docs):
-    plan = pii.report(make_docs((1, "x")))._jdf.queryExecution().executedPlan().toString()
+    plan = pii.report(make_docs((1, "x")), KEY)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
 
 def test_month_first_dates_and_the_last_days(spark, make_docs):
     values = ["12/25/2020", "02-28-1999", "01.13.2099", "12-31-2099", "2099-11-13", "2099-12-31", "31/12/2099", "05/06/2020"]
     docs = make_docs(*[(k, f"x {v} y") for k, v in enumerate(values)])
-    rows = {r.doc_id: r for r in pii.report(docs).collect()}
+    rows = {r.doc_id: r for r in pii.report(docs, KEY).collect()}
     for k, v in enumerate(values):
         assert rows[k].n_date == 1 and v not in rows[k].text and shape(rows[k].text) == shape(f"x {v} y")
-    assert {r.doc_id: r.text for r in pii.pseudonymised(pii.pseudonymised(docs), back=True).collect()} == {r.doc_id: r.text for r in docs.collect()}
+    assert {r.doc_id: r.text for r in pii.pseudonymised(pii.pseudonymised(docs, KEY), KEY, back=True).collect()} == {r.doc_id: r.text for r in docs.collect()}
     days = spark.range(73049).select(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
     late = days.where("day(d) > 12").select(F.date_format("d", "MM/dd/yyyy").alias("v"))
     for own in (late, days.select(F.date_format("d", "dd.MM.yyyy").alias("v"))):
-        new = own.select(pii.pseudonym(F.col("v"), F.lit("date")).alias("p"))
+        new = own.select(pii.pseudonym(F.col("v"), F.lit("date"), KEY).alias("p"))
         assert new.select("p").distinct().intersect(own).count() == own.count()
 
 
@@ -124,7 +128,7 @@ def test_a_number_has_one_pseudonym_however_it_is_printed(make_docs):
     ]
     values = [(n, kind, v) for n, (kind, *own) in enumerate(groups) for v in own]
     docs = make_docs(*[(k, f"x {v} PAY y") for k, (_, _, v) in enumerate(values)])
-    rows = {r.doc_id: r for r in pii.report(docs).collect()}
+    rows = {r.doc_id: r for r in pii.report(docs, KEY).collect()}
     new = {}
     for k, (n, kind, v) in enumerate(values):
         assert {c: rows[k][f"n_{c}"] for c in pii.KINDS} == {c: int(c == kind) for c in pii.KINDS}, v
@@ -133,12 +137,71 @@ def test_a_number_has_one_pseudonym_however_it_is_printed(make_docs):
         new.setdefault(n, set()).add(re.sub("[^A-Z0-9]", "", text[2:-6]))
         assert kind != "iban" or mod97(re.sub("[^A-Z0-9]", "", text[2:-6])) == 1
     assert all(len(x) == 1 for x in new.values())
-    assert {r.doc_id: r.text for r in pii.pseudonymised(pii.pseudonymised(docs), back=True).collect()} == {r.doc_id: r.text for r in docs.collect()}
+    assert {r.doc_id: r.text for r in pii.pseudonymised(pii.pseudonymised(docs, KEY), KEY, back=True).collect()} == {r.doc_id: r.text for r in docs.collect()}
 
 
 def test_cards_with_a_wrong_sum_have_their_own_count(make_docs):
     docs = make_docs((1, "4111 1111 1111 1111 and 378282246310005"), (2, "9780306406157 1700000000000000000 4111111111111111"), (3, "4111111111111112"))
-    rows = {r.doc_id: (r.n_card, r.n_card_unchecked) for r in pii.report(docs).collect()}
+    rows = {r.doc_id: (r.n_card, r.n_card_unchecked) for r in pii.report(docs, KEY).collect()}
     assert rows == {1: (2, 0), 2: (3, sum(luhn(v) != 0 for v in ("9780306406157", "1700000000000000000"))), 3: (1, 1)}
     assert rows[2][1] == 2
-    assert {r.doc_id: r.text for r in pii.pseudonymised(pii.pseudonymised(docs), back=True).collect()} == {r.doc_id: r.text for r in docs.collect()}
+    assert {r.doc_id: r.text for r in pii.pseudonymised(pii.pseudonymised(docs, KEY), KEY, back=True).collect()} == {r.doc_id: r.text for r in docs.collect()}
+
+
+def test_mistyped_ibans_have_their_own_count(make_docs, spark):
+    values = ["DE89 3704 0044 0532 0130 01", "DE89370400440532013001", "DE00370400440532013000", "GB82WEST12345698765433"]
+    docs = make_docs(*[(k, f"x {v}, y") for k, v in enumerate(values)], (9, "DE89370400440532013000 DE89370400440532013001"))
+    rows = {r.doc_id: r for r in pii.report(docs, KEY).collect()}
+    for k, v in enumerate(values):
+        new = rows[k].text[2:-3]
+        assert (rows[k].n_iban, rows[k].n_iban_unchecked) == (1, 1) and new != v and shape(new) == shape(v)
+        assert new[:2] == v[:2] and mod97(new.replace(" ", "")) != 1
+    assert (rows[9].n_iban, rows[9].n_iban_unchecked) == (2, 1)
+    assert rows[0].text[2:-3].replace(" ", "") == rows[1].text[2:-3]
+    assert {r.doc_id: r.text for r in pii.pseudonymised(pii.pseudonymised(docs, KEY), KEY, back=True).collect()} == {r.doc_id: r.text for r in docs.collect()}
+    many = spark.range(3000).select(F.format_string("DE00%018d", "id").alias("v")).where(pii.kind_of(F.col("v")) == "iban_unchecked")
+    new = many.select(pii.pseudonym(F.col("v"), F.lit("iban_unchecked"), KEY).alias("p"))
+    assert new.distinct().count() == many.count() == new.where(pii.kind_of(F.col("p")) == "iban_unchecked").count()
+
+
+def test_nothing_is_changed_without_a_key(make_docs, spark):
+    docs = make_docs((1, "a@b.de"))
+    for use in (pii.report, pii.pseudonymised):
+        with pytest.raises(ValueError):
+            use(docs)
+    spark.conf.set(pii.KEY_SETTING, KEY)
+    try:
+        assert pii.report(docs).first().text == pii.report(docs, KEY).first().text
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+
+
+def plain_feistel(left, right, left_radix, right_radix, key, kind):
+    """The network of the docstring, written out."""
+    for step in range(pii.ROUNDS):
+        side, radix, other = (left, left_radix, right) if step % 2 == 0 else (right, right_radix, left)
+        drawn = hashlib.sha512(":".join([key, kind, str(step), ",".join(map(str, other))]).encode()).hexdigest()
+        side[:] = [(v + int(drawn[4 * k : 4 * k + 4], 16)) % r for k, (v, r) in enumerate(zip(side, radix))]
+    return left + right
+
+
+def test_equals_a_network_written_out(spark):
+    rows = [f"{k * 7919 % 256}.{k * 31 % 256}.{k % 256}.{k * 3 % 256}" for k in range(300)]
+    got = spark.createDataFrame([(v,) for v in rows], "v string").select("v", pii.pseudonym(F.col("v"), F.lit("ip"), KEY).alias("p"))
+    for r in got.collect():
+        a, b, c, d = map(int, r.v.split("."))
+        assert r.p == ".".join(map(str, plain_feistel([a, b], [c, d], [256, 256], [256, 256], KEY, "ip")))
+    cards = [f"{4000000000000000 + k * 104729:016d}" for k in range(200)]
+    got = spark.createDataFrame([(v,) for v in cards], "v string").select("v", pii.pseudonym(F.col("v"), F.lit("card"), KEY).alias("p"))
+    for r in got.collect():
+        digits = [int(c) for c in r.v[:-1]]
+        half = len(digits) // 2
+        new = plain_feistel(digits[:half], digits[half:], [10] * half, [10] * (15 - half), KEY, "card")
+        last = next(d for d in range(10) if luhn("".join(map(str, new)) + str(d)) == luhn(r.v))
+        assert r.p == "".join(map(str, new)) + str(last)
+
+
+def test_very_long_text(make_docs):
+    text = "und so weiter " * 80_000 + "a@b.de " + "x" * 100_000
+    row = pii.report(make_docs((1, text)), KEY).first()
+    assert row.n_email == 1 and len(row.text) == len(text) and "a@b.de" not in row.text

@@ -2,7 +2,9 @@ import collections
 import random
 
 import numpy as np
+import pytest
 from llm.conftest import words_of
+from pyspark.sql import functions as F
 
 from tunetally.llm import quality
 
@@ -93,7 +95,7 @@ def test_rare_languages_are_judged_at_every_table_size(make_docs, spark):
     for table in (docs, docs.union(more)):
         out = {r.doc_id: r for r in quality.judged(table).where("doc_id < 1000").collect()}
         assert [k for k in out if not out[k].kept] == [200, 201, 203]
-        assert out[200].distance is not None and out[201].distance is None and out[201].pool_distance > quality.MAX_DISTANCE
+        assert out[200].distance is not None and out[201].distance is None and out[201].profile_distance > quality.MAX_DISTANCE
 
 
 def test_no_language_with_a_reference(make_docs):
@@ -104,7 +106,44 @@ def test_no_language_with_a_reference(make_docs):
     assert [k for k in out if not out[k]] == [100, 101]
 
 
-def test_pages_of_references_give_the_same(sample_docs, monkeypatch):
-    want = sorted(map(str, quality.judged(sample_docs).collect()))
-    monkeypatch.setattr(quality, "PAGE", 2)
-    assert sorted(map(str, quality.judged(sample_docs).collect())) == want
+def test_languages_beyond_the_common_ones_give_the_same(sample_docs, monkeypatch):
+    docs = sample_docs.withColumn("lang", F.when(F.col("doc_id") % 3 > 0, F.col("lang")))
+    want = sorted(map(str, quality.judged(docs).collect()))
+    first = quality.judged(docs.where("lang = 'de'")).count()
+    monkeypatch.setattr(quality, "COMMON", 1)
+    got = quality.judged(docs).collect()
+    assert len(got) == len(want) and first
+    own = [r for r in docs.collect() if r.lang is not None]
+    kept = {r.doc_id: r.kept for r in got}
+    strict = {r.doc_id: r.kept for r in quality.judged(docs).collect()}
+    assert kept == strict and sum(kept[r.doc_id] for r in own) > 0.7 * len(own)
+
+
+@pytest.mark.parametrize("junk", [0, 19, 20, 2000])
+def test_junk_labels_approve_nothing(make_docs, spark, junk):
+    rng = random.Random(9)
+    garbled = lambda k: " | ".join(f"q{k + n}zz" for n in range(90))
+    rows = [(k, prose(rng, 120), "en") for k in range(40)] + [(100, garbled(7), "en"), (101, garbled(8), None)]
+    docs = make_docs(*rows, *((1000 + k, garbled(k), "zz") for k in range(junk)))
+    out = {r.doc_id: r.kept for r in quality.judged(docs).collect()}
+    assert [k for k in sorted(out) if out[k]] == list(range(40))
+
+
+@pytest.mark.parametrize("text", [
+    "В начале было слово и слово было у реки, а дом стоял на холме. " * 8,
+    "昔々ある所にお爺さんとお婆さんが住んでいました。お爺さんは山へ柴刈りに行きました。" * 8,
+    "ในวันหนึ่งมีชายคนหนึ่งเดินทางไปยังเมืองใหญ่เพื่อค้าขาย " * 10,
+    "Es war einmal ein König, der hatte drei Töchter; die jüngste war schön. " * 6,
+])
+def test_scripts_are_near_the_profile(text):
+    texts = quality.Texts(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]), 0, 1)
+    chars = quality._measure(texts)[6]
+    assert quality._profile_distance(chars)[0] < quality.MAX_DISTANCE
+
+
+def test_very_long_text(make_docs):
+    rng = random.Random(2)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(150_000)) + "\n" + "same line\n" * 3
+    assert len(long) > 1_000_000
+    row = quality.judged(make_docs((1, long))).first()
+    assert tuple(row[c] for c in quality.BASE) == brute(long) and not row.base_failed

@@ -25,6 +25,8 @@ from tunetally.session import materialize
 LEDGER = "blob binary, scanned array<string>, spans array<struct<kind:string,start:int,end:int>>"
 _SPANS = "array<struct<kind:string,start:int,end:int>>"
 PLACEHOLDER = "[SECRET]"
+#: Up to so many open blobs, 32 bytes each, are broadcast.
+MAX_OPEN = 500_000
 
 
 @dataclass(frozen=True)
@@ -58,14 +60,18 @@ BASE_RULES = (
 # Public formats of tokens that the base kinds don't cover.
 RULES = (
     *BASE_RULES,
-    # Header lines, the body and the END line, which a key that is cut off does not have; no
-    # part is limited, and none is walked back.
+    # Header lines, a body of base64 runs, the first of 32 and more, and the END line, which a
+    # key that is cut off does not have; or header lines and the END line. A marker in prose is
+    # no key. No part is limited, and none is walked back.
     Rule(
         "pem",
         r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY(?: BLOCK)?-----[\s\\]*+"
         r"(?:[A-Za-z][A-Za-z0-9-]*+:(?:[^\n-]|-(?!----))*+\s*+)*+"
-        r"[A-Za-z0-9+/=\s\\]*+(?:-----END [A-Z ]{0,20}PRIVATE KEY(?: BLOCK)?-----)?",
-        version=2,
+        r"(?:n?+[A-Za-z0-9+/=]{32,}+[\s\\]*+(?:[A-Za-z0-9+/=]{16,}+[\s\\]*+)*+"
+        r"(?:(?:[A-Za-z0-9+/=]{1,15}+[\s\\]*+){1,2}+(?=-----END|\z))?+"
+        r"(?:-----END [A-Z ]{0,20}PRIVATE KEY(?: BLOCK)?-----)?+"
+        r"|-----END [A-Z ]{0,20}PRIVATE KEY(?: BLOCK)?-----)",
+        version=3,
     ),
     Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+"),
     Rule("forge", r"\b(ghp|gho|ghu|ghs|ghr|glpat|xoxb|xoxp)[_-][A-Za-z0-9_-]{16,}"),
@@ -102,7 +108,10 @@ def spans_of(text: Column, rule: Rule) -> Column:
 
 
 def scan_new(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Ledger rows for the blobs of `versions` (with `text`) that a rule has not scanned."""
+    """Ledger rows for the blobs of `versions` (with `text`) that a rule has not scanned.
+
+    With a ledger, blobs are compared by their hashes first, and only texts of blobs that a
+    rule has not met go on."""
     keys = F.array(*(F.lit(r.key) for r in rules))
     blobs = versions.select(blob_of().alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
     if ledger is None:
@@ -111,8 +120,13 @@ def scan_new(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[
         seen = ledger.groupBy("blob").agg(F.flatten(F.collect_list("scanned")).alias("seen"))
         rest = F.array_except(keys, F.coalesce("seen", F.array().cast("array<string>")))
         open_ = blobs.select("blob").distinct().join(seen, "blob", "left").select("blob", rest.alias("todo"))
-        open_ = open_.where(F.size("todo") > 0)
-        todo = blobs.join(open_, "blob").groupBy("blob").agg(F.first("text").alias("text"), F.first("todo").alias("todo"))
+        open_ = materialize(open_.where(F.size("todo") > 0), "open-blobs")
+        # Few open blobs keep the texts of all others out of the shuffle; of many, most texts
+        # have to go through it anyway.
+        few = open_.count() <= MAX_OPEN
+        texts = blobs.join(F.broadcast(open_.select("blob")), "blob", "left_semi") if few else blobs
+        texts = texts.groupBy("blob").agg(F.first("text").alias("text"))
+        todo = texts.join(open_, "blob")
     none = F.array().cast(_SPANS)
     found = [F.when(F.array_contains("todo", r.key), spans_of(F.col("text"), r)).otherwise(none) for r in rules]
     return todo.select("blob", F.col("todo").alias("scanned"), F.concat(*found).alias("spans"))
@@ -141,10 +155,16 @@ def span_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def report(docs: DataFrame) -> DataFrame:
+def updated(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The ledger with what `versions` adds to it, which is written."""
+    fresh = materialize(scan_new(versions, ledger, rules), "blob-ledger")
+    return fresh if ledger is None else union_ledgers(ledger, fresh)
+
+
+def report(docs: DataFrame, former: DataFrame | None = None) -> DataFrame:
     """Per row doc_id, the count of each base kind, the hash of the base spans, and all
-    spans as text."""
-    ledger = materialize(scan_new(docs), "blob-ledger")
+    spans as text. `former` is an earlier version of the table, whose ledger is made first."""
+    ledger = updated(docs, None if former is None else updated(former))
     found = findings(docs.select("doc_id", blob_of().alias("blob")), ledger)
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
 
@@ -162,7 +182,7 @@ def redact(docs: DataFrame) -> DataFrame:
     names = docs.columns
     plain = docs.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)))
     text = f"c{names.index('text')}"
-    ledger = materialize(scan_new(docs.select("text")), "blob-ledger")
+    ledger = updated(docs.select("text"))
     found = findings(plain.withColumn("blob", blob_of(text)), ledger)
 
     def cut(state: Column, span: Column) -> Column:

@@ -19,6 +19,8 @@ kind and the other list. Characters that belong to the format have radix 1.
 | date | the day, from 1900-01-01 to 2099-12-31 | year, day or month first; separators |
 | card | all digits but the last | the Luhn remainder, so a valid number stays valid; separators |
 
+The key is an argument or the session's `KEY_SETTING`; nothing is changed without one.
+
 An IBAN, a phone number and a card are permuted without their separators, which go back to
 their places, so one number has one pseudonym however it is printed. IBANs in groups of
 four have the length of their country; cards are grouped 4-4-4-n, 4-6-4 or 4-6-5.
@@ -28,8 +30,10 @@ after the 12th, and so has its pseudonym, which therefore is read the same way.
 
 Runs of digits in the form of a card are replaced whether or not their Luhn sum is right, as
 mistyped cards are personal as well. Those with a wrong sum (ISBNs, time stamps and order
-numbers may be among them) are of the kind `UNCHECKED`: `n_card` counts all that is replaced
-in this form, `n_card_unchecked` those with a wrong sum.
+numbers may be among them) are of a kind of their own: `n_card` counts all that is replaced in this form,
+`n_card_unchecked` those with a wrong sum. So are numbers with the country and length of an
+IBAN and wrong check digits (`n_iban`, `n_iban_unchecked`); their check digits are permuted
+with the rest, and stay wrong.
 
 Everything is DataFrame functions. Defined results: a null text stays null and has no
 values; rows that repeat are changed alike; an empty table gives an empty result; other
@@ -43,7 +47,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KEY = "documents"
+#: The setting of the session that the key is read from if none is given.
+KEY_SETTING = "spark.tunetally.pii.key"
 ROUNDS = 8
 FIRST_DAY = "1900-01-01"
 #: Days from FIRST_DAY to 2099-12-31, and those of them after the 12th of a month; radices
@@ -51,8 +56,11 @@ FIRST_DAY = "1900-01-01"
 DAYS, DAY_RADICES = 73_049, (229, 319)
 LATE_DAYS, LATE_RADICES = 44_249, (150, 295)
 KINDS = ("email", "iban", "ip", "phone", "ssn", "date", "card")
-#: The kind of a number in the form of a card whose Luhn sum is wrong.
-UNCHECKED = "card_unchecked"
+#: The kinds of numbers in the form of a card or an IBAN that don't pass its check.
+UNCHECKED = {"iban": "iban_unchecked", "card": "card_unchecked"}
+#: Turns after which the permutation of an unchecked IBAN has left the valid ones, of which
+#: there is one in 97.
+IBAN_TURNS = 40
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 # Countries by the length of their IBANs.
@@ -70,6 +78,9 @@ def _in_groups(length: int, countries: str) -> str:
     return rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?:[ -][A-Z0-9]{{4}}){{{fours}}}{last}"
 
 
+_OF_COUNTRY = r"\A(?:" + "|".join(
+    rf"(?:{c.replace(' ', '|')})[0-9]{{2}}[A-Z0-9]{{{n - 4}}}" for n, c in _IBAN_LENGTHS.items()
+) + r")\z"
 _GROUPED_IBAN = "|".join(_in_groups(n, c) for n, c in _IBAN_LENGTHS.items())
 # Codes of countries, none of which starts another.
 _COUNTRY_CODE = r"\A\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
@@ -215,6 +226,19 @@ def _iban(value: Column, key: str, back: bool) -> Column:
     return _dressed(_bound(_bare(value), changed), value)
 
 
+def _iban_unchecked(value: Column, key: str, back: bool) -> Column:
+    """All characters after the country permuted, again as long as the result is valid."""
+
+    def once(bare: Column) -> Column:
+        return _characters(bare, F.lit(2), key, "iban_unchecked", back)
+
+    def changed(bare: Column) -> Column:
+        turns = F.sequence(F.lit(0), F.lit(IBAN_TURNS))
+        return F.aggregate(turns, bare, lambda x, k: F.when((k == 0) | (_mod97(x) == 1), once(x)).otherwise(x))
+
+    return _dressed(_bound(_bare(value), changed), value)
+
+
 def _ip(value: Column, key: str, back: bool) -> Column:
     octets = F.transform(F.split(value, r"\."), _number)
     radices = F.array(F.lit(256), F.lit(256))
@@ -293,14 +317,13 @@ def _date(value: Column, key: str, back: bool) -> Column:
     return F.regexp_replace(order, "-", mark)
 
 
-_CHANGES = {"email": None, "iban": _iban, "ip": _ip, "phone": _phone, "ssn": _ssn, "date": _date, "card": _card}
+_CHANGES = {"email": None, "iban": _iban, "iban_unchecked": _iban_unchecked, "ip": _ip, "phone": _phone, "ssn": _ssn, "date": _date, "card": _card}
 
 
 def kind_of(value: Column) -> Column:
     """The kind of a match, null where it doesn't pass the check of its kind."""
     digits = F.char_length(F.regexp_replace(value, "[^0-9]", ""))
     passes = {
-        "iban": _mod97(_bare(value)) == 1,
         "phone": digits.between(7, 15),
         "date": F.coalesce(*_days(value)).isNotNull(),
     }
@@ -308,7 +331,9 @@ def kind_of(value: Column) -> Column:
     for kind in KINDS[1:]:
         found = F.when(passes.get(kind, F.lit(True)), kind)
         if kind == "card":
-            found = F.when(_luhn(_bare(value)) == 0, kind).otherwise(UNCHECKED)
+            found = F.when(_luhn(_bare(value)) == 0, kind).otherwise(UNCHECKED[kind])
+        if kind == "iban":
+            found = F.when(_mod97(_bare(value)) == 1, kind).when(_bare(value).rlike(_OF_COUNTRY), UNCHECKED[kind])
         out = out.when(value.rlike(_own(kind)), found)
     return out
 
@@ -321,14 +346,21 @@ def _email(value: Column, key: str, back: bool) -> Column:
 _CHANGES["email"] = _email
 
 
-def pseudonym(value: Column, kind: Column, key: str = KEY, back: bool = False) -> Column:
+def pseudonym(value: Column, kind: Column, key: str, back: bool = False) -> Column:
     """The pseudonym of a validated value; with `back`, the value of a pseudonym."""
     out = F.when(F.lit(False), value)
-    for name in KINDS:
-        out = out.when(kind.isin(name, UNCHECKED) if name == "card" else kind == name, _CHANGES[name](value, key, back))
+    for name, change in _CHANGES.items():
+        out = out.when(kind.isin(name, UNCHECKED["card"]) if name == "card" else kind == name, change(value, key, back))
     return out.otherwise(value)
 
 
+def _key(docs: DataFrame, key: str | None) -> str:
+    key = key or docs.sparkSession.conf.get(KEY_SETTING, None)
+    if not key:
+        raise ValueError(f"pseudonyms need a key: give one or set {KEY_SETTING}")
+    return key
+
+
 def _changed(docs: DataFrame, key: str, back: bool) -> tuple[DataFrame, str]:
     """`docs` with columns c0, c1, ... and `found`, the kinds of the values; and the name
     of the text's column, in which the values are replaced."""
@@ -348,19 +380,20 @@ def _changed(docs: DataFrame, key: str, back: bool) -> tuple[DataFrame, str]:
     ), text
 
 
-def pseudonymised(docs: DataFrame, key: str = KEY, back: bool = False) -> DataFrame:
+def pseudonymised(docs: DataFrame, key: str | None = None, back: bool = False) -> DataFrame:
     """The rows of `docs` with all values in `text` replaced; with `back`, restored."""
-    rows, _ = _changed(docs, key, back)
+    rows, _ = _changed(docs, _key(docs, key), back)
     return rows.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)))
 
 
-def report(docs: DataFrame, key: str = KEY) -> DataFrame:
+def report(docs: DataFrame, key: str | None = None) -> DataFrame:
     """doc_id, the text with pseudonyms, the number of values of each kind, and how many of
-    the cards have a wrong Luhn sum."""
-    rows, text = _changed(docs.select("doc_id", "text"), key, False)
+    the IBANs and cards don't pass their check."""
+    rows, text = _changed(docs.select("doc_id", "text"), _key(docs, key), False)
 
     def count(name: str, *kinds: str) -> Column:
         return F.size(F.filter("found", lambda k: k.isin(*kinds))).cast("long").alias(f"n_{name}")
 
-    counts = [count(k, k, UNCHECKED) if k == "card" else count(k, k) for k in KINDS]
-    return rows.select(F.col("c0").alias("doc_id"), F.col(text).alias("text"), *counts, count(UNCHECKED, UNCHECKED))
+    counts = [count(k, k, UNCHECKED.get(k, k)) for k in KINDS]
+    wrong = [count(k, k) for k in UNCHECKED.values()]
+    return rows.select(F.col("c0").alias("doc_id"), F.col(text).alias("text"), *counts, *wrong)

@@ -1,21 +1,28 @@
 """Quality rules: count rules, and divergence of a text from the references of languages.
 
 Every text gets two histograms: classes of characters (without digits), and common words.
-Both are compared with the mean histograms of each language by Jensen-Shannon divergence,
-and the nearest language counts, as labels of languages may be wrong. The references are
-means over all texts of a language that pass the base rules and are long enough.
+Both are compared with the mean histograms of languages by Jensen-Shannon divergence, and the
+nearest of them counts, as labels of languages may be wrong: those of the text's own language
+and of the `COMMON` languages with the most texts. The references are means over all texts of a
+language that pass the base rules and are long enough.
+
+A label is no evidence that its texts are prose. A mean is a reference only if its classes of
+characters are within `MAX_DISTANCE` of a fixed profile of written language, `PROFILES`, which
+no row of the table has a part in; so no number of junk rows approves junk.
 
 Guards for length: a text below `MIN_CHARS` or `MIN_HISTOGRAM_WORDS` is not judged by
 histograms; of the divergence of words, what `n` words drawn from the reference itself
 would show on average, (bins - 1) / (8 n ln 2), is taken off. A language has a reference
-from `MIN_REFERENCE_TEXTS` texts on, whatever the size of the table.
-
-Defined results: a null text has no words and fails; a null language is compared with all
-references; a text in a language that has too few texts for a reference (and one without a
-language if there is no reference at all) has its classes of characters compared with
-their mean over the texts of all languages, if these are `MIN_REFERENCE_TEXTS` texts or
-more, letters outside ASCII counting as letters there; repeated rows are judged one by
-one; an empty table gives an empty result.
+from `MIN_REFERENCE_TEXTS` texts on, whatever the size of the table. The common words are
+those of four languages; in a text or reference of another language they fall into one bin, so
+that only classes of characters tell there.
+
+Defined results: a null text has no words and fails; a null language is compared with the
+references of the common languages; a text in a language without a reference (and one without
+a language if there is no reference at all) has its classes of characters compared with
+`PROFILES`, letters outside ASCII counting as letters there; repeated rows are judged one by
+one; equal distances need no order, as the least one counts; of languages with as many texts
+the one that sorts first is common; an empty table gives an empty result.
 Other columns are kept or dropped as each function says, whatever they are called.
 """
 
@@ -40,8 +47,8 @@ MIN_CHARS = 200
 MIN_HISTOGRAM_WORDS = 50
 #: A mean of fewer texts than this is no reference.
 MIN_REFERENCE_TEXTS = 20
-#: References that texts are compared with in one pass, about 700 bytes each.
-PAGE = 4096
+#: Languages, by number of texts, that every text is compared with.
+COMMON = 64
 #: Bins of a reference below this share don't count as bins of the sampling noise.
 SMALL_BIN = 0.004
 MAX_DISTANCE = 0.28
@@ -70,6 +77,12 @@ CHAR_CLASSES = (
 )
 DIGITS = 2
 LOWER, HIGH = 0, 8
+# Shares of the classes in written language, letters outside ASCII and digits
+# left out: of scripts with spaces between words, and of those without.
+PROFILES = (
+    (0.795, 0.03, 0.0, 0.15, 0.003, 0.018, 0.001, 0.0, 0.0, 0.003),
+    (0.88, 0.0, 0.0, 0.01, 0.003, 0.002, 0.001, 0.0, 0.0, 0.104),
+)
 N_CHARS = len(CHAR_CLASSES) + 1
 N_WORDS = len(COMMON_WORDS) + 1
 _CLASS_OF = np.full(256, N_CHARS - 1, np.int64)
@@ -211,26 +224,6 @@ def languages(texts: DataFrame) -> DataFrame:
     )
 
 
-def _pages(langs: DataFrame) -> Iterator[list[Row]]:
-    """The references in order of language, `PAGE` at a time; the last page has fewer."""
-    refs = langs.where(F.col("ref_lang").isNotNull() & (F.col("texts") >= MIN_REFERENCE_TEXTS))
-    rest = refs
-    while True:
-        page = rest.orderBy("ref_lang").limit(PAGE).collect()
-        yield page
-        if len(page) < PAGE:
-            return
-        rest = refs.where(F.col("ref_lang") > page[-1]["ref_lang"])
-
-
-def _pooled(langs: DataFrame) -> np.ndarray | None:
-    """The mean classes of characters of all texts, None of too few."""
-    row = langs.agg(F.sum("texts"), *(F.sum(F.col("ref_chars")[k]) for k in range(N_CHARS))).first()
-    if (row[0] or 0) < MIN_REFERENCE_TEXTS:
-        return None
-    return _folded(np.array([row[1:]], float))[0]
-
-
 def _frequencies(bins: np.ndarray) -> np.ndarray:
     return bins / np.maximum(bins.sum(axis=-1, keepdims=True), 1)
 
@@ -269,60 +262,92 @@ def _folded(chars: np.ndarray) -> np.ndarray:
     return _frequencies(chars)
 
 
-def _compared(state: DataFrame, page: list[Row], pool: np.ndarray | None, out: list[str]) -> DataFrame:
-    """The columns `out` of `state`, with `nearest` and `known` brought up to date by a page
-    of references; at the last page `distance` and `pool_distance` are made of them."""
-    refs = []
-    for row in page:
-        chars = np.array(row["ref_chars"], float)
-        chars[DIGITS] = 0
-        refs.append((_frequencies(chars), _frequencies(np.array(row["ref_words"], float))))
-    langs = pa.array([row["ref_lang"] for row in page], pa.string())
+def _profile_distance(chars: np.ndarray) -> np.ndarray:
+    """The distance of each row of classes to the nearest of `PROFILES`."""
+    folded = _folded(chars)
+    return np.sqrt(np.min([js_divergence(folded, np.array(p)) for p in PROFILES], axis=0))
+
+
+def references(langs: DataFrame) -> DataFrame:
+    """The rows of `languages` that are references."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                chars = batch.column(batch.schema.get_field_index("ref_chars")).flatten().to_numpy()
+                near = _profile_distance(chars.reshape(batch.num_rows, -1)) <= MAX_DISTANCE
+                yield batch.filter(pa.array(near))
+
+    enough = langs.where(F.col("ref_lang").isNotNull() & (F.col("texts") >= MIN_REFERENCE_TEXTS))
+    return enough.mapInArrow(run, langs.schema)
+
+
+def _reference(chars: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    chars = np.array(chars, float)
+    chars[DIGITS] = 0
+    return _frequencies(chars), _frequencies(np.array(words, float))
+
+
+def _compared(state: DataFrame, common: list[Row], out: list[str]) -> DataFrame:
+    """The columns `out` of `state`, which has each text beside the reference of its own
+    language, with `distance` and `profile_distance`."""
+    shared = [_reference(row["ref_chars"], row["ref_words"]) for row in common]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = {c: batch.column(c) for c in batch.schema.names}
-            known = rows["known"].to_numpy(zero_copy_only=False)
-            known = known | pc.is_in(rows["lang"].cast(pa.string()), value_set=langs).to_numpy(zero_copy_only=False)
-            nearest = rows["nearest"].to_numpy(zero_copy_only=False).copy()
             distance, apart = np.full(batch.num_rows, np.nan), np.full(batch.num_rows, np.nan)
             at = np.flatnonzero(rows["q_judged"].to_numpy(zero_copy_only=False))
             if len(at):
                 chars, words = (rows[c].flatten().to_numpy().reshape(batch.num_rows, -1)[at] for c in ("q_char_bins", "q_word_bins"))
-                nearest[at] = np.minimum(nearest[at], _distances(chars, words, refs))
-                null = rows["lang"].is_null().to_numpy(zero_copy_only=False)
-                by_refs = (known | null)[at] & np.isfinite(nearest[at])
-                distance[at[by_refs]] = nearest[at[by_refs]]
-                if pool is not None and not by_refs.all():
-                    apart[at[~by_refs]] = np.sqrt(js_divergence(_folded(chars[~by_refs]), pool))
-            rows["nearest"], rows["known"] = pa.array(nearest), pa.array(known)
-            rows["distance"], rows["pool_distance"] = (pa.array(x, from_pandas=True) for x in (distance, apart))
+                nearest = _distances(chars, words, shared)
+                own = rows["ref_lang"].take(pa.array(at))
+                beyond = rows["ref_chars"].is_valid().to_numpy(zero_copy_only=False)[at]
+                for lang in own.filter(pa.array(beyond)).unique().to_pylist():
+                    mine = np.flatnonzero(pc.fill_null(pc.equal(own, lang), False).to_numpy(zero_copy_only=False))
+                    ref = _reference(*(rows[c][int(at[mine[0]])].as_py() for c in ("ref_chars", "ref_words")))
+                    nearest[mine] = np.minimum(nearest[mine], _distances(chars[mine], words[mine], [ref]))
+                known = own.is_valid().to_numpy(zero_copy_only=False)
+                known = (known | rows["lang"].is_null().to_numpy(zero_copy_only=False)[at]) & np.isfinite(nearest)
+                distance[at[known]] = nearest[known]
+                apart[at[~known]] = _profile_distance(chars[~known])
+            rows["distance"], rows["profile_distance"] = (pa.array(x, from_pandas=True) for x in (distance, apart))
             yield pa.RecordBatch.from_arrays([rows[c] for c in out], names=out)
 
-    kinds = {f.name: f.dataType.simpleString() for f in state.schema} | {"distance": "double", "pool_distance": "double"}
+    kinds = {f.name: f.dataType.simpleString() for f in state.schema} | {"distance": "double", "profile_distance": "double"}
     return state.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in out))
 
 
+def _beside_own(state: DataFrame, refs: DataFrame, common: list[str]) -> DataFrame:
+    """Each text with the reference of its own language, if it has one that is not common;
+    of a common one, which all texts meet anyway, the name only. The texts of the common
+    languages, which may be most rows, are not shuffled."""
+    is_common = F.coalesce(F.col("lang").cast("string").isin(common), F.lit(False))
+    kinds = {c: refs.schema[c].dataType for c in ("ref_lang", "ref_chars", "ref_words")}
+    none = [F.lit(None).cast(kinds[c]).alias(c) for c in ("ref_chars", "ref_words")]
+    near = state.where(is_common).select("*", F.col("lang").alias("ref_lang"), *none)
+    if refs.count() <= len(common):
+        return state.select("*", F.when(is_common, F.col("lang")).alias("ref_lang"), *none)
+    far = state.where(~is_common)
+    own = refs.where(~F.coalesce(F.col("ref_lang").cast("string").isin(common), F.lit(False))).drop("texts")
+    return near.unionByName(far.join(own, far["lang"] == own["ref_lang"], "left"))
+
+
 def judged(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`keep`, the counts of `BASE`, `base_failed`, `distance` to the nearest language
-    (null where the text is not judged by it), `pool_distance` to the mean of all texts
+    """`keep`, the counts of `BASE`, `base_failed`, `distance` to the nearest reference
+    (null where the text is not judged by it), `profile_distance` to the fixed profile
     (null where it is not judged by that) and `kept` of every row."""
     texts = materialize(measured(docs, keep), "quality")
-    langs = materialize(languages(texts), "quality-languages")
-    pool = _pooled(langs)
+    refs = materialize(references(materialize(languages(texts), "quality-languages")), "quality-references")
+    common = refs.orderBy(F.desc("texts"), "ref_lang").limit(COMMON).collect()
     state = texts.select(
         *(F.col(c).alias(f"k{n}") for n, c in enumerate(keep)), *BASE, base_failed().alias("base_failed"),
         "lang", _long_enough().alias("q_judged"), "q_char_bins", "q_word_bins",
-        F.lit(float("inf")).alias("nearest"), F.lit(False).alias("known"),
     )
-    names = [*(f"k{n}" for n in range(len(keep))), *BASE, "base_failed", "distance", "pool_distance"]
-    for page in _pages(langs):
-        if len(page) == PAGE:
-            state = materialize(_compared(state, page, None, state.columns), "quality-compared")
-        else:
-            state = _compared(state, page, pool, names)
-    out = state.withColumnsRenamed({f"k{n}": c for n, c in enumerate(keep)})
-    far = F.coalesce(F.greatest("distance", "pool_distance") > MAX_DISTANCE, F.lit(False))
+    state = _beside_own(state, refs, [row["ref_lang"] for row in common])
+    names = [*(f"k{n}" for n in range(len(keep))), *BASE, "base_failed", "distance", "profile_distance"]
+    out = _compared(state, common, names).withColumnsRenamed({f"k{n}": c for n, c in enumerate(keep)})
+    far = F.coalesce(F.greatest("distance", "profile_distance") > MAX_DISTANCE, F.lit(False))
     return out.withColumn("kept", ~F.col("base_failed") & ~far)
 
 
