@@ -15,15 +15,16 @@ from functools import reduce
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tunetally.functions.columns import base_name
-from tunetally.operators import decode, ids, profile, ragged, similarity
+from tunetally.operators import bounded, decode, ids, incremental, profile, ragged, similarity, sketches
 from tunetally.plans import ingest, recommend
 from tunetally.session import materialize, new_folder
 from tunetally.sources import files, plays as plays_text
+from tunetally.streaming import ingest as new_files
 
 # Operators for training data are a package of their own that may be absent; what it needs
 # itself may not.
@@ -206,6 +207,39 @@ def ingest_songs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def ingest_songs_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the pass that writes the songs has counted."""
+    source, counts = new_folder(spark, "song-records"), Observation("songs")
+    song_records(spark, sf_dir).write.text(source)
+    ingest.ingest_songs(
+        spark, source, new_folder(spark, "songs"), "*.txt", whole_file=False, records="all", counts=counts
+    )
+    row = tuple(counts.get[c] for c in ("records", "kept", "dropped"))
+    return spark.createDataFrame([row], "records long, kept long, dropped long")
+
+
+def ingest_new_songs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that arrive in two halves; the second run reads the second half only."""
+    source, target, log = (new_folder(spark, x) for x in ("song-records", "songs", "songs-log"))
+    records = song_records(spark, sf_dir)
+    second = F.pmod(F.xxhash64("value"), F.lit(2)) == 1
+    for half in (~second, second):
+        records.where(half).write.mode("append").text(source)
+        run = new_files.ingest_new_songs(spark, source, target, log, glob="*.txt", whole_file=False)
+        if run.payloads != records.where(half).count():
+            raise RuntimeError("a run has read other files than the new ones")
+    return run.table
+
+
+def songs_of_both_ingests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One folder that the typed ingest and the raw ingest have written to."""
+    source, target = new_folder(spark, "song-records"), new_folder(spark, "both-songs")
+    song_records(spark, sf_dir).write.text(source)
+    ingest.ingest_songs(spark, source, f"{target}/typed", "*.txt", whole_file=False)
+    ingest.ingest_raw_songs(spark, source, f"{target}/raw", "*.txt", whole_file=False)
+    return ingest.read_songs(spark, target)
+
+
 def ingest_raw_songs(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = new_folder(spark, "song-records")
     song_records(spark, sf_dir).write.text(source)
@@ -335,9 +369,10 @@ def slice_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
 def song_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lengths of words as a song field that goes by the offsets of another field."""
     offsets, words = conversation_tokens(spark, sf_dir)
-    held = offsets.select(
+    first = offsets.groupBy("role").agg(F.min("row_no").alias("first"))  # a row per role
+    held = offsets.join(F.broadcast(first), "role").select(
         F.col("role").alias("source_file"),
-        (F.col("row_no") - F.min("row_no").over(Window.partitionBy("role"))).alias("row_no"),
+        (F.col("row_no") - F.col("first")).alias("row_no"),
         F.col("start").alias("idx_artist_terms"),
     )
     lengths = words.select(
@@ -348,6 +383,52 @@ def song_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("source_file", "row_no", F.array_join(whole, "|").alias("lengths"))
 
 
+def distinct_users_sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of the users of two files, written and merged, beside the exact count."""
+    bought = table(spark, sf_dir, "orders").select(files.source_file(), F.col("o_custkey").alias("user_id"))
+    seen = table(spark, sf_dir, "events").select(files.source_file(), F.col("user_id").cast("long").alias("user_id"))
+    users = bought.unionByName(seen)
+    parts = materialize(sketches.distinct_sketches(users, ["user_id"], ["source_file"]), "user-sketches")
+    told = sketches.distinct_counts(parts, ["user_id"]).first()["user_id"]
+    exact = users.agg(F.count_distinct("user_id").alias("users"))
+    near = F.abs(F.col("users") - told) <= F.ceil(sketches.DISTINCT_BOUND * F.col("users"))
+    return exact.select(F.lit(parts.count()).alias("files"), "users", near.alias("within"))
+
+
+def quantiles_sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles of counts and prices from written sketches, held against exact ranks."""
+    both = table(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice")
+    parts = materialize(sketches.quantile_sketches(both, both.columns), "quantile-sketches")
+    told = sketches.quantiles(parts, [0.01, 0.25, 0.5, 0.75, 0.99])
+    checks = []
+    for row in told.collect():  # ten rows
+        value, target = F.col(row["column"]).cast("double"), row["share"] * row["n"]
+        near = F.count_if(value < row["value"]) - row["error"] <= target
+        near = near & (F.count_if(value <= row["value"]) + row["error"] >= target) & F.lit(row["error"] <= 0.01 * row["n"])
+        names = F.lit(row["column"]).alias("column"), F.lit(row["share"]).alias("share"), F.lit(row["n"]).cast("long").alias("n")
+        checks.append(F.struct(*names, near.alias("within")))
+    return both.agg(F.array(*checks).alias("checks")).select(F.inline("checks"))
+
+
+def nearest_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists after an update by a hundredth of the orders, equal to those of one fit."""
+    path = new_folder(spark, "neighbours")
+    buyers = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("user_id"))
+    rows = table(spark, sf_dir, "lineitem").join(buyers, F.col("l_orderkey") == F.col("o_orderkey"))
+    late = F.pmod(F.xxhash64("o_orderkey"), F.lit(100)) == 0
+    rows = rows.select(
+        "user_id", F.col("l_partkey").alias("item_id"), F.col("l_quantity").cast("int").alias("play_count"), late.alias("late")
+    )
+    incremental.start(rows.where("not late").drop("late"), path)
+    incremental.add(spark, path, rows.where("late").drop("late"))
+    return incremental.nearest_items(spark, path, 10).withColumn("distance", F.round("distance", 9))
+
+
+def nearest_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = bounded.nearest_items(similarity.interaction_matrix(plays(spark, sf_dir)), 10)
+    return near.rows.withColumn("distance", F.round("distance", 9))
+
+
 def encode_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = ids.distinct_ids(plays(spark, sf_dir), "user_id")
     return ids.encode_ids(users, "user_id", "user_index")
@@ -405,6 +486,9 @@ def library_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "provenance": provenance,
         "ingest_songs": ingest_songs,
         "ingest_raw_songs": ingest_raw_songs,
+        "ingest_songs_counts": ingest_songs_counts,
+        "ingest_new_songs": ingest_new_songs,
+        "songs_of_both_ingests": songs_of_both_ingests,
         # records
         "decode_drop_bad": lambda s, d: decode.decode_drop_bad(payloads(s, d), "payload", PAYLOAD),
         "decode_null_bad": lambda s, d: decode.decode_null_bad(payloads(s, d), "payload", PAYLOAD),
@@ -433,6 +517,10 @@ def library_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "schema_listing": lambda s, d: profile.schema_listing(songs(s, d)),
         "top_users": lambda s, d: profile.top_by_plays(plays(s, d), "user_id"),
         "top_songs": lambda s, d: profile.top_by_plays(plays(s, d), "item_id"),
+        "top_users_by_counters": lambda s, d: sketches.top_by_counters(plays(s, d), "user_id"),
+        "top_songs_by_counters": lambda s, d: sketches.top_by_counters(plays(s, d), "item_id"),
+        "distinct_users_sketched": distinct_users_sketched,
+        "quantiles_sketched": quantiles_sketched,
         "interaction_matrix": lambda s, d: similarity.interaction_matrix(plays(s, d)),
         "matrix_stats": lambda s, d: similarity.matrix_stats(
             similarity.interaction_matrix(plays(s, d))
@@ -465,6 +553,8 @@ def library_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "item_knn": lambda s, d: similarity.nearest_items(
             similarity.interaction_matrix(plays(s, d)), 10
         ).withColumn("distance", F.round("distance", 9)),
+        "nearest_updated": nearest_updated,
+        "nearest_bounded": nearest_bounded,
         "recommend_items": recommend_items,
         "recommend_from_neighbors": recommend_from_neighbors,
         "recommend_all": lambda s, d: recommend.recommend_all(plays(s, d), n=5, k=10),
@@ -548,6 +638,19 @@ def library_sql() -> dict[str, str]:
         "mode": "INTEGER",
         "time_signature": "INTEGER",
     }
+    knn_sql = f"""WITH {_knn(10)} SELECT item_id, neighbor_id, similarity,
+            round(1.0 - similarity, 9) AS distance, CAST(rank AS INTEGER) AS rank FROM near"""
+    songs_sql = """SELECT 'S' || p_partkey AS song_id, 'T' || p_partkey AS track_id,
+            p_brand AS artist_id, p_brand AS artist_name, p_name AS title, p_type AS release,
+            p_size / 100.0::DOUBLE AS artist_familiarity,
+            p_size / 200.0::DOUBLE AS artist_hotttnesss,
+            CAST(NULL AS VARCHAR) AS artist_location, p_size / 400.0::DOUBLE AS song_hotttnesss,
+            p_size AS year, p_retailprice AS duration, p_size * 2.0::DOUBLE AS tempo,
+            p_size * -1.0::DOUBLE AS loudness, p_size / 50.0::DOUBLE AS energy,
+            p_size / 25.0::DOUBLE AS danceability, p_size // 4 AS key, p_size % 2 AS mode,
+            p_size % 7 AS time_signature
+            FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey // 3 ORDER BY p_partkey)
+            AS place FROM part) WHERE place = 1 AND p_partkey % 10 <> 0"""
     nulls = ", ".join(f"CAST(NULL AS {kind}) AS {name}" for name, kind in typed_null.items())
     return {
         "tsv_round_trip": f"""WITH {PLAYS} SELECT CAST(user_id AS VARCHAR) AS user_id,
@@ -563,17 +666,22 @@ def library_sql() -> dict[str, str]:
             AS payload FROM events)""",
         "provenance": """SELECT 'lineitem.parquet' AS source_file, count(*) AS rows FROM lineitem
             UNION ALL SELECT 'orders.parquet', count(*) FROM orders""",
-        "ingest_songs": """SELECT 'S' || p_partkey AS song_id, 'T' || p_partkey AS track_id,
-            p_brand AS artist_id, p_brand AS artist_name, p_name AS title, p_type AS release,
-            p_size / 100.0::DOUBLE AS artist_familiarity,
-            p_size / 200.0::DOUBLE AS artist_hotttnesss,
-            CAST(NULL AS VARCHAR) AS artist_location, p_size / 400.0::DOUBLE AS song_hotttnesss,
-            p_size AS year, p_retailprice AS duration, p_size * 2.0::DOUBLE AS tempo,
-            p_size * -1.0::DOUBLE AS loudness, p_size / 50.0::DOUBLE AS energy,
-            p_size / 25.0::DOUBLE AS danceability, p_size // 4 AS key, p_size % 2 AS mode,
-            p_size % 7 AS time_signature
-            FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey // 3 ORDER BY p_partkey)
-            AS place FROM part) WHERE place = 1 AND p_partkey % 10 <> 0""",
+        "ingest_songs": songs_sql,
+        "ingest_new_songs": songs_sql,
+        "ingest_songs_counts": """SELECT count(*) AS records, count(*) FILTER (p_partkey % 10 <> 0) AS kept,
+            count(*) FILTER (p_partkey % 10 = 0) AS dropped FROM part""",
+        "songs_of_both_ingests": f"""{songs_sql} UNION ALL
+            SELECT 'S' || p_partkey, CAST(NULL AS VARCHAR), p_brand, p_brand, p_name, p_type,
+            p_size / 100.0::DOUBLE, p_size / 200.0::DOUBLE, NULL, p_size / 400.0::DOUBLE,
+            CASE WHEN p_partkey % 10 <> 0 THEN p_size END, p_retailprice, p_size * 2.0::DOUBLE,
+            p_size * -1.0::DOUBLE, p_size / 50.0::DOUBLE, p_size / 25.0::DOUBLE, p_size // 4,
+            p_size % 2, NULL FROM part""",
+        "distinct_users_sketched": """SELECT 2 AS files, count(DISTINCT u) AS users, true AS within FROM (
+            SELECT o_custkey AS u FROM orders UNION ALL SELECT user_id FROM events)""",
+        "quantiles_sketched": """SELECT "column", share, n, true AS within FROM (
+            SELECT 'l_quantity' AS "column", count(l_quantity) AS n FROM lineitem UNION ALL
+            SELECT 'l_extendedprice', count(l_extendedprice) FROM lineitem),
+            (SELECT unnest([0.01, 0.25, 0.5, 0.75, 0.99])::DOUBLE AS share)""",
         "ingest_raw_songs": """SELECT 'S' || p_partkey AS get_song_id, p_name AS get_title,
             CASE WHEN p_partkey % 10 <> 0 THEN p_size END AS get_year, p_size // 4 AS get_key,
             p_retailprice AS get_duration, p_size * 1.5::DOUBLE - 30 AS get_artist_latitude,
@@ -641,6 +749,8 @@ def library_sql() -> dict[str, str]:
         ),
         "top_users": _top("user_id"),
         "top_songs": _top("item_id"),
+        "top_users_by_counters": _top("user_id"),
+        "top_songs_by_counters": _top("item_id"),
         "interaction_matrix": f"WITH {CELLS} SELECT * FROM cells",
         "matrix_stats": f"""WITH {CELLS} SELECT count(DISTINCT user_id) AS users,
             count(DISTINCT item_id) AS items, count(*) AS cells,
@@ -678,8 +788,9 @@ def library_sql() -> dict[str, str]:
         "encoded_matrix": f"""WITH {CELLS} SELECT
             dense_rank() OVER (ORDER BY user_id) - 1 AS user_index,
             dense_rank() OVER (ORDER BY item_id) - 1 AS item_index, play_count FROM cells""",
-        "item_knn": f"""WITH {_knn(10)} SELECT item_id, neighbor_id, similarity,
-            round(1.0 - similarity, 9) AS distance, CAST(rank AS INTEGER) AS rank FROM near""",
+        "item_knn": knn_sql,
+        "nearest_updated": knn_sql,
+        "nearest_bounded": knn_sql,
         "recommend_items": f"""WITH {_knn(10, str(USER))} SELECT neighbor_id AS item_id, {SCORE}
             FROM near GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5""",
         "recommend_from_neighbors": f"""WITH {_knn(10, str(USER))}

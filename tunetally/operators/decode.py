@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +17,7 @@ from tunetally.schemas import (
 )
 
 _BROKEN = "_broken"
+_GOOD = "_good_record"
 
 
 def _parsed(df: DataFrame, payload: str, schema: T.StructType) -> DataFrame:
@@ -49,14 +50,27 @@ def decode_null_bad(df: DataFrame, payload: str, schema: T.StructType) -> DataFr
     return _decoded(_parsed(df, payload, schema), kept, schema, F.col(_BROKEN).isNull())
 
 
-def decode_drop_bad(df: DataFrame, payload: str, schema: T.StructType) -> DataFrame:
+def decode_drop_bad(
+    df: DataFrame, payload: str, schema: T.StructType, counts: Observation | None = None
+) -> DataFrame:
     """Decode `payload`; a record with any bad field is dropped.
 
     A number has to be there and be one; NaN is a fractional number but not a whole one.
+    `counts` gets the number of `records`, `kept` and `dropped` from the pass that uses the
+    result.
     """
     kept = [c for c in df.columns if c != payload]
     good = F.col(payload).isNotNull() & good_record(schema)
-    return _decoded(_parsed(df, payload, schema).where(good), kept, schema)
+    parsed = _parsed(df, payload, schema)
+    if counts is not None:
+        good = F.coalesce(good, F.lit(False))
+        parsed = parsed.withColumn(_GOOD, good)
+        good = F.col(_GOOD)
+        records = F.count(F.lit(1)).alias("records")
+        parsed = parsed.observe(
+            counts, records, F.count_if(good).alias("kept"), F.count_if(~good).alias("dropped")
+        )
+    return _decoded(parsed.where(good), kept, schema)
 
 
 def split_records(df: DataFrame, payload: str, every: bool) -> DataFrame:

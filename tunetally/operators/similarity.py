@@ -115,8 +115,10 @@ def nearest(
     block_items: int = BLOCK_ITEMS,
     tile_rows: int = TILE_ROWS,
     bands: bool | None = None,
+    norms: DataFrame | None = None,
 ) -> Nearest:
-    """As `nearest_items`. `bands` sets the shape of the tiles, which else is measured.
+    """As `nearest_items`. `bands` sets the shape of the tiles, which else is measured. If
+    `cells` are some of the cells of a matrix only, `norms` has the norms of the whole.
 
     Squares are blocks by blocks, of which only half are needed: best for long histories,
     which share the segments of a block. Bands are a few items by all items: best for
@@ -124,7 +126,10 @@ def nearest(
     history in one row and not in one row per other item.
     """
     cells = materialize(cells, "cells")
-    items = materialize(encode_ids(item_norms(cells), "item_id", "code"), "items")
+    own = item_norms(cells)
+    if norms is not None:
+        own = own.drop("norm").join(norms.select("item_id", "norm"), "item_id")
+    items = materialize(encode_ids(own, "item_id", "code"), "items")
     size = FactSize.measure(items, "listeners")
     cores = cells.sparkSession.sparkContext.defaultParallelism
     blocks = _block_count(size.keys, block_items, cores)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tunetally.functions.columns import text
 from tunetally.operators.decode import (
     decode_drop_bad,
     decode_null_bad,
@@ -14,7 +15,7 @@ from tunetally.operators.decode import (
     song_projection,
     split_records,
 )
-from tunetally.schemas import RAW_SONG_SCHEMA, SONG_SCHEMA
+from tunetally.schemas import RAW_SONG_SCHEMA, SONG_COLUMNS, SONG_SCHEMA
 from tunetally.sources.files import read_payloads, write_table
 from tunetally.sources.plays import read_plays_tsv
 
@@ -32,14 +33,16 @@ def ingest_songs(
     glob: str = "*.json",
     whole_file: bool = True,
     records: str = "first",
+    counts: Observation | None = None,
 ) -> DataFrame:
     """Song record files to the typed song table; a record with a bad field is dropped.
 
     Of a payload that holds an array of records, the first one is read, or all of them
-    with `records="all"`.
+    with `records="all"`. `counts` gets how many records were read, kept and dropped, from
+    the pass that writes.
     """
     payloads = song_payloads(spark, source, glob, whole_file, records)
-    songs = song_projection(decode_drop_bad(payloads, "payload", SONG_SCHEMA))
+    songs = song_projection(decode_drop_bad(payloads, "payload", SONG_SCHEMA, counts))
     write_table(songs, target)
     return spark.read.schema(SONG_SCHEMA).parquet(target)
 
@@ -60,6 +63,28 @@ def ingest_raw_songs(
     return spark.read.parquet(target)
 
 
+def read_songs(spark: SparkSession, path: str) -> DataFrame:
+    """The typed song columns of a folder that either ingest, or both, have written to.
+
+    The two tables share no column, so the files' schemas merge; a row has its values from
+    the typed columns or from the raw ones, whose text is bytes and whose numbers are wider.
+    """
+    both = spark.read.option("mergeSchema", "true").option("recursiveFileLookup", "true").parquet(path)
+    return song_projection(both.select(*(_either(both, name) for name in SONG_COLUMNS)))
+
+
+def _either(both: DataFrame, name: str) -> Column:
+    known = dict(both.dtypes)
+    kind = SONG_COLUMNS[name]
+    found = []
+    if name in known:
+        found.append(F.col(name))
+    if f"get_{name}" in known:
+        raw = F.col(f"get_{name}")
+        found.append(text(raw) if known[f"get_{name}"] == "binary" else raw.try_cast(kind))
+    return F.coalesce(*found, F.lit(None).cast(kind)).alias(name)
+
+
 def song_payloads(
     spark: SparkSession, source: str, glob: str, whole_file: bool, records: str
 ) -> DataFrame:
