@@ -20,7 +20,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tunetally.functions.columns import base_name
-from tunetally.operators import bounded, decode, ids, incremental, profile, ragged, similarity, sketches
+from tunetally.operators import (
+    bounded,
+    decode,
+    ids,
+    incremental,
+    profile,
+    projections,
+    ragged,
+    similarity,
+    sketches,
+)
 from tunetally.plans import ingest, recommend
 from tunetally.session import materialize, new_folder
 from tunetally.sources import files, plays as plays_text
@@ -555,6 +565,9 @@ def library_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ).withColumn("distance", F.round("distance", 9)),
         "nearest_updated": nearest_updated,
         "nearest_bounded": nearest_bounded,
+        "similar_pairs": lambda s, d: projections.similar_pairs(
+            similarity.interaction_matrix(plays(s, d)), 0.2
+        ),
         "recommend_items": recommend_items,
         "recommend_from_neighbors": recommend_from_neighbors,
         "recommend_all": lambda s, d: recommend.recommend_all(plays(s, d), n=5, k=10),
@@ -788,6 +801,24 @@ def library_sql() -> dict[str, str]:
         "encoded_matrix": f"""WITH {CELLS} SELECT
             dense_rank() OVER (ORDER BY user_id) - 1 AS user_index,
             dense_rank() OVER (ORDER BY item_id) - 1 AS item_index, play_count FROM cells""",
+        "similar_pairs": f"""WITH {NORMS}, marks AS (
+            SELECT DISTINCT user_id, md5(CAST(user_id AS VARCHAR)) AS m FROM cells), digits AS (
+            SELECT user_id, j, strpos('0123456789abcdef', substr(m, j, 1)) - 1 AS d
+            FROM marks, (SELECT unnest(range(1, 33)) AS j)), sums AS (
+            SELECT item_id, j, b, sum(play_count * (1 - 2 * ((d >> b) & 1))) AS s
+            FROM cells JOIN digits USING (user_id), (SELECT unnest(range(4))::INTEGER AS b)
+            GROUP BY 1, 2, 3), keys AS (
+            SELECT item_id, (j - 1) // 2 AS band,
+                sum(CASE WHEN s >= 0 THEN 1 << CAST(4 * (j % 2) + b AS INTEGER) ELSE 0 END) AS key
+            FROM sums GROUP BY 1, 2), pairs AS (
+            SELECT DISTINCT a.item_id AS item_a, b.item_id AS item_b FROM keys a
+            JOIN keys b ON a.band = b.band AND a.key = b.key AND a.item_id < b.item_id), dots AS (
+            SELECT item_a, item_b, sum(CAST(a.play_count AS DOUBLE) * b.play_count) AS dot
+            FROM pairs JOIN cells a ON a.item_id = item_a
+            JOIN cells b ON b.item_id = item_b AND b.user_id = a.user_id GROUP BY 1, 2), sims AS (
+            SELECT item_a, item_b, round(coalesce(dot / nullif(x.norm * y.norm, 0), 0), 9) AS similarity
+            FROM dots JOIN norms x ON x.item_id = item_a JOIN norms y ON y.item_id = item_b)
+            SELECT * FROM sims WHERE similarity >= 0.2""",
         "item_knn": knn_sql,
         "nearest_updated": knn_sql,
         "nearest_bounded": knn_sql,
