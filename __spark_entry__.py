@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import sys
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -33,7 +34,7 @@ from tunetally.operators import (
 )
 from tunetally.plans import ingest, recommend
 from tunetally.session import materialize, new_folder
-from tunetally.sources import files, plays as plays_text
+from tunetally.sources import files, keyed, plays as plays_text
 from tunetally.streaming import ingest as new_files
 
 # Operators for training data are a package of their own that may be absent; what it needs
@@ -434,6 +435,24 @@ def nearest_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.nearest_items(spark, path, 10).withColumn("distance", F.round("distance", 9))
 
 
+def recommend_all_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From a matrix and lists that are stored by item."""
+    path, name = new_folder(spark, "keyed"), f"keyed_{uuid.uuid4().hex}"
+    cells = materialize(similarity.interaction_matrix(plays(spark, sf_dir)), "cells")
+    near = similarity.nearest_items(cells, 10)
+    stored = keyed.write_keyed(cells, f"{name}_cells", f"{path}/cells", "item_id", 8)
+    lists = keyed.write_keyed(near, f"{name}_near", f"{path}/near", "item_id", 8, ("rank",))
+    return recommend.recommend_all_from(lists, stored, n=5)
+
+
+def user_history_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One user's items from a matrix that is stored by user."""
+    path, name = new_folder(spark, "keyed"), f"keyed_{uuid.uuid4().hex}"
+    cells = similarity.interaction_matrix(plays(spark, sf_dir))
+    stored = keyed.write_keyed(cells, name, path, "user_id", 8, ("item_id",))
+    return recommend.user_history(stored, USER)
+
+
 def nearest_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = bounded.nearest_items(similarity.interaction_matrix(plays(spark, sf_dir)), 10)
     return near.rows.withColumn("distance", F.round("distance", 9))
@@ -563,6 +582,8 @@ def library_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "item_knn": lambda s, d: similarity.nearest_items(
             similarity.interaction_matrix(plays(s, d)), 10
         ).withColumn("distance", F.round("distance", 9)),
+        "recommend_all_keyed": recommend_all_keyed,
+        "user_history_keyed": user_history_keyed,
         "nearest_updated": nearest_updated,
         "nearest_bounded": nearest_bounded,
         "similar_pairs": lambda s, d: projections.similar_pairs(
@@ -651,6 +672,13 @@ def library_sql() -> dict[str, str]:
         "mode": "INTEGER",
         "time_signature": "INTEGER",
     }
+    all_sql = f"""WITH {_knn(10)}, scores AS (
+            SELECT user_id, neighbor_id AS item_id, {SCORE}
+            FROM cells JOIN near USING (item_id) GROUP BY 1, 2)
+            SELECT * FROM (SELECT user_id, item_id, score, CAST(row_number() OVER (
+                PARTITION BY user_id ORDER BY score DESC, item_id) AS INTEGER) AS rank FROM scores)
+            WHERE rank <= 5"""
+    history_sql = f"WITH {PLAYS} SELECT DISTINCT item_id FROM plays WHERE user_id = {USER}"
     knn_sql = f"""WITH {_knn(10)} SELECT item_id, neighbor_id, similarity,
             round(1.0 - similarity, 9) AS distance, CAST(rank AS INTEGER) AS rank FROM near"""
     songs_sql = """SELECT 'S' || p_partkey AS song_id, 'T' || p_partkey AS track_id,
@@ -734,7 +762,8 @@ def library_sql() -> dict[str, str]:
             p_brand AS artist_name, p_name AS title, p_type AS release, p_size AS year,
             p_retailprice AS duration, CAST(trunc(p_retailprice / 7) AS INTEGER) AS key, {nulls}
             FROM part""",
-        "user_history": f"WITH {PLAYS} SELECT DISTINCT item_id FROM plays WHERE user_id = {USER}",
+        "user_history": history_sql,
+        "user_history_keyed": history_sql,
         "plays_overview": f"""WITH {PLAYS} SELECT count(*) AS interactions,
             count(DISTINCT user_id) AS users, count(DISTINCT item_id) AS items FROM plays""",
         "numeric_summary": f"WITH {PLAYS} " + _summary("plays", "play_count"),
@@ -827,12 +856,8 @@ def library_sql() -> dict[str, str]:
         "recommend_from_neighbors": f"""WITH {_knn(10, str(USER))}
             SELECT neighbor_id AS item_id, {SCORE}
             FROM near GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5""",
-        "recommend_all": f"""WITH {_knn(10)}, scores AS (
-            SELECT user_id, neighbor_id AS item_id, {SCORE}
-            FROM cells JOIN near USING (item_id) GROUP BY 1, 2)
-            SELECT * FROM (SELECT user_id, item_id, score, CAST(row_number() OVER (
-                PARTITION BY user_id ORDER BY score DESC, item_id) AS INTEGER) AS rank FROM scores)
-            WHERE rank <= 5""",
+        "recommend_all": all_sql,
+        "recommend_all_keyed": all_sql,
         "recommendation_report": f"""WITH {_knn(
             10, "(SELECT DISTINCT user_id FROM plays ORDER BY 1 LIMIT 1 OFFSET 15)"
         )}, {SONGS}, best AS (

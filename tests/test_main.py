@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from conftest import values
 
 from tunetally import __main__ as cli
 from tunetally.operators.profile import schema_listing
@@ -47,6 +48,24 @@ def test_jobs(spark, tables, capsys):
     assert spark.read.parquet(str(tables / "best")).select("user_id").distinct().count() == 3
 
 
+def test_fit_once_and_keep_lists_up_to_date(spark, tables, capsys):
+    plays, songs, near, lists = (str(tables / x) for x in ("plays", "songs", "near", "lists"))
+    cli.main(["fit", plays, near, "-k", "3"])
+    cli.main(["recommend-from", near, plays, songs, "u1", "-n", "4"])
+    asked = capsys.readouterr().out
+    cli.main(["recommend", plays, songs, "u1", "-n", "4", "-k", "3"])
+    assert capsys.readouterr().out == asked
+    (tables / "more.txt").write_text("u1\tS9\t2\nu4\tS1\t1\n")
+    cli.main(["ingest-plays", str(tables / "more.txt"), str(tables / "more")])
+    cli.main(["start-lists", plays, lists])
+    cli.main(["add-plays", lists, str(tables / "more")])
+    assert "version 1" in capsys.readouterr().out
+    cli.main(["nearest-from-lists", lists, str(tables / "updated"), "-k", "3"])
+    spark.read.parquet(plays).union(spark.read.parquet(str(tables / "more"))).write.parquet(str(tables / "all"))
+    cli.main(["fit", str(tables / "all"), str(tables / "refit"), "-k", "3"])
+    assert values(spark.read.parquet(str(tables / "updated"))) == values(spark.read.parquet(str(tables / "refit")))
+
+
 def test_listings_are_whole(spark, capsys):
     wide = spark.range(1).selectExpr(*[f"id AS column_{i:03}" for i in range(130)])
     cli._show({"schema": schema_listing(wide)}, {"schema": "position"})

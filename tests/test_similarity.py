@@ -5,6 +5,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 from conftest import values
+from pyspark.sql import functions as F
 
 from tunetally.operators import lookup as lookups
 from tunetally.operators import similarity as sim
@@ -243,3 +244,24 @@ def test_products_are_formed_in_chunks(monkeypatch):
         [2.0, 4.0, 6.0, 8.0, 10.0],
         [0.0, 30.0, 0.0, 60.0, 0.0],
     ]
+
+
+@pytest.mark.parametrize("bands", [False, True])
+def test_tiles_are_split_by_products(plays, monkeypatch, bands):
+    rows = random_rows(8)
+    cells = sim.interaction_matrix(plays(*rows))
+    slabs, seen = sim._slabs, []
+
+    def counted(*args):
+        out = slabs(*args)
+        seen.append(out.groupBy("a", "b").agg(F.count_distinct("slab").alias("n")).agg(F.max("n")).first()[0])
+        return out
+
+    monkeypatch.setattr(sim, "_slabs", counted)
+    near = sim.nearest(cells, 4, block_items=16, bands=bands)
+    assert not seen
+    monkeypatch.setattr(sim, "TILE_PRODUCTS", 100)
+    split = sim.nearest(cells, 4, block_items=16, bands=bands)
+    assert seen and seen[0] > 1
+    assert found(split.rows) == found(near.rows)
+    assert_same(found(split.rows), brute(rows, 4))

@@ -7,6 +7,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tunetally.operators import incremental, similarity
 from tunetally.operators.decode import decode_text
 from tunetally.plans import ingest, profiles, recommend
 from tunetally.session import build_session, close_session
@@ -25,6 +26,12 @@ def _show(parts: dict[str, DataFrame], order: dict[str, str]) -> None:
         df.show(max(df.count(), 1), truncate=False)
 
 
+def _print_lines(lines: DataFrame, user: str) -> None:
+    print(f"Recommendations for user: {user}")
+    for row in lines.select("line").collect():  # at most n rows
+        print(row["line"])
+
+
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="tunetally")
     jobs = parser.add_subparsers(dest="job", required=True)
@@ -64,6 +71,29 @@ def main(argv: list[str] | None = None) -> None:
     report.add_argument("-n", type=int, default=3)
     report.add_argument("-k", type=int, default=10)
 
+    fit = jobs.add_parser("fit", help="nearest items of all items, to Parquet")
+    fit.add_argument("plays")
+    fit.add_argument("target")
+    fit.add_argument("-k", type=int, default=10)
+
+    ask = jobs.add_parser("recommend-from", help="recommendations for one user from fitted lists")
+    ask.add_argument("neighbors", help="what `fit` has written")
+    ask.add_argument("plays")
+    ask.add_argument("songs", help="typed song table")
+    ask.add_argument("user")
+    ask.add_argument("-n", type=int, default=3)
+
+    start = jobs.add_parser("start-lists", help="tables that keep nearest items up to date")
+    start.add_argument("plays")
+    start.add_argument("lists")
+    more = jobs.add_parser("add-plays", help="add plays to the tables of `start-lists`")
+    more.add_argument("lists")
+    more.add_argument("plays")
+    lists = jobs.add_parser("nearest-from-lists", help="nearest items from these tables, to Parquet")
+    lists.add_argument("lists")
+    lists.add_argument("target")
+    lists.add_argument("-k", type=int, default=10)
+
     everyone = jobs.add_parser("recommend-all", help="recommendations for all users, to Parquet")
     everyone.add_argument("plays")
     everyone.add_argument("target")
@@ -99,9 +129,22 @@ def main(argv: list[str] | None = None) -> None:
         lines = recommend.recommendation_report(
             _plays(spark, args.plays), songs, args.user, ["track_id"], args.n, args.k
         )
-        print(f"Recommendations for user: {args.user}")
-        for row in lines.select("line").collect():  # at most n rows
-            print(row["line"])
+        _print_lines(lines, args.user)
+    elif args.job == "fit":
+        cells = similarity.interaction_matrix(_plays(spark, args.plays))
+        similarity.nearest_items(cells, args.k).write.mode("overwrite").parquet(args.target)
+    elif args.job == "recommend-from":
+        songs = spark.read.parquet(args.songs).withColumn("item_id", F.col("song_id"))
+        near = spark.read.parquet(args.neighbors)
+        best = recommend.recommend_from(near, _plays(spark, args.plays), args.user, args.n)
+        _print_lines(recommend.report(best, songs, ["track_id"]), args.user)
+    elif args.job == "start-lists":
+        incremental.start(_plays(spark, args.plays), args.lists)
+    elif args.job == "add-plays":
+        print(f"version {incremental.add(spark, args.lists, _plays(spark, args.plays))}")
+    elif args.job == "nearest-from-lists":
+        near = incremental.nearest_items(spark, args.lists, args.k)
+        near.write.mode("overwrite").parquet(args.target)
     elif args.job == "recommend-all":
         best = recommend.recommend_all(_plays(spark, args.plays), args.n, args.k)
         best.write.mode("overwrite").parquet(args.target)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tunetally.functions.columns import cosine, distance
 from tunetally.operators.ids import encode_ids
-from tunetally.operators.lookup import FactSize, lookup
+from tunetally.operators.lookup import MAX_BROADCAST_ROWS, FactSize, lookup
 from tunetally.operators.tiles import (
     CANDIDATES,
     SUMS,
@@ -46,6 +46,8 @@ PAIR_BYTES, ENTRY_BYTES, CANDIDATE_BYTES = 150, 20, 24
 # the entries in these.
 TILE_ROWS = 20_000_000
 TILE_ENTRIES = 100_000_000
+# Products of one tile in one task; a tile with more is split by user.
+TILE_PRODUCTS = 2_000_000_000
 DIGITS = 9
 
 
@@ -174,9 +176,10 @@ def nearest(
     if bands and size.facts > tile_rows:
         # A row of a band carries the whole history of its user, or a chunk of it.
         tile_rows = min(tile_rows, max(int(TILE_ENTRIES / _entries_per_row(cells)), 1))
-    if size.facts > tile_rows and _largest_tile(items, grid) > tile_rows:
+    products = _heavy_tiles(left, right, size.facts, grid)
+    if products is not None or (size.facts > tile_rows and _largest_tile(items, grid) > tile_rows):
         sums = (
-            _slabs(tiles, items, grid, tile_rows)
+            _slabs(tiles, items, grid, tile_rows, products)
             .groupBy("a", "b", "slab")
             .applyInArrow(sums_of_slab(grid), SUMS)
         )
@@ -344,12 +347,36 @@ def _largest_tile(items: DataFrame, grid: Grid) -> int:
     return min(side.agg(F.max("n")).first()[0] or 0 for side in (left, right))
 
 
-def _slabs(tiles: DataFrame, items: DataFrame, grid: Grid, tile_rows: int) -> DataFrame:
-    """Split the tiles that many users share, by user, so that no task gets too many."""
+def _heavy_tiles(left: DataFrame, right: DataFrame, cells: int, grid: Grid) -> DataFrame | None:
+    """The products of each tile, if one may have more than a task should form."""
+    # A cell of a tile's side meets at most all items of the other side.
+    if cells * min(grid.height, grid.width) <= TILE_PRODUCTS:
+        return None
+    a = left.select("user_id", F.col("block").alias("a"), F.size("i").cast("double").alias("la"))
+    b = right.select("user_id", F.col("block").alias("b"), F.size("i").cast("double").alias("lb"))
+    pairs = a.join(b.hint("merge"), "user_id")
+    if grid.symmetric:
+        pairs = pairs.where(F.col("a") <= F.col("b"))
+    products = pairs.groupBy("a", "b").agg(F.sum(F.col("la") * F.col("lb")).alias("products"))
+    products = materialize(products.where(F.col("products") > TILE_PRODUCTS), "heavy-tiles")
+    return None if products.isEmpty() else products
+
+
+def _slabs(
+    tiles: DataFrame, items: DataFrame, grid: Grid, tile_rows: int, products: DataFrame | None = None
+) -> DataFrame:
+    """Split the tiles that many users share, or that have many products, by user, so that no
+    task gets too many."""
     # One row per block or band, of which there are at most a quarter of the items.
     left = _block_cells(items, "left_code", grid.left_blocks, "a", "cells_a")
     right = _block_cells(items, "code", grid.right_blocks, "b", "cells_b")
     slabs = F.ceil(F.least("cells_a", "cells_b") / tile_rows)
+    if products is not None:
+        # The tiles with too many products only, of which there are few or the join shuffles.
+        few = products.count() <= MAX_BROADCAST_ROWS
+        tiles = tiles.join(F.broadcast(products) if few else products, ["a", "b"], "left")
+        heavy = F.ceil(F.coalesce("products", F.lit(0.0)) / TILE_PRODUCTS)
+        slabs = F.greatest(slabs, heavy)
     slab = F.pmod(F.xxhash64("user_id"), slabs).cast("int")
     return (
         tiles.join(F.broadcast(left), "a")
