@@ -93,3 +93,19 @@ def test_very_long_texts(make_docs):
     text = " ".join(words)
     assert len(text) > 1_000_000
     compare(make_docs((1, " ".join(words[50_000:50_100])), (2, text), (3, "x " + text[::-1]), (4, " ".join(words[150_000:]))))
+
+
+def test_groups_of_parts_give_the_same(sample_docs, monkeypatch):
+    monkeypatch.setattr(substrings, "PART_BYTES", 20_000)
+    monkeypatch.setattr(substrings, "FIRST_PARTS", 3)
+    assert substrings.layout(400_000, 4).grouped
+    compare(sample_docs.limit(120))
+
+
+def test_parts_stay_bounded_at_a_hundred_terabytes():
+    plan = substrings.layout(100 << 40, 200)
+    assert plan.groups <= substrings.FIRST_PARTS and plan.parts * substrings.PART_BYTES >= 100 << 40
+    assert plan.group * substrings.FIRST_PARTS < plan.parts + substrings.FIRST_PARTS
+    # A task that packs 64 MB fills its rows: several hundred entries for each part of a group.
+    assert substrings.REPACK_BYTES / 12 / plan.group > 500
+    assert not substrings.layout(30 << 30, 200).grouped

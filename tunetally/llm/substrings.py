@@ -10,7 +10,9 @@ match is extended: the windows of `size` words that hold a shared anchor are com
 of such a hash are made of digests of words of their own, with a key that is drawn per run.
 
 Both comparisons run alike. A task packs the hashes of its documents by part of the hash
-range, so a row of the shuffle holds thousands of them. What several documents of one
+range, so a row of the shuffle holds thousands of them. Parts have about `PART_BYTES` of text
+each; beyond `FIRST_PARTS` of them, hashes are packed by groups of parts first and, a group in
+one task, by part then, so that rows stay as full however many parts there are. What several documents of one
 batch have in common is settled there, and one of them speaks for all, so a passage that
 a third of all documents share is a few entries per batch and not one per document.
 
@@ -24,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -40,6 +43,12 @@ from tunetally.llm.words import Texts, binary_column, chunks, mix, new_key, wind
 SIZE = 13
 #: Text bytes per part of the hash range.
 PART_BYTES = 16 << 20
+#: Parts, or groups of parts, that a task packs its hashes by.
+FIRST_PARTS = 4_096
+#: Tasks that compare parts, one part after another.
+MAX_TASKS = 16_384
+#: Bytes of entries that are held before they are packed by part.
+REPACK_BYTES = 64 << 20
 _U64 = np.uint64
 PACKED = "part int, docs binary, counts binary, hashes binary, settled boolean"
 FOUND = "bucket int, docs binary, counts binary, hashes binary"
@@ -60,6 +69,29 @@ def period_for(size: int) -> int:
     return min(range(1, min(13, (size + 1) // 2) + 1), key=lambda p: (len(difference_cover(p)) / p, -p))
 
 
+@dataclass(frozen=True)
+class Layout:
+    """How many parts the hash range has, and how many of them form a group."""
+
+    parts: int
+    group: int
+
+    @property
+    def grouped(self) -> bool:
+        return self.group > 1
+
+    @property
+    def groups(self) -> int:
+        return -(-self.parts // self.group)
+
+
+def layout(text_bytes: int, least: int) -> Layout:
+    """Parts of about `PART_BYTES` of text, `least` of them at least, in at most `FIRST_PARTS`
+    groups."""
+    parts = max(least, -(-text_bytes // PART_BYTES))
+    return Layout(parts, -(-parts // FIRST_PARTS))
+
+
 def _parts(hashes: np.ndarray, parts: int) -> np.ndarray:
     """The part of each hash, by its upper 24 bits."""
     return ((hashes >> _U64(40)) * _U64(parts) >> _U64(24)).astype(np.int64)
@@ -134,17 +166,25 @@ PACKED_SCHEMA = pa.schema(
 FOUND_SCHEMA = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary())])
 
 
-def _pack(docs: np.ndarray, hashes: np.ndarray, tails: np.ndarray, parts: int) -> pa.RecordBatch:
-    """One row per part: documents, entries of each, and the bytes of the entries."""
-    part = _parts(hashes, parts)
+def _runs(groups: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Each value of a sorted array and its stretch."""
+    if not len(groups):
+        return
+    starts = np.flatnonzero(np.append(True, groups[1:] != groups[:-1]))
+    for a, b in zip(starts, np.append(starts[1:], len(groups)), strict=True):
+        yield int(groups[a]), slice(a, b)
+
+
+def _pack(docs: np.ndarray, hashes: np.ndarray, tails: np.ndarray, parts: int, group: int = 1) -> pa.RecordBatch:
+    """One row per part (or group of parts): documents, entries of each, and the bytes of the
+    entries."""
+    part = _parts(hashes, parts) // group
     order = np.lexsort((docs, part))
     docs, tails, part = docs[order], tails[order], part[order]
-    bounds = np.searchsorted(part, np.arange(parts + 1))
     rows = {name: [] for name in PACKED_SCHEMA.names}
-    for k in np.flatnonzero(np.diff(bounds)):
-        own = slice(bounds[k], bounds[k + 1])
+    for k, own in _runs(part):
         ids, counts, _ = _by_document(docs[own], tails[own])
-        rows["part"].append(int(k))
+        rows["part"].append(k)
         rows["docs"].append(ids.astype("<i8").tobytes())
         rows["counts"].append(counts.astype("<i4").tobytes())
         rows["hashes"].append(tails[own].tobytes())
@@ -152,9 +192,10 @@ def _pack(docs: np.ndarray, hashes: np.ndarray, tails: np.ndarray, parts: int) -
     return pa.RecordBatch.from_pydict(rows, PACKED_SCHEMA)
 
 
-def _share_anchors(docs: DataFrame, size: int, parts: int, key: bytes) -> DataFrame:
+def _share_anchors(docs: DataFrame, size: int, plan: Layout, key: bytes) -> DataFrame:
     """The anchors of documents (doc_id, text) that other documents have as well, packed
     by bucket."""
+    parts, first_width = plan.parts, 8 if plan.grouped else 5
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,9 +221,9 @@ def _share_anchors(docs: DataFrame, size: int, parts: int, key: bytes) -> DataFr
             twice = first & shared
             hashes = np.concatenate([hashes[first], hashes[twice]])
             owners = np.concatenate([owners[first], owners[twice]])
-            tails = np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, :5])
+            tails = np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, :first_width])
             if len(hashes):
-                yield _pack(owners, hashes, tails, parts)
+                yield _pack(owners, hashes, tails, parts, plan.group)
 
     def meet(part: int, entries: np.ndarray) -> np.ndarray:
         keys = np.zeros((len(entries), 8), np.uint8)
@@ -193,7 +234,7 @@ def _share_anchors(docs: DataFrame, size: int, parts: int, key: bytes) -> DataFr
         at = np.minimum(np.searchsorted(twice, keys), max(len(twice) - 1, 0))
         return twice[at] == keys if len(twice) else np.zeros(len(keys), bool)
 
-    return _exchange(docs.mapInArrow(run, PACKED), parts, 5, lambda part, docs, entries: meet(part, entries))
+    return _exchange(docs.mapInArrow(run, PACKED), plan, 5, lambda part, docs, entries: meet(part, entries))
 
 
 def _buckets(docs: np.ndarray, buckets: int) -> np.ndarray:
@@ -201,46 +242,101 @@ def _buckets(docs: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(docs.astype(np.int64).view(_U64)) % _U64(buckets)).astype(np.int32)
 
 
-def _exchange(docs: DataFrame, parts: int, width: int, decide: Callable) -> DataFrame:
+def _exchange(docs: DataFrame, plan: Layout, width: int, decide: Callable) -> DataFrame:
     """Bring each part of the hash range together, let `decide` choose entries, and return
     the chosen hashes (their first 8 bytes, or what there is of them): rows of bucket,
-    docs, counts, hashes, where a row holds all that one part has for one bucket."""
+    docs, counts, hashes, where a row holds what one part, or one task if parts are grouped,
+    has for one bucket. A task holds one part at a time."""
+    parts = plan.parts
+
+    def unpacked(row: dict, entry: int) -> tuple[np.ndarray, np.ndarray]:
+        ids, counts = np.frombuffer(row["docs"], "<i8"), np.frombuffer(row["counts"], "<i4")
+        return np.repeat(ids, counts), np.frombuffer(row["hashes"], np.uint8).reshape(-1, entry)
+
+    def repack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows by group of parts to rows by part, whose entries have their full hash first."""
+        held, size = [], 0
+        for batch in batches:
+            yield batch.filter(batch.column("settled"))
+            for row in batch.filter(pc.invert(batch.column("settled"))).to_pylist():
+                held.append(unpacked(row, max(width, 8)))
+                size += len(row["hashes"])
+                if size >= REPACK_BYTES:
+                    yield packed(held)
+                    held, size = [], 0
+        if held:
+            yield packed(held)
+
+    def packed(held: list) -> pa.RecordBatch:
+        owners, entries = (np.concatenate(x) for x in zip(*held, strict=True))
+        hashes = np.ascontiguousarray(entries[:, :8]).view(_U64).ravel()
+        return _pack(owners, hashes, np.ascontiguousarray(entries[:, :width]), parts)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
+        part, held = None, []
         for batch in batches:
             for row in batch.to_pylist():
-                ids, counts = np.frombuffer(row["docs"], "<i8"), np.frombuffer(row["counts"], "<i4")
                 if row["settled"]:
-                    yield found(np.repeat(ids, counts), np.frombuffer(row["hashes"], _U64))
-                else:
-                    entries = np.frombuffer(row["hashes"], np.uint8).reshape(-1, width)
-                    held.setdefault(row["part"], []).append((np.repeat(ids, counts), entries))
-        for part in sorted(held):
-            owners, entries = (np.concatenate(x) for x in zip(*held.pop(part), strict=True))
-            chosen = decide(part, owners, entries)
-            keys = np.zeros((len(entries[chosen]), 8), np.uint8)
-            keys[:, : min(width, 8)] = entries[chosen][:, :8]
-            yield found(owners[chosen], keys.view(_U64).ravel())
+                    owners, entries = unpacked(row, 8)
+                    yield found(owners, np.ascontiguousarray(entries).view(_U64).ravel())
+                    continue
+                if row["part"] != part and held:
+                    yield chosen(part, held)
+                    held = []
+                part = row["part"]
+                held.append(unpacked(row, width))
+        if held:
+            yield chosen(part, held)
+
+    def chosen(part: int, held: list) -> pa.RecordBatch:
+        owners, entries = (np.concatenate(x) for x in zip(*held, strict=True))
+        picked = decide(part, owners, entries)
+        keys = np.zeros((len(entries[picked]), 8), np.uint8)
+        keys[:, : min(width, 8)] = entries[picked][:, :8]
+        return found(owners[picked], keys.view(_U64).ravel())
 
     def found(owners: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
         if width < 8:
             hashes = hashes & _U64((1 << 8 * width) - 1)
-        buckets = _buckets(owners, parts)
-        order = np.lexsort((owners, buckets))
-        owners, hashes, buckets = owners[order], hashes[order], buckets[order]
-        bounds = np.searchsorted(buckets, np.arange(parts + 1))
-        rows = {name: [] for name in ("bucket", "docs", "counts", "hashes")}
-        for k in np.flatnonzero(np.diff(bounds)):
-            own = slice(bounds[k], bounds[k + 1])
-            ids, counts, _ = _by_document(owners[own], hashes[own])
-            rows["bucket"].append(int(k))
-            rows["docs"].append(ids.astype("<i8").tobytes())
-            rows["counts"].append(counts.astype("<i4").tobytes())
-            rows["hashes"].append(hashes[own].tobytes())
-        return pa.RecordBatch.from_pydict(rows, FOUND_SCHEMA)
-
-    return docs.repartition(parts, "part").mapInArrow(meet, FOUND)
+        return _for_buckets(owners, hashes, parts, plan.group)
+
+    def refind(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows by group of buckets to rows by bucket."""
+        held, size = [], 0
+        for batch in batches:
+            for row in batch.to_pylist():
+                held.append(unpacked(row, 8))
+                size += len(row["hashes"])
+                if size >= REPACK_BYTES:
+                    yield refound(held)
+                    held, size = [], 0
+        if held:
+            yield refound(held)
+
+    def refound(held: list) -> pa.RecordBatch:
+        owners, entries = (np.concatenate(x) for x in zip(*held, strict=True))
+        return _for_buckets(owners, np.ascontiguousarray(entries).view(_U64).ravel(), parts)
+
+    if plan.grouped:
+        docs = docs.repartition(plan.groups, "part").mapInArrow(repack, PACKED)
+    dealt = docs.repartition(min(parts, MAX_TASKS), "part").sortWithinPartitions("part")
+    out = dealt.mapInArrow(meet, FOUND)
+    return out.repartition(plan.groups, "bucket").mapInArrow(refind, FOUND) if plan.grouped else out
+
+
+def _for_buckets(owners: np.ndarray, hashes: np.ndarray, buckets: int, group: int = 1) -> pa.RecordBatch:
+    """One row per bucket of documents (or group of buckets)."""
+    bucket = _buckets(owners, buckets) // group
+    order = np.lexsort((owners, bucket))
+    owners, hashes, bucket = owners[order], hashes[order], bucket[order]
+    rows = {name: [] for name in FOUND_SCHEMA.names}
+    for k, own in _runs(bucket):
+        ids, counts, _ = _by_document(owners[own], hashes[own])
+        rows["bucket"].append(k)
+        rows["docs"].append(ids.astype("<i8").tobytes())
+        rows["counts"].append(counts.astype("<i4").tobytes())
+        rows["hashes"].append(hashes[own].tobytes())
+    return pa.RecordBatch.from_pydict(rows, FOUND_SCHEMA)
 
 
 def _squeezed(docs: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
@@ -273,10 +369,10 @@ def _ids(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.asarray(pc.fill_null(column.cast(pa.int64()), 0))
 
 
-def _earlier_windows(docs: DataFrame, anchors: DataFrame, size: int, parts: int, secret: bytes) -> DataFrame:
+def _earlier_windows(docs: DataFrame, anchors: DataFrame, size: int, plan: Layout, secret: bytes) -> DataFrame:
     """The windows of documents (bucket, doc_id, text) that a document with a smaller
     doc_id has as well, packed by bucket."""
-    reach = period_for(size)
+    reach, parts = period_for(size), plan.parts
     mask = _U64((1 << 40) - 1)
 
     def run(rows: pa.Table, found: pa.Table) -> pa.Table:
@@ -312,7 +408,7 @@ def _earlier_windows(docs: DataFrame, anchors: DataFrame, size: int, parts: int,
         entries = np.empty((int(first.sum()), 12), np.uint8)
         entries[:, :8] = hashes[first].view(np.uint8).reshape(-1, 8)
         entries[:, 8:] = tails[first].astype("<u4").view(np.uint8).reshape(-1, 4)
-        yield _pack(owners[first], hashes[first], entries, parts)
+        yield _pack(owners[first], hashes[first], entries, parts, plan.group)
 
     def decide(part: int, owners: np.ndarray, entries: np.ndarray) -> np.ndarray:
         hashes = np.ascontiguousarray(entries[:, :8]).view(_U64).ravel()
@@ -323,7 +419,7 @@ def _earlier_windows(docs: DataFrame, anchors: DataFrame, size: int, parts: int,
         return order[ranked > ranked[np.flatnonzero(first)][np.cumsum(first) - 1]]
 
     both = docs.groupBy("bucket").cogroup(anchors.groupBy("bucket")).applyInArrow(run, PACKED)
-    return _exchange(both, parts, 12, decide)
+    return _exchange(both, plan, 12, decide)
 
 
 def _removed(texts: Texts, known: _Known, ids: pa.ChunkedArray, size: int, secret: bytes) -> np.ndarray:
@@ -370,12 +466,12 @@ def _cogrouped(docs: DataFrame, size: int, secret: bytes):
     """`docs` with compressed texts by bucket, beside what was found for the bucket."""
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
-    bucketed = _squeezed(rows, "doc_id", "text", parts)
-    windows = _earlier_windows(bucketed, _share_anchors(rows, size, parts, secret), size, parts, secret)
+    plan = layout(total, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bucketed = _squeezed(rows, "doc_id", "text", plan.parts)
+    windows = _earlier_windows(bucketed, _share_anchors(rows, size, plan, secret), size, plan, secret)
     named = docs.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)))
     key, text = (f"c{docs.columns.index(c)}" for c in ("doc_id", "text"))
-    squeezed = _squeezed(named, key, text, parts)
+    squeezed = _squeezed(named, key, text, plan.parts)
     return squeezed.groupBy("bucket").cogroup(windows.groupBy("bucket"))
 
 
