@@ -1,10 +1,11 @@
 """Words, lines and their hashes over Arrow batches of texts, vectorised with NumPy.
 
 A word is a maximal run of bytes other than space and tab to carriage return. A null text
-has no words. Words are told apart exactly within a batch; each distinct one has a keyed
-128-bit BLAKE2b digest, of which sums over runs of words are made. With a key that is drawn
-per run (`new_key`) no text can be written so that two words or runs of it collide. Without
-one, hashes are the same in every process and run.
+has no words. A word has a keyed 128-bit hash, of which sums over runs of words are made: up
+to 16 bytes are taken as two numbers, which tell all such words apart, and mixed with numbers
+drawn from the key; longer words have a BLAKE2b digest. With a key that is drawn per run
+(`new_key`) no text can be written so that two words or runs of it collide. Without one,
+hashes are the same in every process and run.
 """
 
 from __future__ import annotations
@@ -46,6 +47,8 @@ def _lower_bytes() -> np.ndarray:
 
 
 _LOWER = _lower_bytes()
+#: Masks for the first n bytes of a little-endian number.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], _U64)
 #: The key of hashes that are the same in every run.
 PUBLIC = b""
 
@@ -117,10 +120,23 @@ class Texts:
 
     def word_lanes(self, fold: bool = False, key: bytes = PUBLIC) -> np.ndarray:
         """Two 64-bit hashes per word, as two rows; together they tell words apart."""
-        if not len(self.starts):
-            return np.zeros((2, 0), _U64)
-        words = self.spans(self.starts, self.ends, fold)
-        return digests(words.dictionary, key)[:, words.indices.to_numpy()]
+        sizes = self.ends - self.starts
+        data = np.zeros(len(self.data) + 16, np.uint8)
+        data[: len(self.data)] = _LOWER[self.data] if fold else self.data
+        eights = np.ndarray(len(self.data) + 9, "<u8", data, strides=(1,))
+        low = eights[self.starts] & _MASKS[np.minimum(sizes, 8)]
+        high = eights[self.starts + 8 * (sizes > 8)] & _MASKS[np.clip(sizes - 8, 0, 8)]
+        drawn = np.frombuffer(hashlib.blake2b(b"lanes", digest_size=64, key=key).digest(), "<u8").astype(_U64)
+        out = np.empty((2, len(sizes)), _U64)
+        for lane in range(2):
+            a, b, c, d = drawn[4 * lane : 4 * lane + 4]
+            first = mix((low ^ a) * (b | _U64(1)))
+            out[lane] = mix((first + (high ^ c)) * (d | _U64(1)) + sizes.astype(_U64))
+        long = np.flatnonzero(sizes > 16)
+        if len(long):
+            words = self.spans(self.starts[long], self.ends[long], fold)
+            out[:, long] = digests(words.dictionary, key)[:, words.indices.to_numpy()]
+        return out
 
     def word_hashes(self, fold: bool = False, key: bytes = PUBLIC) -> np.ndarray:
         return self.word_lanes(fold, key)[0]
