@@ -72,3 +72,10 @@ def test_estimates_and_merging(spark):
     whole = {frozenset(np.unique(np.concatenate([a, b]))[: P.K].tolist())}
     assert {frozenset(P.merge(a, b).tolist())} == whole
     assert both.where(F.octet_length("sketch") > 4 * P.K).count() == 0
+
+
+def test_very_long_text(make_docs):
+    rng = random.Random(2)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(140_000)) + " é" + "z" * 100_000
+    assert len(long) > 1_000_000
+    check(make_docs((1, long), (2, "a b c"), (3, long[: len(long) // 2]), (4, "x" * 1_000_000)))

@@ -68,3 +68,50 @@ def test_whole_text_counts():
     text = bytes(np.concatenate([a[:300], b]).astype(np.uint8)).decode()
     langs, scores = L.Predictor(net).texts(pa.array([text, None]))
     assert langs == ["b", "und"] and scores[0] > 0.6
+
+
+def test_training_follows_the_numeric_gradient(monkeypatch):
+    """The first step of every parameter goes against the slope of the loss, measured by
+    moving that parameter alone."""
+    rng = np.random.default_rng(5)
+    windows = rng.integers(0, L.N_CLASSES, (12, L.WINDOW))
+    labels = ["a"] * 3 + ["b"] * 4 + ["c"] * 5
+    y = np.searchsorted(["a", "b", "c"], labels)
+    balance = len(y) / (3 * np.bincount(y))
+    monkeypatch.setattr(L, "BATCH", len(y))
+    monkeypatch.setattr(L, "EPOCHS", 0)
+    start = L.train(windows, labels)
+    monkeypatch.setattr(L, "EPOCHS", 1)
+    moved = L.train(windows, labels)
+
+    def loss():
+        top, _ = L._answers(start, windows)
+        chances = L.softmax(np.maximum(top, 0) @ start.weights + start.offset)
+        return float((balance[y] * -np.log(chances[np.arange(len(y)), y])).mean())
+
+    seen = 0
+    for p, q in zip([*start.tables, start.bias, start.weights, start.offset], [*moved.tables, moved.bias, moved.weights, moved.offset]):
+        touched = np.flatnonzero(p.ravel() != q.ravel())
+        untouched = np.flatnonzero(p.ravel() == q.ravel())
+        flat = p.reshape(-1)
+        for k in [*rng.permutation(touched)[:40], *rng.permutation(untouched)[:10]]:
+            own, eps = flat[k], 1e-6
+            flat[k] = own + eps
+            high = loss()
+            flat[k] = own - eps
+            low = loss()
+            flat[k] = own
+            slope = (high - low) / (2 * eps)
+            if abs(slope) > 1e-5:
+                assert np.sign(q.reshape(-1)[k] - own) == -np.sign(slope)
+                seen += 1
+    assert seen > 100
+
+
+def test_a_very_long_text_counts_whole(make_docs):
+    docs = make_docs(*[(k, "the cat and the dog of it " * 9, "en") for k in range(8)], *[(k + 10, "der hund und die katze ist " * 9, "de") for k in range(8)])
+    net = L.fit(docs)
+    long = "the cat of it " * 20_000 + "der hund und die katze " * 40_000
+    assert len(long) > 1_000_000
+    row = L.predicted(make_docs((1, long)), net).first()
+    assert row.lang_pred == "de" and 0.5 < row.score < 0.9

@@ -76,3 +76,12 @@ def test_written_rows(spark, make_docs, tmp_path):
     S.write_packed(docs, str(tmp_path / "x"), length=4)
     rows = spark.read.parquet(str(tmp_path / "x")).collect()
     assert sum(r.cu_seqlens[-1] for r in rows) == 8
+
+
+def test_very_long_text(make_docs):
+    long = "some words, 12 of them é\n" * 42_000
+    docs = make_docs((1, long), (2, "a"), (3, "x y" * 10)).select("doc_id", "text")
+    rows = S.packed(docs).collect()
+    check(docs, rows, S.LENGTH)
+    n_ids = len(encoder("byte_bpe_50k.json")(long)) + 1
+    assert sum(1 in r.doc_ids for r in rows) == -(-n_ids // S.LENGTH)

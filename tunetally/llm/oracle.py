@@ -103,10 +103,51 @@ marked AS (SELECT l.*, s.top IS NULL OR s.top = l.doc_id AS stays FROM lines l L
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped, sha256(coalesce(
     string_agg(line, chr(10) ORDER BY place) FILTER (stays), '')) AS kept_sha256 FROM marked GROUP BY 1"""
 
+#: The base columns of op3. Gaps and matches of a kind take turns, so a match starts where all
+#: gaps up to it and all matches before it end.
+BASE_SECRETS = r"""WITH kinds(o, kind, pattern, part, least) AS (VALUES
+    (0, 'assign', '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1, 12),
+    (1, 'access', '(AKIA[A-Z0-9]+)', 1, 18),
+    (2, 'hex', '([0-9a-f]{16,})', 1, 1)),
+cut AS (SELECT doc_id, o, kind, least, regexp_split_to_array(text, pattern) AS gaps,
+    regexp_extract_all(text, pattern, 0) AS found, regexp_extract_all(text, pattern, 1) AS counted
+    FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents), kinds),
+laid AS (SELECT doc_id, o, kind, least, unnest(gaps[1:len(found)]) AS gap, unnest(found) AS hit,
+    unnest(counted) AS counted, unnest(range(len(found))) AS k FROM cut),
+placed AS (SELECT *, CAST(sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id, o ORDER BY k) AS BIGINT) AS stop FROM laid),
+good AS (SELECT *, stop - length(hit) AS start FROM placed WHERE length(counted) >= least),
+told AS (SELECT doc_id, count(*) FILTER (o = 0) AS n_assign, count(*) FILTER (o = 1) AS n_access,
+    count(*) FILTER (o = 2) AS n_hex,
+    sha256(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, o)) AS base_sha256
+    FROM good GROUP BY 1)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access,
+    coalesce(n_hex, 0) AS n_hex, coalesce(base_sha256, sha256('')) AS base_sha256
+FROM documents LEFT JOIN told USING (doc_id)"""
+
+#: The base columns of op8.
+BASE_QUALITY = rf"""WITH texts AS (SELECT doc_id, text, {_WORDS.format("text")} AS w
+    FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM texts),
+line_counts AS (SELECT doc_id, CAST(sum(n - 1) AS BIGINT) AS n_dup_lines FROM (
+    SELECT doc_id, line, count(*) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1, 2)
+    GROUP BY 1),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS passage FROM (
+    SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM texts)),
+twice AS (SELECT doc_id, passage FROM windows GROUP BY 1, 2 HAVING count(*) > 1),
+covered AS (SELECT doc_id, count(DISTINCT place) AS n_repeat_words FROM (
+    SELECT doc_id, unnest(range(i, i + 8)) AS place FROM windows JOIN twice USING (doc_id, passage)) GROUP BY 1),
+counts AS (SELECT doc_id, len(w) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words
+    FROM texts LEFT JOIN line_counts USING (doc_id) LEFT JOIN covered USING (doc_id))
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counts"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_minhash_near_dedup": NEAR_DEDUP,
     "op6_difference_cover_substrings": SUBSTRINGS,
     "op11_synchronising_runs": PERIODIC_RUNS,
     "op12_hybrid_lexical_search": LEXICAL,
     "op13_line_bitmaps": LINE_DEDUP,
+    "base_secrets": BASE_SECRETS,
+    "base_quality_counts": BASE_QUALITY,
 }

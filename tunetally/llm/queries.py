@@ -90,6 +90,18 @@ def op13_line_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(documents(spark, sf_dir)).drop("keep_bitmap")
 
 
+def base_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op3 that SQL can express."""
+    return op3_blob_ledger_secrets(spark, sf_dir).select(
+        "doc_id", *(f"n_{k}" for k in blob_ledger.BASE_KINDS), "base_sha256"
+    )
+
+
+def base_quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op8 that SQL can express."""
+    return op8_quality_rules(spark, sf_dir).select("doc_id", *quality.BASE, "base_failed")
+
+
 QUERIES: dict[str, Query] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -104,6 +116,8 @@ QUERIES: dict[str, Query] = {
     "op11_synchronising_runs": op11_synchronising_runs,
     "op12_hybrid_lexical_search": op12_hybrid_lexical_search,
     "op13_line_bitmaps": op13_line_bitmaps,
+    "base_secrets": base_secrets,
+    "base_quality_counts": base_quality_counts,
 }
 #: Of the others, tests hold each against brute force, a library, an exact round trip or
 #: held-out labels.
