@@ -29,6 +29,7 @@ from tunetally.operators import (
     profile,
     projections,
     ragged,
+    reaching,
     similarity,
     sketches,
 )
@@ -586,6 +587,9 @@ def library_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "user_history_keyed": user_history_keyed,
         "nearest_updated": nearest_updated,
         "nearest_bounded": nearest_bounded,
+        "reaching_pairs": lambda s, d: reaching.reaching_pairs(
+            similarity.interaction_matrix(plays(s, d)), 0.2
+        ),
         "similar_pairs": lambda s, d: projections.similar_pairs(
             similarity.interaction_matrix(plays(s, d)), 0.2
         ),
@@ -830,6 +834,14 @@ def library_sql() -> dict[str, str]:
         "encoded_matrix": f"""WITH {CELLS} SELECT
             dense_rank() OVER (ORDER BY user_id) - 1 AS user_index,
             dense_rank() OVER (ORDER BY item_id) - 1 AS item_index, play_count FROM cells""",
+        "reaching_pairs": f"""WITH {NORMS}, dots AS (
+            SELECT a.item_id AS item_a, b.item_id AS item_b,
+                sum(CAST(a.play_count AS DOUBLE) * b.play_count) AS dot
+            FROM cells a JOIN cells b ON a.user_id = b.user_id AND a.item_id < b.item_id
+            GROUP BY 1, 2), sims AS (
+            SELECT item_a, item_b, round(dot / nullif(x.norm * y.norm, 0), 9) AS similarity
+            FROM dots JOIN norms x ON x.item_id = item_a JOIN norms y ON y.item_id = item_b)
+            SELECT * FROM sims WHERE similarity >= 0.2""",
         "similar_pairs": f"""WITH {NORMS}, marks AS (
             SELECT DISTINCT user_id, md5(CAST(user_id AS VARCHAR)) AS m FROM cells), digits AS (
             SELECT user_id, j, strpos('0123456789abcdef', substr(m, j, 1)) - 1 AS d

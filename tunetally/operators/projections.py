@@ -3,12 +3,14 @@
 Every user has 128 signs, the bits of the MD5 of the user's id. The signs of an item are those of
 the sums of its counts times the signs of its users; two items agree in a bit with probability
 1 - angle / pi. Items that agree in all bits of a band are candidates. A small bucket of a band
-gives all its pairs; in a large one, items are sorted by all their bits and each is paired with
-the next `NEXT`, so that no bucket gives more than `NEXT` pairs per item.
+gives all its pairs. The items of large buckets are searched exactly in tiles, where no pair is a
+row before it reaches the threshold, and those pairs stay that share a band; so the result is
+the same whatever the sizes of buckets. With `sorted_buckets`, large ones are sorted by all bits
+instead and each item is paired with the next `NEXT`, which is cheaper and finds less.
 
 The exact search stays the default: this one finds pairs above a threshold with a recall that
 depends on it, and only what it returns is exact. Items with more than `LONG_COLUMN` listeners
-would be long to verify as rows; they get their lists from the exact search.
+would be long to verify as rows; all their pairs come from the tiles.
 """
 
 from __future__ import annotations
@@ -21,7 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tunetally.functions.columns import cosine
-from tunetally.operators.similarity import item_norms, nearest
+from tunetally.operators.reaching import reaching_pairs
+from tunetally.operators.similarity import item_norms
 from tunetally.session import materialize
 
 DIGITS = 32
@@ -52,19 +55,31 @@ def signatures(cells: DataFrame) -> DataFrame:
     return summed.select("item_id", F.concat(*(digit(j) for j in range(DIGITS))).alias("bits"))
 
 
-def candidates(signs: DataFrame, band_bits: int = BAND_BITS) -> DataFrame:
-    """Pairs `item_a` < `item_b` that share a band, once each."""
+def _bands(bits: str, band_bits: int) -> list[Column]:
     width = band_bits // 4
-    bands = [F.substring("bits", 1 + k * width, width) for k in range(DIGITS // width)]
-    banded = signs.select("item_id", "bits", F.posexplode(F.array(*bands)).alias("band", "key"))
+    return [F.substring(bits, 1 + k * width, width) for k in range(DIGITS // width)]
+
+
+def _members(signs: DataFrame, band_bits: int) -> DataFrame:
+    """The items of each bucket with more than one, with its size."""
+    banded = signs.select("item_id", "bits", F.posexplode(F.array(*_bands("bits", band_bits))).alias("band", "key"))
     sizes = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
     # At most 2**band_bits buckets per band.
-    members = materialize(banded.join(F.broadcast(sizes), ["band", "key"]), "bands")
+    return materialize(banded.join(F.broadcast(sizes), ["band", "key"]), "bands")
+
+
+def _small_pairs(members: DataFrame) -> DataFrame:
     small = members.where(F.col("size") <= SMALL_BUCKET)
     a = small.select("band", "key", F.col("item_id").alias("item_a"))
     b = small.select("band", "key", F.col("item_id").alias("item_b"))
-    met = a.join(b, ["band", "key"]).where(F.col("item_a") < F.col("item_b")).select("item_a", "item_b")
-    return met.union(_sorted_pairs(members.where(F.col("size") > SMALL_BUCKET))).distinct()
+    return a.join(b, ["band", "key"]).where(F.col("item_a") < F.col("item_b")).select("item_a", "item_b")
+
+
+def candidates(signs: DataFrame, band_bits: int = BAND_BITS) -> DataFrame:
+    """Pairs `item_a` < `item_b` that share a band, once each; in large buckets those of
+    neighbours in the order of their bits only."""
+    members = _members(signs, band_bits)
+    return _small_pairs(members).union(_sorted_pairs(members.where(F.col("size") > SMALL_BUCKET))).distinct()
 
 
 def _sorted_pairs(members: DataFrame) -> DataFrame:
@@ -113,17 +128,37 @@ def verified(cells: DataFrame, pairs: DataFrame) -> DataFrame:
     return dots.select("item_a", "item_b", cosine(F.col("dot"), F.col("na"), F.col("nb")).alias("similarity"))
 
 
-def similar_pairs(cells: DataFrame, least: float, band_bits: int = BAND_BITS, k_long: int = 100) -> DataFrame:
-    """Pairs with a similarity of at least `least`: those found of items with short columns, and
-    among the `k_long` nearest of each item with a long one."""
+def _sharing(pairs: DataFrame, signs: DataFrame, band_bits: int) -> DataFrame:
+    """The pairs whose items agree in a band."""
+    a = signs.select(F.col("item_id").alias("item_a"), F.array(*_bands("bits", band_bits)).alias("bands_a"))
+    b = signs.select(F.col("item_id").alias("item_b"), F.array(*_bands("bits", band_bits)).alias("bands_b"))
+    both = pairs.join(a, "item_a").join(b, "item_b")
+    same = F.exists(F.zip_with("bands_a", "bands_b", lambda x, y: x == y), lambda x: x)
+    return both.where(same).select("item_a", "item_b", "similarity")
+
+
+def similar_pairs(
+    cells: DataFrame, least: float, band_bits: int = BAND_BITS, sorted_buckets: bool = False
+) -> DataFrame:
+    """Pairs with a similarity of at least `least`, which is above 0: those that share a band, and
+    all that have an item with a long column."""
+    if least <= 0:
+        raise ValueError("the threshold must be above 0")
     cells = materialize(cells, "cells")
     listeners = cells.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
     long = materialize(listeners.where(F.col("n") > LONG_COLUMN).select("item_id"), "long-columns")
     any_long = not long.isEmpty()
     short = cells.join(long, "item_id", "left_anti") if any_long else cells
-    found = verified(short, candidates(signatures(short), band_bits))
+    signs = materialize(signatures(short), "signatures")
+    if sorted_buckets:
+        found = verified(short, candidates(signs, band_bits))
+    else:
+        members = _members(signs, band_bits)
+        found = verified(short, _small_pairs(members).distinct())
+        large = materialize(members.where(F.col("size") > SMALL_BUCKET).select("item_id").distinct(), "large-buckets")
+        if not large.isEmpty():
+            near = reaching_pairs(short.join(large, "item_id", "left_semi"), least)
+            found = found.union(_sharing(near, signs, band_bits))
     if any_long:
-        near = nearest(cells, k_long, long).rows
-        low, high = F.least("item_id", "neighbor_id"), F.greatest("item_id", "neighbor_id")
-        found = found.union(near.select(low.alias("item_a"), high.alias("item_b"), "similarity")).distinct()
-    return found.where(F.col("similarity") >= least)
+        found = found.union(reaching_pairs(cells, least, long))
+    return found.where(F.col("similarity") >= least).distinct()
