@@ -265,3 +265,37 @@ def test_tiles_are_split_by_products(plays, monkeypatch, bands):
     assert seen and seen[0] > 1
     assert found(split.rows) == found(near.rows)
     assert_same(found(split.rows), brute(rows, 4))
+
+
+def test_a_user_is_sent_once_to_each_range(plays):
+    """In bands a row carries the history, so there are as few as the user's items allow."""
+    rows = [(f"u{u}", f"i{g}{i:02}", 1 + i % 3) for g in range(5) for u in range(10 * g, 10 * g + 10) for i in range(20)]
+    cells = sim.with_histories(sim.interaction_matrix(plays(*rows)))
+    items = sim.encode_ids(sim.item_norms(cells, sim._products()), "item_id", "code")
+    size = lookups.FactSize.measure(items, "listeners")
+    _, bands = sim.banded(cells, items, size, 4_000, 10**9)
+    # Five groups of 10 users with 20 items each: 4,000 products a group.
+    assert bands.light.count() == 50 and bands.heavy is None
+    kinds = {f.name: f.dataType.simpleString() for f in bands.light.schema}
+    assert kinds["ib"] == kinds["nb"] == "array<int>" and kinds["wb"] == "array<tinyint>"
+    near = sim.nearest(sim.interaction_matrix(plays(*rows)), 4, block_items=45, bands=True)
+    assert_same(found(near.rows), brute(rows, 4))
+
+
+@pytest.mark.parametrize("count", [-3, 100, 1_000, 100_000])
+def test_bands_hold_counts_of_any_size(plays, count):
+    rows = [(u, i, count + n) for n, (u, i) in enumerate((u, i) for u in "uvw" for i in "abcd")]
+    near = sim.nearest(sim.interaction_matrix(plays(*rows)), 3, bands=True)
+    assert_same(found(near.rows), brute(rows, 3))
+
+
+def test_bands_of_some_items_and_heavy_ones(spark, plays, monkeypatch):
+    rows = random_rows(9)
+    asked = [f"i{i:02}" for i in range(0, 60, 7)]
+    only = spark.createDataFrame([(i,) for i in asked], "item_id string")
+    for entries in (10**8, 1_500):
+        monkeypatch.setattr(sim, "TILE_ENTRIES", entries)
+        near = sim.nearest(sim.interaction_matrix(plays(*rows)), 3, only, block_items=16, bands=True)
+        assert_same(found(near.rows), brute(rows, 3, set(asked)))
+        whole = sim.nearest(sim.interaction_matrix(plays(*rows)), 3, block_items=16, bands=True)
+        assert_same(found(whole.rows), brute(rows, 3))

@@ -142,7 +142,7 @@ def pair_dots(cells: DataFrame, block_items: int = similarity.BLOCK_ITEMS) -> Da
     grid = Grid(blocks, blocks, height, height, symmetric=True, k=0, digits=similarity.DIGITS)
     tiles = similarity._tiles(side, side, blocks, True, whole_history=True)
     items = items.withColumn("left_code", F.col("code"))
-    slabs = similarity._slabs(tiles, items, grid, similarity.TILE_ROWS)
+    slabs = similarity._slabs(similarity._slab_counts(tiles, items, grid, similarity.TILE_ROWS))
     sums = slabs.groupBy("a", "b", "slab").applyInArrow(sums_of_slab(grid), SUMS)
     cell = F.explode(F.arrays_zip("columns", "sums")).alias("cell")
     # A tile of a block with itself has both orders.

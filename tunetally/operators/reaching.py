@@ -64,7 +64,7 @@ def reaching_pairs(
     tiles = similarity._tiles(left, right, left_blocks, symmetric, whole_history=symmetric)
     products = similarity._heavy_tiles(left, right, size.facts, grid)
     if products is not None or similarity._largest_tile(items, grid) > similarity.TILE_ROWS:
-        slabs = similarity._slabs(tiles, items, grid, similarity.TILE_ROWS, products)
+        slabs = similarity._slabs(similarity._slab_counts(tiles, items, grid, similarity.TILE_ROWS, products))
         sums = slabs.groupBy("a", "b", "slab").applyInArrow(sums_of_slab(grid), SUMS)
         pairs = sums.groupBy("a", "b").applyInArrow(above_of_sums(grid, least - SLACK), ABOVE)
     else:
