@@ -81,3 +81,23 @@ def test_large_buckets_lose_no_pair_that_shares_a_band(plays, monkeypatch):
     monkeypatch.setattr(proj, "NEXT", 1)
     few = found(proj.similar_pairs(cells, 0.3, sorted_buckets=True))
     assert few.items() <= want.items()
+
+
+@pytest.mark.parametrize("least", [0.05, 0.4])
+def test_bands_give_the_same_pairs(spark, plays, monkeypatch, least):
+    rows = [*random_rows(24), ("u", "twin1", 3), ("u", "twin2", 5), ("u", "none", 0), ("v", "none", 0)]
+    cells, want = sim.interaction_matrix(plays(*rows)), brute_pairs(rows, least)
+    only = spark.createDataFrame([("i03",), ("i07",), ("twin1",)], "item_id string")
+    some = {p: s for p, s in want.items() if set(p) & {"i03", "i07", "twin1"}}
+    for entries in (10**8, 500):
+        monkeypatch.setattr(sim, "TILE_ENTRIES", entries)
+        assert_pairs(found(reaching_pairs(cells, least, block_items=8, bands=True)), want)
+        assert_pairs(found(reaching_pairs(cells, least, only, block_items=8, bands=True)), some)
+
+
+def test_short_histories_of_many_items_take_bands(spark, monkeypatch):
+    """30,000 users with 4 of 40,000 items each: squares would be a row per pair of items."""
+    cells = spark.range(120_000).selectExpr("id div 4 AS user_id", "id % 40000 AS item_id", "1L AS play_count")
+    asked, banded = [], sim.banded
+    monkeypatch.setattr(sim, "banded", lambda *a, **k: asked.append(1) or banded(*a, **k))
+    assert reaching_pairs(cells, 0.9).count() == 60_000 and asked == [1]

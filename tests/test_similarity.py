@@ -271,7 +271,7 @@ def test_a_user_is_sent_once_to_each_range(plays):
     """In bands a row carries the history, so there are as few as the user's items allow."""
     rows = [(f"u{u}", f"i{g}{i:02}", 1 + i % 3) for g in range(5) for u in range(10 * g, 10 * g + 10) for i in range(20)]
     cells = sim.with_histories(sim.interaction_matrix(plays(*rows)))
-    items = sim.encode_ids(sim.item_norms(cells, sim._products()), "item_id", "code")
+    items = sim.encode_ids(sim.item_norms(cells, sim.products_of_item()), "item_id", "code")
     size = lookups.FactSize.measure(items, "listeners")
     _, bands = sim.banded(cells, items, size, 4_000, 10**9)
     # Five groups of 10 users with 20 items each: 4,000 products a group.

@@ -1,6 +1,6 @@
 """All pairs of items whose similarity reaches a threshold, exactly.
 
-The tiles are those of `similarity.nearest`; a task returns the pairs of its tile that reach the
+The tiles are those of `similarity.nearest`, squares or bands; a task returns the pairs of its tile that reach the
 threshold, so what leaves it follows the result. A tile that too many users share, or that would
 form too many products, is added up by several tasks first. No pair is lost to a cap.
 
@@ -32,16 +32,28 @@ def reaching_pairs(
     least: float,
     only_items: DataFrame | None = None,
     block_items: int = similarity.BLOCK_ITEMS,
+    bands: bool | None = None,
 ) -> DataFrame:
     """`item_a` < `item_b` and their similarity, at least `least`, each pair once; with
-    `only_items`, the pairs that have one of these."""
+    `only_items`, the pairs that have one of these. `bands` is that of `similarity.nearest`."""
     if least <= 0:
         raise ValueError("the threshold must be above 0")
-    cells = materialize(cells.where(F.col("play_count") != 0), "cells")
-    items = materialize(encode_ids(item_norms(cells), "item_id", "code"), "items")
+    cells = similarity.with_histories(cells.where(F.col("play_count") != 0))
+    items = materialize(encode_ids(item_norms(cells, similarity.products_of_item()), "item_id", "code"), "items")
     size = FactSize.measure(items, "listeners")
     blocks = similarity._block_count(size.keys, block_items, cells.sparkSession.sparkContext.defaultParallelism)
     symmetric = only_items is None
+    if bands is None:
+        band_items = max(block_items**2 // max(size.keys, 1), similarity.BAND_ITEMS)
+        bands = similarity._bands_are_cheaper(cells, size.keys, blocks, band_items, 0)
+    if bands:
+        items, found = similarity.banded(
+            cells, items, size, similarity.band_products(block_items), similarity.TILE_ROWS,
+            only_items=only_items, symmetric=symmetric,
+        )
+        at_least = least - SLACK
+        pairs = found.apply(above_of_tile(found.grid, at_least), above_of_sums(found.grid, at_least), ABOVE)
+        return _reaching(pairs, items, least, symmetric)
     if symmetric:
         items = items.withColumn("left_code", F.col("code"))
         left_count, left_blocks = size.keys, blocks
@@ -69,6 +81,10 @@ def reaching_pairs(
         pairs = sums.groupBy("a", "b").applyInArrow(above_of_sums(grid, least - SLACK), ABOVE)
     else:
         pairs = tiles.drop("user_id").groupBy("a", "b").applyInArrow(above_of_tile(grid, least - SLACK), ABOVE)
+    return _reaching(pairs, items, least, symmetric)
+
+
+def _reaching(pairs: DataFrame, items: DataFrame, least: float, symmetric: bool) -> DataFrame:
     out = _named(pairs, items).where(F.col("similarity") >= least)
     # Two of the wanted items meet twice.
     return out if symmetric else out.distinct()

@@ -133,7 +133,7 @@ def nearest(
     the whole history in one row and not in one row per other block.
     """
     cells = with_histories(cells)
-    own = item_norms(cells, _products())
+    own = item_norms(cells, products_of_item())
     if norms is not None:
         own = own.drop("norm").join(norms.select("item_id", "norm"), "item_id")
     items = materialize(encode_ids(own, "item_id", "code"), "items")
@@ -144,7 +144,7 @@ def nearest(
         band_items = max(block_items**2 // max(size.keys, 1), BAND_ITEMS)
         bands = _bands_are_cheaper(cells, size.keys, blocks, band_items, k)
     if bands:
-        items, found = banded(cells, items, size, 2 * block_items**2, tile_rows, k, only_items)
+        items, found = banded(cells, items, size, band_products(block_items), tile_rows, k, only_items)
         best = found.apply(best_of_tile(found.grid), best_of_sums(found.grid), CANDIDATES)
         return Nearest(_merge(best, items, k), cells.drop("met"), size)
     symmetric = only_items is None
@@ -202,7 +202,12 @@ def with_histories(cells: DataFrame) -> DataFrame:
     return materialize(cells.withColumn("met", met), "cells")
 
 
-def _products() -> Column:
+def band_products(block_items: int) -> int:
+    """Products of a band: as many as a square has cells, twice, as they are formed twice."""
+    return 2 * block_items**2
+
+
+def products_of_item() -> Column:
     """Products of an item: a cell forms as many as its user has cells."""
     return F.sum("met").alias("products")
 
