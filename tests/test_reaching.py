@@ -101,3 +101,12 @@ def test_short_histories_of_many_items_take_bands(spark, monkeypatch):
     asked, banded = [], sim.banded
     monkeypatch.setattr(sim, "banded", lambda *a, **k: asked.append(1) or banded(*a, **k))
     assert reaching_pairs(cells, 0.9).count() == 60_000 and asked == [1]
+
+
+def test_no_bucket_gives_its_pairs_as_rows(plays, monkeypatch):
+    rows = random_rows(25)
+    cells = sim.interaction_matrix(plays(*rows))
+    want = found(proj.similar_pairs(cells, 0.3, band_bits=4))
+    monkeypatch.setattr(proj, "_small_pairs", lambda members: 1 / 0)
+    assert found(proj.similar_pairs(cells, 0.3, band_bits=4)) == want
+    assert want.items() <= found(reaching_pairs(cells, 0.3)).items() and want

@@ -2,11 +2,11 @@
 
 Every user has 128 signs, the bits of the MD5 of the user's id. The signs of an item are those of
 the sums of its counts times the signs of its users; two items agree in a bit with probability
-1 - angle / pi. Items that agree in all bits of a band are candidates. A small bucket of a band
-gives all its pairs. The items of large buckets are searched exactly in tiles, where no pair is a
-row before it reaches the threshold, and those pairs stay that share a band; so the result is
-the same whatever the sizes of buckets. With `sorted_buckets`, large ones are sorted by all bits
-instead and each item is paired with the next `NEXT`, which is cheaper and finds less.
+1 - angle / pi. Items that agree in all bits of a band are candidates. There are 256 buckets in
+a band, so their pairs grow with the square of the items: the pairs above the threshold are
+searched exactly in tiles, where no pair is a row before it reaches it, and those stay that
+share a band. With `sorted_buckets`, small buckets give all their pairs, large ones are sorted
+by all bits instead and each item is paired with the next `NEXT`, which finds less.
 
 The exact search stays the default: this one finds pairs above a threshold with a recall that
 depends on it, and only what it returns is exact. Items with more than `LONG_COLUMN` listeners
@@ -41,7 +41,9 @@ def signatures(cells: DataFrame) -> DataFrame:
     marks = F.md5(F.col("user_id").cast("string"))
     code = [F.ascii(F.substring(marks, j + 1, 1)) for j in range(DIGITS)]
     digits = [F.when(c >= 97, c - 87).otherwise(c - 48).alias(f"d{j}") for j, c in enumerate(code)]
-    signed = cells.select("item_id", "play_count", *digits)
+    # By item first: the 128 partial sums of an item are a long row.
+    signed = cells.select("user_id", "item_id", "play_count").repartition("item_id")
+    signed = signed.select("item_id", "play_count", *digits)
     sums = [
         F.sum(F.col("play_count") * (1 - 2 * F.shiftright(f"d{j}", b).bitwiseAND(1))).alias(f"s{4 * j + b}")
         for j in range(DIGITS) for b in range(4)
@@ -149,16 +151,14 @@ def similar_pairs(
     long = materialize(listeners.where(F.col("n") > LONG_COLUMN).select("item_id"), "long-columns")
     any_long = not long.isEmpty()
     short = cells.join(long, "item_id", "left_anti") if any_long else cells
-    signs = materialize(signatures(short), "signatures")
     if sorted_buckets:
+        signs = materialize(signatures(short), "signatures")
         found = verified(short, candidates(signs, band_bits))
     else:
-        members = _members(signs, band_bits)
-        found = verified(short, _small_pairs(members).distinct())
-        large = materialize(members.where(F.col("size") > SMALL_BUCKET).select("item_id").distinct(), "large-buckets")
-        if not large.isEmpty():
-            near = reaching_pairs(short.join(large, "item_id", "left_semi"), least)
-            found = found.union(_sharing(near, signs, band_bits))
+        near = materialize(reaching_pairs(short, least), "near")
+        items = near.select(F.explode(F.array("item_a", "item_b")).alias("item_id")).distinct()
+        signs = materialize(signatures(short.join(items, "item_id", "left_semi")), "signatures")
+        found = _sharing(near, signs, band_bits)
     if any_long:
         found = found.union(reaching_pairs(cells, least, long))
     return found.where(F.col("similarity") >= least).distinct()
