@@ -80,3 +80,13 @@ def test_no_plays(spark, plays, tmp_path):
     inc.add(spark, path, empty)
     inc.add(spark, path, plays(("u", "a", 1), ("u", "b", 1)))
     assert inc.nearest_items(spark, path, 3).count() == 2
+
+
+def test_products_of_pairs_are_not_stored(spark, plays, tmp_path):
+    """What is written follows the plays, not the squares of the histories."""
+    path = str(tmp_path)
+    inc.start(plays(*[("u", f"i{k:03}", 1) for k in range(100)]), path)
+    inc.add(spark, path, plays(("u", "i000", 1), ("v", "i001", 1)))
+    assert {p.name for p in tmp_path.iterdir()} == {inc.CELLS, inc.MARKERS}
+    near = inc.nearest_items(spark, path, 2)
+    assert near.count() == 200

@@ -1,15 +1,14 @@
-"""Nearest items kept up to date: a new batch of plays is joined with the old matrix only.
+"""Nearest items that follow new plays: a batch is added to a stored matrix as a version.
 
-Three tables, each a folder with one part per version, hold what the nearest items follow
-from: the cells of the matrix, the sum of squares and the listeners of every item, and the dot
-product of every two items with a common listener. A version adds what its plays change: a
-cell that grows from c to c + d changes the square of its item by (c + d)² - c² and its dot
-products by the user's other counts times d. So an update reads the cells of the users it has
-plays of and forms products of changed cells only. Reading a table sums its versions up;
-`compact` writes the sums as a new base.
+The cells of the matrix are stored by user, in a folder with one part per version. A version adds
+what its plays add to the counts; reading sums the versions up, and `compact` writes the sums as
+a new base. The lists are those of one fit of the summed cells, in tiles. The dot products of
+all pairs are not stored: there are as many as the squares of the histories add up to, many
+times the cells, and each reading would sort them all.
 
 All sums are whole numbers, so any order of updates gives the same digits as one fit of all
 plays. A version counts once its marker is written, and one that failed is written again.
+`changes` and `changed_dots` tell what a batch changes, `pair_dots` are the products of all pairs.
 """
 
 from __future__ import annotations
@@ -17,10 +16,9 @@ from __future__ import annotations
 from math import ceil
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunetally.functions.columns import cosine, distance
 from tunetally.operators import similarity
 from tunetally.operators.ids import encode_ids
 from tunetally.operators.lookup import FactSize, lookup
@@ -32,12 +30,8 @@ from tunetally.session import materialize
 PARTS = 64
 # Changed cells of one user that one task joins with the user's history.
 CHANGED_CELLS = 4_096
-CELLS, SQUARES, DOTS, MARKERS = "cells", "squares", "dots", "versions"
-SCHEMAS = {
-    CELLS: "user_id {user}, item_id {item}, play_count long, part int",
-    SQUARES: "item_id {item}, square long, listeners long",
-    DOTS: "item_a {item}, item_b {item}, dot long",
-}
+CELLS, MARKERS = "cells", "versions"
+SCHEMA = "user_id {user}, item_id {item}, play_count long, part int"
 
 
 class State(NamedTuple):
@@ -50,33 +44,21 @@ class State(NamedTuple):
 
 
 def start(plays: DataFrame, path: str) -> int:
-    """Write version 0 of the tables from the plays there are."""
-    cells = materialize(interaction_matrix(plays), "cells")
-    count = F.col("play_count")
-    squares = cells.groupBy("item_id").agg(
-        F.sum(count * count).alias("square"), F.count(F.lit(1)).alias("listeners")
-    )
-    return _write(path, 0, 0, cells, squares, pair_dots(cells))
+    """Write version 0 of the matrix from the plays there are."""
+    return _write(path, 0, 0, interaction_matrix(plays))
 
 
 def add(spark: SparkSession, path: str, plays: DataFrame) -> int:
-    """Write the next version, with what `plays` change, and return its number."""
+    """Write the next version, with what `plays` add, and return its number."""
     state = read_state(spark, path)
-    delta = materialize(interaction_matrix(plays), "delta")
-    changed, history = changes(delta, cells_of(spark, path, state, delta))
-    grown = F.col("old") + F.col("more")
-    squares = changed.groupBy("item_id").agg(
-        F.sum(grown * grown - F.col("old") * F.col("old")).alias("square"),
-        F.sum(F.col("known").isNull().cast("long")).alias("listeners"),
-    )
-    return _write(path, state.last + 1, state.base, delta, squares, changed_dots(changed, history))
+    return _write(path, state.last + 1, state.base, interaction_matrix(plays))
 
 
 def cells_of(spark: SparkSession, path: str, state: State, delta: DataFrame) -> DataFrame:
     """The cells of the users of `delta`, from the folders these are in."""
     users = delta.select("user_id").distinct().withColumn("part", _part())
     parts = [row["part"] for row in users.select("part").distinct().collect()]  # PARTS at most
-    cells = _read(spark, path, CELLS, state)
+    cells = _read(spark, path, state)
     return cells.where(F.col("part").isin(parts)).join(users, ["part", "user_id"], "left_semi")
 
 
@@ -160,43 +142,28 @@ def pair_dots(cells: DataFrame, block_items: int = similarity.BLOCK_ITEMS) -> Da
 
 
 def nearest_items(spark: SparkSession, path: str, k: int) -> DataFrame:
-    """As `similarity.nearest_items`, from the written tables; no product is formed."""
-    state = read_state(spark, path)
-    squares = _read(spark, path, SQUARES, state).groupBy("item_id").agg(F.sum("square").alias("square"))
-    norms = materialize(squares.select("item_id", F.sqrt(F.col("square").cast("double")).alias("norm")), "norms")
-    dots = _read(spark, path, DOTS, state).groupBy("item_a", "item_b").agg(F.sum("dot").alias("dot"))
-    for item, name in (("item_a", "norm_a"), ("item_b", "norm_b")):
-        dots = dots.join(norms.select(F.col("item_id").alias(item), F.col("norm").alias(name)), item)
-    near = cosine(F.col("dot").cast("double"), F.col("norm_a"), F.col("norm_b"))
-    dots = dots.select("item_a", "item_b", near.alias("similarity"))
-    both = dots.select(F.col("item_a").alias("item_id"), F.col("item_b").alias("neighbor_id"), "similarity")
-    both = both.union(dots.select("item_b", "item_a", "similarity"))
-    order = Window.partitionBy("item_id").orderBy(F.desc("similarity"), "neighbor_id")
-    ranked = both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("item_id", "neighbor_id", "similarity", distance(F.col("similarity")).alias("distance"), "rank")
+    """As `similarity.nearest_items`, from the stored versions."""
+    return similarity.nearest_items(_summed(spark, path, read_state(spark, path)), k)
 
 
 def compact(spark: SparkSession, path: str) -> int:
     """Write the sums of all versions as a version that reading starts from."""
     state = read_state(spark, path)
-    cells, squares, dots = (_read(spark, path, t, state) for t in (CELLS, SQUARES, DOTS))
-    return _write(
-        path, state.last + 1, state.last + 1,
-        cells.groupBy("user_id", "item_id").agg(F.sum("play_count").alias("play_count")),
-        squares.groupBy("item_id").agg(F.sum("square").alias("square"), F.sum("listeners").alias("listeners")),
-        dots.groupBy("item_a", "item_b").agg(F.sum("dot").alias("dot")),
-    )
+    return _write(path, state.last + 1, state.last + 1, _summed(spark, path, state))
+
+
+def _summed(spark: SparkSession, path: str, state: State) -> DataFrame:
+    cells = _read(spark, path, state)
+    return cells.groupBy("user_id", "item_id").agg(F.sum("play_count").alias("play_count"))
 
 
 def _part():
     return F.pmod(F.xxhash64("user_id"), F.lit(PARTS)).cast("int")
 
 
-def _write(path: str, version: int, base: int, cells: DataFrame, squares: DataFrame, dots: DataFrame) -> int:
+def _write(path: str, version: int, base: int, cells: DataFrame) -> int:
     by_user = cells.withColumn("part", _part()).repartition("part").sortWithinPartitions("part", "user_id")
     by_user.write.mode("overwrite").partitionBy("part").parquet(f"{path}/{CELLS}/version={version}")
-    squares.write.mode("overwrite").parquet(f"{path}/{SQUARES}/version={version}")
-    dots.write.mode("overwrite").parquet(f"{path}/{DOTS}/version={version}")
     types = (F.lit(cells.schema[c].dataType.simpleString()) for c in ("user_id", "item_id"))
     marker = [F.lit(base), F.lit(version), *types]
     marker = cells.sparkSession.range(1).select(*(c.alias(n) for c, n in zip(marker, State._fields)))
@@ -209,9 +176,9 @@ def read_state(spark: SparkSession, path: str) -> State:
     return State(*markers.orderBy(F.desc("last")).select(*State._fields).first())
 
 
-def _read(spark: SparkSession, path: str, table: str, state: State) -> DataFrame:
-    schema = SCHEMAS[table].format(user=state.user, item=state.item)
-    folders = [f"{path}/{table}/version={v}" for v in range(state.base, state.last + 1)]
+def _read(spark: SparkSession, path: str, state: State) -> DataFrame:
+    schema = SCHEMA.format(user=state.user, item=state.item)
+    folders = [f"{path}/{CELLS}/version={v}" for v in range(state.base, state.last + 1)]
     out = spark.read.schema(schema).parquet(folders[0])
     for folder in folders[1:]:
         out = out.unionByName(spark.read.schema(schema).parquet(folder))

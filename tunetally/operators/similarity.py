@@ -219,12 +219,6 @@ class Bands(NamedTuple):
     heavy: DataFrame | None
     grid: Grid
 
-    def sums(self) -> DataFrame:
-        """The sums of all bands; those of one may come in several rows."""
-        light = self.light.withColumn("slab", F.lit(0))
-        tiles = light if self.heavy is None else light.unionByName(self.heavy)
-        return tiles.groupBy("a", "b", "slab").applyInArrow(sums_of_slab(self.grid), SUMS)
-
     def apply(self, of_tile: TileTask, of_sums: TileTask, schema: str) -> DataFrame:
         out = self.light.groupBy("a", "b").applyInArrow(of_tile, schema)
         if self.heavy is None:
