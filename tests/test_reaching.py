@@ -110,3 +110,19 @@ def test_no_bucket_gives_its_pairs_as_rows(plays, monkeypatch):
     monkeypatch.setattr(proj, "_small_pairs", lambda members: 1 / 0)
     assert found(proj.similar_pairs(cells, 0.3, band_bits=4)) == want
     assert want.items() <= found(reaching_pairs(cells, 0.3)).items() and want
+
+
+def test_the_right_side_starts_after_the_left_one(plays, monkeypatch):
+    """A pair is met once, so a history's lower cells are not sent to its higher ones."""
+    rows = [("u", f"i{i}", 1 + i) for i in range(10)]
+    cells = sim.with_histories(sim.interaction_matrix(plays(*rows)))
+    items = sim.encode_ids(sim.item_norms(cells, sim.products_of_item()), "item_id", "code")
+    size = sim.FactSize.measure(items, "listeners")
+    sent = {}
+    for symmetric in (False, True):
+        _, bands = sim.banded(cells, items, size, 10, 10**9, symmetric=symmetric)
+        sent[symmetric] = bands.light.selectExpr("sum(size(ib))").first()[0]
+    assert sent == {False: 100, True: 45}
+    monkeypatch.setattr(sim, "PASS_ENTRIES", 50)
+    monkeypatch.setattr(sim, "PASS_OF_CELLS", 1)
+    assert_pairs(found(reaching_pairs(sim.interaction_matrix(plays(*rows)), 0.4, block_items=2, bands=True)), brute_pairs(rows, 0.4))

@@ -299,3 +299,56 @@ def test_bands_of_some_items_and_heavy_ones(spark, plays, monkeypatch):
         assert_same(found(near.rows), brute(rows, 3, set(asked)))
         whole = sim.nearest(sim.interaction_matrix(plays(*rows)), 3, block_items=16, bands=True)
         assert_same(found(whole.rows), brute(rows, 3))
+
+
+def test_bands_in_passes_give_the_same_rows(plays, monkeypatch):
+    """The shuffle of bands grows with the ranges a history falls in; passes bound it."""
+    rows = random_rows(31)
+    monkeypatch.setattr(sim, "PASS_ENTRIES", 1_500)
+    monkeypatch.setattr(sim, "PASS_OF_CELLS", 1)
+    seen, passes = [], sim._passes
+    monkeypatch.setattr(sim, "_passes", lambda *a: seen.append(passes(*a)) or seen[-1])
+    for entries, short in ((1_500, 4_096), (10**8, 10)):
+        monkeypatch.setattr(sim, "TILE_ENTRIES", entries)
+        monkeypatch.setattr(sim, "PART_CELLS", short)
+        near = sim.nearest(sim.interaction_matrix(plays(*rows)), 3, block_items=16, bands=True)
+        assert_same(found(near.rows), brute(rows, 3))
+    assert all(len(ranges) > 1 for ranges in seen)
+    for ranges in seen:
+        assert ranges[0][0] == 0 and all(a[1] + 1 == b[0] for a, b in zip(ranges, ranges[1:]))
+
+
+def test_segment_pairs_are_packed():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    codes = [np.sort(rng.choice(50_000, 40, replace=False)) for _ in range(500)]
+    counts = [rng.integers(1, 50, 40).astype(np.int8) for _ in codes]
+    norms = [rng.integers(20_000, 30_000, 40).astype(np.int32) for _ in codes]
+    sides = {"i": [c.astype(np.int32) for c in codes], "w": counts, "n": norms}
+    lists = {f"{x}{side}": [v[: 1 if side == "a" else None][::step] for v in values]
+             for side, step in (("a", 1), ("b", -1)) for x, values in sides.items()}
+    keys = {"a": np.arange(500, dtype=np.int32) % 3, "b": np.zeros(500, np.int32)}
+    batch = pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in (keys | lists).items()})
+    pack, _ = tiles.packed_by_band({"a": "int", "b": "int"})
+    packed, = pack(iter([batch]))
+    assert packed.column("a").to_pylist() == [0, 1, 2]
+    assert 2 * packed.nbytes < batch.nbytes + 500 * 6 * 16
+    for k, pairs in enumerate(tiles._pairs_of(packed)):
+        mine = range(k, 500, 3)
+        assert pairs.la.tolist() == [1] * len(mine) and pairs.lb.tolist() == [40] * len(mine)
+        assert pairs.ia.tolist() == [codes[j][0] for j in mine]
+        for got, want in ((pairs.ib, codes), (pairs.wb, counts), (pairs.nb, norms)):
+            assert got.tolist() == np.concatenate([want[j] for j in mine]).tolist()
+
+
+@pytest.mark.parametrize("values", [[], [-3, 4, 0], [1.5, -2.0], [2**40, 1], [0]])
+def test_packed_values_come_back(values):
+    assert tiles._unpack(tiles._pack(np.array(values))).tolist() == values
+
+
+def test_steps_of_empty_segments():
+    lengths = np.array([0, 2, 0, 0, 3, 0])
+    places = np.array([5, 9, 1, 2, 8])
+    assert tiles._walked(tiles._steps(places, lengths), lengths).tolist() == places.tolist()
+    assert tiles._walked(np.zeros(0, np.int64), np.zeros(2, np.int64)).tolist() == []
