@@ -53,3 +53,28 @@ def test_materialized_rows_and_types_stay(spark):
     table = spark.createDataFrame([(1, [0.5], None)], "n int, x array<double>, t string")
     kept = session.materialize(table, "kept")
     assert kept.schema == table.schema and kept.collect() == table.collect()
+
+
+def test_what_was_shuffled_is_deleted_once_it_is_written(spark, tmp_path):
+    import time
+
+    from tunetally.operators import incremental
+    from tunetally.session import CLEANUP, materialize
+    from tunetally.sources.keyed import write_keyed
+
+    def files():
+        manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return {name for name in manager.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in name}
+
+    plays = spark.range(500).selectExpr("id % 7 AS user_id", "id % 11 AS item_id", "1 AS play_count")
+    before = files()
+    materialize(plays.groupBy("user_id").count(), "sums")
+    incremental.start(plays, str(tmp_path / "lists"))
+    write_keyed(plays, "swept_plays", str(tmp_path / "keyed"), "item_id", 2)
+    for _ in range(50):
+        left = files() - before
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get(CLEANUP) == "false"
+    spark.sql("DROP TABLE swept_plays")

@@ -24,7 +24,7 @@ from tunetally.operators.ids import encode_ids
 from tunetally.operators.lookup import FactSize, lookup
 from tunetally.operators.similarity import interaction_matrix, item_norms
 from tunetally.operators.tiles import SUMS, Grid, sums_of_slab
-from tunetally.session import materialize
+from tunetally.session import materialize, shuffles_deleted
 
 # Folders of users; an update opens those of its users.
 PARTS = 64
@@ -163,7 +163,8 @@ def _part():
 
 def _write(path: str, version: int, base: int, cells: DataFrame) -> int:
     by_user = cells.withColumn("part", _part()).repartition("part").sortWithinPartitions("part", "user_id")
-    by_user.write.mode("overwrite").partitionBy("part").parquet(f"{path}/{CELLS}/version={version}")
+    with shuffles_deleted(cells.sparkSession):
+        by_user.write.mode("overwrite").partitionBy("part").parquet(f"{path}/{CELLS}/version={version}")
     types = (F.lit(cells.schema[c].dataType.simpleString()) for c in ("user_id", "item_id"))
     marker = [F.lit(base), F.lit(version), *types]
     marker = cells.sparkSession.range(1).select(*(c.alias(n) for c, n in zip(marker, State._fields)))
